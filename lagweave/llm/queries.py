@@ -7,15 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .exact_dedup import exact_dedup
 from .mixing import mix_report
+from .warc import archive_and_read
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(read_table(spark, sf_dir, "pages"))
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mix": op3_mix}
+    return {"op2_warc": op2_warc, "op3_mix": op3_mix, "op6_exact_dedup": op6_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
