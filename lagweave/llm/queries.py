@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .mixing import mix_report
+from .simhash import near_report
 from .warc import archive_and_read
 
 
@@ -24,8 +25,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_report(read_table(spark, sf_dir, "documents"), shingle=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_warc": op2_warc, "op3_mix": op3_mix, "op6_exact_dedup": op6_exact_dedup}
+    return {"op2_warc": op2_warc, "op3_mix": op3_mix, "op6_exact_dedup": op6_exact_dedup, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
