@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .mixing import mix_report
 from .simhash import near_report
@@ -29,8 +30,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_report(read_table(spark, sf_dir, "documents"), shingle=3)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("n_near")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_warc": op2_warc, "op3_mix": op3_mix, "op6_exact_dedup": op6_exact_dedup, "op9_simhash": op9_simhash}
+    return {"op2_warc": op2_warc, "op3_mix": op3_mix, "op6_exact_dedup": op6_exact_dedup, "op9_simhash": op9_simhash, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
