@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .language import identify
 from .mixing import mix_report
 from .simhash import near_report
 from .warc import archive_and_read
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_read(read_table(spark, sf_dir, "pages"))
 
@@ -35,7 +40,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_warc": op2_warc, "op3_mix": op3_mix, "op6_exact_dedup": op6_exact_dedup, "op9_simhash": op9_simhash, "op10_decontaminate": op10_decontaminate}
+    return {"op1_language": op1_language, "op2_warc": op2_warc, "op3_mix": op3_mix, "op6_exact_dedup": op6_exact_dedup, "op9_simhash": op9_simhash, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
