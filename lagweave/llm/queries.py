@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .language import identify
 from .mixing import mix_report
 from .simhash import near_report
+from .token_counts import token_counts
 from .token_files import write_and_read
 from .warc import archive_and_read
 
@@ -32,6 +33,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read_table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(read_table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op2_warc": op2_warc, "op3_mix": op3_mix, "op6_exact_dedup": op6_exact_dedup, "op8_token_files": op8_token_files, "op9_simhash": op9_simhash, "op10_decontaminate": op10_decontaminate}
+    return {"op1_language": op1_language, "op2_warc": op2_warc, "op3_mix": op3_mix, "op6_exact_dedup": op6_exact_dedup, "op7_token_counts": op7_token_counts, "op8_token_files": op8_token_files, "op9_simhash": op9_simhash, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
