@@ -11,6 +11,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .language import identify
 from .mixing import mix_report
+from .secrets import secrets
 from .simhash import near_report
 from .token_counts import token_counts
 from .token_files import write_and_read
@@ -29,6 +30,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op2_warc": op2_warc, "op3_mix": op3_mix, "op6_exact_dedup": op6_exact_dedup, "op7_token_counts": op7_token_counts, "op8_token_files": op8_token_files, "op9_simhash": op9_simhash, "op10_decontaminate": op10_decontaminate}
+    return {"op1_language": op1_language, "op2_warc": op2_warc, "op3_mix": op3_mix, "op4_secrets": op4_secrets, "op6_exact_dedup": op6_exact_dedup, "op7_token_counts": op7_token_counts, "op8_token_files": op8_token_files, "op9_simhash": op9_simhash, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
