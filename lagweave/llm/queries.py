@@ -10,6 +10,7 @@ from .common import read_table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .language import identify
+from .lm_score import score
 from .mixing import mix_report
 from .secrets import secrets
 from .simhash import near_report
@@ -34,6 +35,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(read_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op2_warc": op2_warc, "op3_mix": op3_mix, "op4_secrets": op4_secrets, "op6_exact_dedup": op6_exact_dedup, "op7_token_counts": op7_token_counts, "op8_token_files": op8_token_files, "op9_simhash": op9_simhash, "op10_decontaminate": op10_decontaminate}
+    return {"op1_language": op1_language, "op2_warc": op2_warc, "op3_mix": op3_mix, "op4_secrets": op4_secrets, "op5_lm_score": op5_lm_score, "op6_exact_dedup": op6_exact_dedup, "op7_token_counts": op7_token_counts, "op8_token_files": op8_token_files, "op9_simhash": op9_simhash, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
