@@ -1 +1 @@
-
+"""Streams of gene profiles."""
