@@ -55,13 +55,21 @@ def lag_pairs(aln: DataFrame, by: list[str], size: Column, site: Column, lags: i
 def codon_sites(o: CodingOptions) -> Column:
     """array<aa, base, gap> of the codons of `seq`."""
 
-    def site(p: Column) -> Column:
-        codon = C.codon_at(F.col("seq"), p, o.codon_offset)
+    def site(codon: Column) -> Column:
         aa = C.amino_acid(codon) if o.classes else F.lit("")
         return F.struct(aa.alias("aa"), F.substring(codon, o.base + 1, 1).alias("base"), (C.has_gap(codon) if o.classes else F.lit(False)).alias("gap"))
 
-    n = C.codon_count(F.col("seq"), o.codon_offset)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), site))
+    return F.transform(codon_array(o.codon_offset), site)
+
+
+def codon_array(offset: int) -> Column:
+    """The whole codons of `seq`."""
+
+    def cut(seq: Column) -> Column:
+        n = C.codon_count(seq, offset)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda p: C.codon_at(seq, p, offset))).otherwise(F.array().cast("array<string>"))
+
+    return C.bound(F.col("seq"), cut)
 
 
 def tables(aln: DataFrame, o: CodingOptions, by: list[str], prefix: str = "n_") -> DataFrame:
@@ -139,13 +147,8 @@ def genome_pairs(aln: DataFrame, o: CodingOptions = CodingOptions(), mate: DataF
     lags are summed within the row.
     """
 
-    def site(p: Column) -> Column:
-        codon = C.codon_at(F.col("seq"), p, o.codon_offset)
-        return F.struct(C.amino_acid(codon).alias("aa"), F.substring(codon, o.base + 1, 1).alias("base"))
-
     def with_sites(df: DataFrame) -> DataFrame:
-        n = C.codon_count(F.col("seq"), o.codon_offset)
-        return df.withColumn("sites", F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), site)).otherwise(F.array().cast("array<struct<aa:string,base:string>>")))
+        return df.withColumn("sites", F.transform(codon_array(o.codon_offset), lambda codon: F.struct(C.amino_acid(codon).alias("aa"), F.substring(codon, o.base + 1, 1).alias("base"))))
 
     rows = with_sites(aln).select("gene", "seq_idx", "genome", "sites")
     if mate is None:

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 def distances(results: DataFrame, by: str = "theta_pool") -> DataFrame:
     """(a, b, value) of rows named a_vs_b, both ways round, with 0 on the diagonal."""
-    pairs = results.filter(F.contains("group", F.lit("_vs_"))).select(F.split("group", "_vs_").alias("p"), F.col(by).alias("value"))
-    pairs = pairs.select(F.col("p")[0].alias("a"), F.col("p")[1].alias("b"), "value")
+    pairs = results.filter(F.contains("group", F.lit("_vs_"))).select(F.split_part("group", F.lit("_vs_"), F.lit(1)).alias("a"), F.split_part("group", F.lit("_vs_"), F.lit(2)).alias("b"), F.col(by).alias("value"))
     names = pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct()
     both = pairs.union(pairs.select("b", "a", "value")).filter("a <> b")
     return both.union(names.select("a", F.col("a").alias("b"), F.lit(0.0)))
@@ -19,7 +18,7 @@ def distance_matrix(results: DataFrame, by: str = "theta_pool") -> DataFrame:
     """The square matrix of distances(): one row and one column per name, null where a pair is missing."""
     rows = distances(results, by)
     names = sorted(r["a"] for r in rows.select("a").distinct().collect())  # the matrix's columns
-    return rows.groupBy("a").pivot("b", names).agg(F.first("value")).orderBy("a")
+    return rows.groupBy(F.col("a").alias("isolate")).pivot("b", names).agg(F.first("value")).orderBy("isolate")
 
 
 def profile_vectors(profile: DataFrame, corr_type: str = "P4", xmin: int = 3, xmax: int = 150) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.codons import bound
+
 LENGTH = 30
 #: Hex digits to bases.
 HEX, BASES = "0123456789abcdef", "ATGCATGCATGCATGC"
@@ -15,11 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound(value: Column, make) -> Column:
-    """make(value), with value computed once a row."""
-    return F.element_at(F.transform(F.array(value), make), 1)
-
-
 def mutated(gene: Column, key: Column, length: int, gaps: bool = True) -> Column:
     """A sequence near the gene's ancestor: base i is a substitute where hex digit i of md5('m'+key) is 0, a dash where it is 1 and i is a multiple of 11."""
     parts = lambda p, v: F.concat(*[F.md5(F.concat(F.lit(p), v, F.lit(f"_{k}"))) for k in range((length + 31) // 32)])
@@ -97,11 +94,14 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     qual = bound(digits, lambda d: F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.when(F.substring(d, i % 32 + 1, F.lit(1)) == "f", 10).otherwise(40)))
     full = mutated(F.col("l_partkey").cast("string"), key, 96, gaps=False)
     clipped = F.col("l_linenumber") == 3
-    return rows.select(
+    made = rows.select(
         F.concat(F.lit("r"), F.col("l_orderkey").cast("string")).alias("qname"), "rname", pos.alias("pos"),
         F.when(F.col("l_orderkey") % 17 == 0, 20).otherwise(60).alias("mapq"), F.when(clipped, "6S66M").otherwise("72M").alias("cigar"),
-        F.substring(full, F.when(clipped, 1).otherwise(F.col("l_orderkey") % 12 + 1).cast("int"), F.lit(72)).alias("seq"), qual.alias("qual"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"),
+        F.substring(full, F.when(clipped, 1).otherwise(F.col("l_orderkey") % 12 + 1).cast("int"), F.lit(72)).alias("seq"), qual.alias("qual"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), "l_partkey",
     )
+    # the aggregation keeps the expressions above from being computed anew wherever seq and qual are used
+    same = ["qname", "rname", "pos", "mapq", "cigar", "ordinal"]
+    return made.groupBy(*same, "l_partkey").agg(F.first("seq").alias("seq"), F.first("qual").alias("qual")).drop("l_partkey")
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,7 @@ DIST = """dist AS (
 )"""
 SQL["genome_distances"] = f"{PAIRS}, {DIST} SELECT a, b, round(value, 9) AS value FROM sym"
 NAMES = [f"g{i:02d}" for i in range(12)]
-SQL["distance_matrix"] = f"{PAIRS}, {DIST} SELECT a, {', '.join(f'''round(max(CASE WHEN b = '{n}' THEN value END), 9) AS {n}''' for n in NAMES)} FROM sym GROUP BY a"
+SQL["distance_matrix"] = f"{PAIRS}, {DIST} SELECT a AS isolate, {', '.join(f'''round(max(CASE WHEN b = '{n}' THEN value END), 9) AS {n}''' for n in NAMES)} FROM sym GROUP BY a"
 
 READS = f"""WITH {CODE},
 keys AS (SELECT DISTINCT l_partkey, l_orderkey, l_linenumber FROM lineitem),
@@ -180,13 +180,13 @@ deep AS (SELECT gene FROM (SELECT gene, start0, stop, gene_pos, count(*) AS dept
 pile AS (SELECT pile0.*, coalesce(aa, '?') AS aa FROM pile0 LEFT JOIN code USING (codon) WHERE gene IN (SELECT gene FROM deep)),
 cells AS (
   SELECT a.gene, a.gene_pos AS i, b.gene_pos - a.gene_pos AS l, a.aa || b.aa AS aa, substr(a.codon, 3, 1) AS x, substr(b.codon, 3, 1) AS y,
-         count(*) * CASE WHEN b.gene_pos = a.gene_pos THEN 2 ELSE 1 END AS c
+         sum(CASE WHEN b.gene_pos = a.gene_pos THEN 2 ELSE 1 END) AS c
   FROM pile a JOIN pile b ON a.gene = b.gene AND a.read = b.read AND b.gene_pos >= a.gene_pos AND b.gene_pos - a.gene_pos < 10 GROUP BY ALL
 ),
-both AS (SELECT gene, i, l, aa, sum(c) AS t, sum(c * c) AS c2 FROM cells GROUP BY ALL HAVING sum(c) > 2),
+sums AS (SELECT gene, i, l, aa, sum(c) AS t, sum(c * c) AS c2 FROM cells GROUP BY ALL HAVING sum(c) > 2),
 rws AS (SELECT gene, i, l, aa, sum(r * r) AS r2 FROM (SELECT gene, i, l, aa, x, sum(c) AS r FROM cells GROUP BY ALL) GROUP BY ALL),
 cls AS (SELECT gene, i, l, aa, sum(r * r) AS k2 FROM (SELECT gene, i, l, aa, y, sum(c) AS r FROM cells GROUP BY ALL) GROUP BY ALL),
-xy AS (SELECT gene, i, l, sum((t * t - r2 - k2 + c2) / 2) AS xy, sum(t * (t - 1) / 2) AS n FROM both JOIN rws USING (gene, i, l, aa) JOIN cls USING (gene, i, l, aa) GROUP BY ALL),
+xy AS (SELECT gene, i, l, sum((t * t - r2 - k2 + c2) / 2) AS xy, sum(t * (t - 1) / 2) AS n FROM sums JOIN rws USING (gene, i, l, aa) JOIN cls USING (gene, i, l, aa) GROUP BY ALL),
 p2 AS (SELECT gene, 3 * l AS lag, sum(xy) / sum(n) AS mean, CAST(sum(n) AS BIGINT) AS n, 'P2' AS type FROM xy GROUP BY gene, l HAVING sum(n) > 0),
 spot AS (SELECT gene, i, xy / n AS x FROM xy WHERE l = 0 AND n > 0),
 p4 AS (SELECT a.gene, 3 * (b.i - a.i) AS lag, avg(a.x * b.x) AS mean, count(*) AS n, 'P4' AS type FROM spot a JOIN spot b ON a.gene = b.gene AND b.i >= a.i AND b.i - a.i < 20 GROUP BY a.gene, b.i - a.i),

@@ -162,7 +162,8 @@ def curves(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_points(spark: SparkSession, sf: str) -> DataFrame:
-    return curves(spark, sf).withColumn("x", F.explode(F.sequence(F.lit(3), F.lit(297), F.lit(3))).cast("double"))
+    lags = F.transform(F.sequence(F.lit(3), F.lit(297), F.lit(3)), lambda x: x.cast("double"))
+    return curves(spark, sf).withColumn("x", F.explode(lags))
 
 
 def model_curve(spark: SparkSession, sf: str) -> DataFrame:

@@ -102,7 +102,7 @@ def lmfit_lines(fitted: DataFrame, theta_init: float, f_init: float, phi_init: f
 
 def read_lmfit(spark: SparkSession, path: str) -> DataFrame:
     """(path, fit_success, nfev, datapoints, then the eleven values as text) of fit reports, one file a row."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("r"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("r"))
     second = lambda k: F.split(F.try_element_at("r", F.lit(k)), ",")[1]
     last = F.split(F.try_element_at("r", F.lit(11)), ",")
     names = ["ds", "thetaS", "f", "phiS", "thetaP", "phiP", "c", "dp", "dc", "chisq", "red-chisq"]

@@ -19,8 +19,8 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """reads(qname, flag, rname, pos from 0, mapq, cigar, seq, qual, ordinal) of SAM text; header lines are skipped."""
     lines = spark.read.text(path).withColumn("ordinal", F.monotonically_increasing_id()).filter(~F.col("value").startswith("@"))
     f = lines.select(F.split("value", "\t").alias("f"), "ordinal").filter(F.size("f") >= 11)
-    qual = F.when(F.col("f")[10] == "*", F.array().cast("array<int>")).otherwise(F.transform(F.split(F.col("f")[10], ""), lambda c: F.ascii(c) - 33))
-    cells = [F.col("f")[0].alias("qname"), F.col("f")[1].cast("int").alias("flag"), F.col("f")[2].alias("rname"), (F.col("f")[3].cast("int") - 1).alias("pos"), F.col("f")[4].cast("int").alias("mapq"), F.col("f")[5].alias("cigar"), F.col("f")[9].alias("seq")]
+    qual = F.when(F.get("f", F.lit(10)) == "*", F.array().cast("array<int>")).otherwise(F.transform(F.split(F.get("f", F.lit(10)), ""), lambda c: F.ascii(c) - 33))
+    cells = [F.get("f", F.lit(0)).alias("qname"), F.get("f", F.lit(1)).cast("int").alias("flag"), F.get("f", F.lit(2)).alias("rname"), (F.get("f", F.lit(3)).cast("int") - 1).alias("pos"), F.get("f", F.lit(4)).cast("int").alias("mapq"), F.get("f", F.lit(5)).alias("cigar"), F.get("f", F.lit(9)).alias("seq")]
     return f.select(*cells, qual.alias("qual"), "ordinal")
 
 
@@ -108,9 +108,9 @@ def read_reads(spark: SparkSession, path: str) -> DataFrame:
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
     """genes(seq_name, start from 1, end, strand, gene, ordinal): the CDS features of GFF3 text; gene is the ID attribute."""
     lines = spark.read.text(path).withColumn("ordinal", F.monotonically_increasing_id()).filter(~F.col("value").startswith("#"))
-    f = lines.select(F.split("value", "\t").alias("f"), "ordinal").filter((F.size("f") >= 9) & (F.col("f")[2] == "CDS"))
-    strand = F.when(F.col("f")[6] == "-", -1).when(F.col("f")[6] == "+", 1).otherwise(0)
-    return f.select(F.col("f")[0].alias("seq_name"), F.col("f")[3].cast("int").alias("start"), F.col("f")[4].cast("int").alias("end"), strand.alias("strand"), F.regexp_extract(F.col("f")[8], "(?:^|;)ID=([^;]+)", 1).alias("gene"), "ordinal")
+    f = lines.select(F.split("value", "\t").alias("f"), "ordinal").filter((F.size("f") >= 9) & (F.get("f", F.lit(2)) == "CDS"))
+    strand = F.when(F.get("f", F.lit(6)) == "-", -1).when(F.get("f", F.lit(6)) == "+", 1).otherwise(0)
+    return f.select(F.get("f", F.lit(0)).alias("seq_name"), F.get("f", F.lit(3)).cast("int").alias("start"), F.get("f", F.lit(4)).cast("int").alias("end"), strand.alias("strand"), F.regexp_extract(F.get("f", F.lit(8)), "(?:^|;)ID=([^;]+)", 1).alias("gene"), "ordinal")
 
 
 def alleles(cells: Column) -> Column:
@@ -122,5 +122,5 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     """sites(chrom, pos, ref, alt, gts): records with single-base Ref and Alt; gts are the samples' alleles in order."""
     lines = spark.read.text(path).filter(~F.col("value").startswith("#"))
     f = lines.select(F.split(F.trim("value"), "\t").alias("f")).filter(F.size("f") >= 9)
-    f = f.filter((F.length(F.col("f")[3]) == 1) & (F.length(F.col("f")[4]) == 1) & F.col("f")[8].rlike("^GT(:|$)"))
-    return f.select(F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("pos"), F.col("f")[3].alias("ref"), F.col("f")[4].alias("alt"), alleles(F.slice("f", F.lit(10), F.size("f"))).alias("gts"))
+    f = f.filter((F.length(F.get("f", F.lit(3))) == 1) & (F.length(F.get("f", F.lit(4))) == 1) & F.get("f", F.lit(8)).rlike("^GT(:|$)"))
+    return f.select(F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(1)).cast("long").alias("pos"), F.get("f", F.lit(3)).alias("ref"), F.get("f", F.lit(4)).alias("alt"), alleles(F.slice("f", F.lit(10), F.size("f"))).alias("gts"))
