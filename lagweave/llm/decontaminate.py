@@ -36,7 +36,8 @@ class Index:
     """Postings of the training tokens that the windows ask for first, with the plan of the windows' intersections.
 
     probes: win, size, off1, term1, off2, term2: the two rarest words of each window all of whose words occur.
-    postings: doc_id, tid, term, pos, first, around: a token's place and the tokens up to n - 1 before and after it.
+    postings: doc_id, tid, term, pos, first, around: a place of a window's rarest word, and the tokens up to n - 1
+    before and after it, on which the lists of the window's other words are met.
     """
 
     def __init__(self, probes: DataFrame, postings: DataFrame):
@@ -55,7 +56,7 @@ def build_index(docs: DataFrame, wins: DataFrame, n: int, doc_id: str, text: str
     second = F.when(F.size("p") > 1, F.element_at("p", 2)) if n > 1 else F.lit(None)
     probes = by_rarity.select("win", "size", F.element_at("p", 1).alias("a"), second.alias("b"))
     probes = stored(probes.select("win", "size", F.col("a.off").alias("off1"), F.col("a.term").alias("term1"), F.col("b.off").alias("off2"), F.col("b.term").alias("term2")), "index-probes")
-    asked = probes.select(F.explode(F.array("term1", "term2")).alias("term")).filter("term is not null").distinct()
+    asked = probes.select(F.col("term1").alias("term")).distinct()
     found = rows.select("doc_id", "tid", "w", F.posexplode("w").alias("pos", "term")).join(small(asked, "term"), "term")
     first = F.greatest(F.col("pos") - (n - 1), F.lit(0))
     around = F.slice("w", first + 1, F.col("pos") - first + n)
@@ -65,23 +66,19 @@ def build_index(docs: DataFrame, wins: DataFrame, n: int, doc_id: str, text: str
 def search(index: Index, near: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(exact, close): occurrences (doc_id, tid, win, start, size) and proximity matches (doc_id, tid, win).
 
-    The list of a window's rarest word and that of its second rarest, each shifted by the word's offset, are
-    intersected; what is left is held against the whole phrase. A proximity match has at least `near` of the window's
-    distinct words within n - 1 words of its rarest one, in any order.
+    Each place of a window's rarest word gives a start, shifted by the word's offset; it stays if the second rarest
+    word stands at its own offset from there, and then the whole phrase is compared. A proximity match has at least
+    `near` of the window's distinct words within n - 1 words of its rarest one, in any order.
     """
     probes = small(index.probes, "win", "term1", "term2")
     one = index.postings.join(probes, index.postings["term"] == probes["term1"])
-    one = one.withColumn("start", F.col("pos") - F.col("off1")).drop("term")
+    one = one.withColumn("start", F.col("pos") - F.col("off1")).withColumn("at", F.col("start") - F.col("first")).drop("term")
     distinct = F.array_distinct(F.split("win", " "))
     close = one.filter(F.size(F.array_intersect("around", distinct)) >= F.ceil(F.size(distinct) * near)).select("doc_id", "tid", "win").distinct()
-    cand = one.filter("start >= 0").select("doc_id", "tid", "win", "start", "size", "term2", "first", "around")
-    two = index.postings.select("doc_id", "tid", "term", "pos").join(probes.select("win", "term2", "off2"), F.col("term") == F.col("term2"))
-    two = two.select("doc_id", "tid", "win", (F.col("pos") - F.col("off2")).alias("start")).distinct()
-    keys = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("doc_id", "tid", "win", "start")]
-    both = cand.filter("term2 is not null").alias("x").join(two.alias("y"), keys[0] & keys[1] & keys[2] & keys[3], "left_semi")
-    both = both.union(cand.filter("term2 is null"))
-    phrase = F.array_join(F.slice("around", F.greatest(F.lit(1), F.col("start") - F.col("first") + 1), F.col("size")), " ")
-    return both.filter(phrase == F.col("win")).select("doc_id", "tid", "win", "start", "size").distinct(), close
+    met = F.col("term2").isNull() | (F.try_element_at("around", F.greatest(F.lit(1), F.col("at") + F.col("off2") + 1)) == F.col("term2"))
+    phrase = F.array_join(F.slice("around", F.greatest(F.lit(1), F.col("at") + 1), F.col("size")), " ")
+    exact = one.filter((F.col("start") >= 0) & met).filter(phrase == F.col("win"))
+    return exact.select("doc_id", "tid", "win", "start", "size").distinct(), close
 
 
 def hits(docs: DataFrame, items: DataFrame, *, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
