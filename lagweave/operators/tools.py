@@ -33,7 +33,9 @@ def cluster_profiles(profile: DataFrame, k: int = 2, seed: int = 0, **options) -
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = profile_vectors(profile, **options).withColumn("features", array_to_vector("features"))
+    vectors = profile_vectors(profile, **options).persist()  # one short vector a gene, read once a k-means round
+    vectors.count()
+    rows = vectors.withColumn("features", array_to_vector("features"))
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
     return model.transform(rows).select("gene", "cluster")
 
