@@ -10,8 +10,8 @@ from . import fusefilter
 from .common import col, forget, id_remainder, lower_ascii, stored
 
 PER_BUCKET = 65_536
-#: Digests of duplicated texts up to this many are broadcast for the byte check (16 bytes each); beyond it they are joined.
-BROADCAST_DIGESTS = 2_000_000
+#: Digests of duplicated texts up to this many are broadcast for the byte check (about 100 bytes each); beyond it they are joined.
+BROADCAST_DIGESTS = 300_000
 
 
 def normalised(text: Column) -> Column:
