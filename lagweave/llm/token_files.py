@@ -22,7 +22,8 @@ END_ID = 2
 #: A frame: length of the payload, its masked checksum, the payload, its masked checksum. A payload: doc_id, ids.
 LENGTH, CHECK, DOC = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qB")
 NO_ID = -(2**63)
-CACHED_WORDS = 400_000
+#: Words in the younger of the cache's two generations.
+CACHED_WORDS = 600_000
 
 
 def masked(data: bytes) -> int:
@@ -66,11 +67,18 @@ class Encoder:
         self.wide = self.lib.get_vocab_size() > 65536
         self.kind = "<u4" if self.wide else "<u2"
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
+        """Bring words into the younger generation, from the older one or by encoding them."""
+        if len(self.words) > CACHED_WORDS:
+            self.words, self.older = {}, self.words
+        known = words & self.older.keys()
+        self.words.update((w, self.older[w]) for w in known)
+        words = words - known
         stems = {w: w[:-1] if w[-1:] in (b".", b",") and w[-2:-1].isalpha() else w for w in words}
         new = [s for s in {*stems.values(), b".", b","} if s not in self.words]
         self.words.update(zip(new, self.plain([s.decode("utf-8", "surrogatepass") for s in new]), strict=True))
@@ -85,10 +93,9 @@ class Encoder:
         get = self.words.get
         ids = [*map(get, words)]
         if None in ids:
-            if len(self.words) > CACHED_WORDS:
-                self.words.clear()
-            self.learn({w for w in words if w not in self.words})
-            ids = map(self.words.__getitem__, words)
+            got = dict(zip(words, ids, strict=True))
+            self.learn({w for w, i in got.items() if i is None})
+            ids = [i if i is not None else self.words[w] for w, i in zip(words, ids, strict=True)]
         return b"".join(ids)
 
 
