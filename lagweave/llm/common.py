@@ -70,7 +70,9 @@ def packed(df: DataFrame, name: str = "row") -> Column:
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, UPPER.lower())
+    """text with A-Z lower-cased: lower() where that is all it can change, translate() where there are other letters."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
 def id_remainder(doc_id: Column, mod: int) -> Column:

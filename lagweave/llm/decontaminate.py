@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from .common import col, lower_ascii, packed, stored
 
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same runs before lower-casing.
+RAW_TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A benchmark-side table of at most this many characters is broadcast; a larger one is joined by a shuffle.
 BROADCAST_CHARS = 16_000_000
 
@@ -107,7 +109,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, n: int = 10, doc_id: str
     exact matches included. Hot passages make as many postings as they have occurrences, spread by document.
     """
     found = hits(docs, items, n=n, doc_id=doc_id, text=text, **names)
-    rows = docs.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("tid"), F.size(tokens(col(text))).cast("long").alias("n_words"))
+    rows = docs.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("tid"), F.coalesce(F.regexp_count(col(text), F.lit(RAW_TOKEN)), F.lit(0)).cast("long").alias("n_words"))
     out = rows.alias("r").join(found.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.tid") == F.col("f.tid")), "left")
     named = F.array_sort(F.transform(F.coalesce("item_ids", F.array()), lambda x: x.cast("string")))
     return out.select(
