@@ -256,6 +256,38 @@ def test_similar_texts_are_one_group(spark, docs, rows, empty):
     assert kept.columns == clashing(docs).columns and simhash_wide.keep_one(empty).count() == 0
 
 
+def brute_shingles(t, n=5):
+    w = words(lowered(t))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+@pytest.mark.parametrize("sample", [simhash_wide.SAMPLE, 30])
+def test_similar_groups_equal_brute_force(spark, monkeypatch, sample):
+    """Short texts, and long ones of few distinct words, with words added, replaced and repeated; common passages."""
+    monkeypatch.setattr(simhash_wide, "SAMPLE", sample)
+    rng = random.Random(21)
+    passage, made = prose(rng, 12), ["", "one", "one two"]
+    for n in range(6, 31):
+        base = prose(rng, n).split()
+        last, middle = [*base[:-1], "other"], [*base[: n // 2], "other", *base[n // 2 + 1 :]]
+        made += [" ".join(x) for x in (base, [*base, "more"], last, middle, [*base, "more", "still"], base[2:])] + [passage + " " + prose(rng, n)]
+    for k in range(6):
+        base = prose(rng, 1500, 100, 1000 * k).split()
+        made.append(" ".join(base))
+        for at in (5, 20, 30, 34, 40, 60):
+            w = base.copy()
+            for i in rng.sample(range(len(w)), at):
+                w[i] = f"w{1000 * k + rng.randrange(100)}"
+            made.append(" ".join(w))
+    sets = [brute_shingles(t) for t in made]
+    alike = lambda a, b: a == b or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    got = simhash_wide.similar_groups(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(made)], DOCS)).collect()
+    least = {}
+    for r in got:
+        least[r.root] = min(least.get(r.root, r.doc_id), r.doc_id)
+    assert {r.doc_id: least[r.root] for r in got} == brute_components(range(len(made)), alike)
+
+
 # 10 decontamination
 
 
