@@ -38,55 +38,70 @@ class Index:
     """Postings of the training tokens that the windows ask for first, with the plan of the windows' intersections.
 
     probes: win, size, off1, term1, off2, term2: the two rarest words of each window all of whose words occur.
-    postings: doc_id, tid, term, pos, first, around: a place of a window's rarest word, and the tokens up to n - 1
-    before and after it, on which the lists of the window's other words are met.
+    close: win, term, need: the words by which proximity matches of each window are found, and how many must be met.
+    postings: doc_id, tid, term, pos, first, around: a place of such a word, and the tokens up to n - 1 before and
+    after it, on which the lists of the window's other words are met.
     """
 
-    def __init__(self, probes: DataFrame, postings: DataFrame):
-        self.probes, self.postings = probes, postings
+    def __init__(self, probes: DataFrame, close: DataFrame | None, postings: DataFrame):
+        self.probes, self.close, self.postings = probes, close, postings
 
 
-def build_index(docs: DataFrame, wins: DataFrame, n: int, doc_id: str, text: str) -> Index:
+def build_index(docs: DataFrame, wins: DataFrame, n: int, doc_id: str, text: str, near: float | None = 0.8) -> Index:
+    """The index for exact matches and, unless near is None, for proximity matches.
+
+    Of a window's m distinct words at least k = ceil(near * m) are to be met, so one of any m - k + 1 is: the rarest ones
+    are asked for, words that no document has among them. All asked for absent: no match is possible.
+    """
     rows = docs.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("tid"), tokens(col(text)).alias("w"))
     places = wins.select("win", "size").distinct().select("win", "size", F.posexplode(F.split("win", " ")).alias("off", "term"))
     places = stored(places, "index-places")
     vocabulary = small(places.select("term").distinct(), "term")
     counts = rows.select(F.explode("w").alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n"))
     counts = stored(counts, "index-counts")
-    by_rarity = places.join(counts, "term").groupBy("win", "size").agg(F.array_sort(F.collect_list(F.struct("n", "off", "term"))).alias("p"))
-    by_rarity = by_rarity.filter(F.size("p") == F.col("size"))  # a window with a word that no document has can't occur
+    rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term")
+    by_rarity = stored(places.join(counts, "term", "left").groupBy("win", "size").agg(F.array_sort(F.collect_list(rarity)).alias("p")), "index-rarity")
+    whole = by_rarity.filter(F.element_at("p", 1)["n"] > 0)  # a window with a word that no document has can't occur
     second = F.when(F.size("p") > 1, F.element_at("p", 2)) if n > 1 else F.lit(None)
-    probes = by_rarity.select("win", "size", F.element_at("p", 1).alias("a"), second.alias("b"))
+    probes = whole.select("win", "size", F.element_at("p", 1).alias("a"), second.alias("b"))
     probes = stored(probes.select("win", "size", F.col("a.off").alias("off1"), F.col("a.term").alias("term1"), F.col("b.off").alias("off2"), F.col("b.term").alias("term2")), "index-probes")
-    asked = probes.select(F.col("term1").alias("term")).distinct()
-    found = rows.select("doc_id", "tid", "w", F.posexplode("w").alias("pos", "term")).join(small(asked, "term"), "term")
+    asked, close = probes.select(F.col("term1").alias("term")), None
+    if near is not None:
+        m = F.size("words")
+        close = by_rarity.select("win", F.array_distinct(F.transform("p", lambda x: x["term"])).alias("words")).withColumn("need", F.greatest(F.lit(1), F.ceil(m * near - 1e-9)).cast("int"))
+        close = stored(close.select("win", "need", F.explode(F.slice("words", F.lit(1), m - F.col("need") + 1)).alias("term")), "index-close")
+        asked = asked.union(close.select("term"))
+    found = rows.select("doc_id", "tid", "w", F.posexplode("w").alias("pos", "term")).join(small(asked.distinct(), "term"), "term")
     first = F.greatest(F.col("pos") - (n - 1), F.lit(0))
     around = F.slice("w", first + 1, F.col("pos") - first + n)
-    return Index(probes, stored(found.select("doc_id", "tid", "term", "pos", first.alias("first"), around.alias("around")), "index-postings"))
+    return Index(probes, close, stored(found.select("doc_id", "tid", "term", "pos", first.alias("first"), around.alias("around")), "index-postings"))
 
 
-def search(index: Index, near: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def search(index: Index) -> tuple[DataFrame, DataFrame | None]:
     """(exact, close): occurrences (doc_id, tid, win, start, size) and proximity matches (doc_id, tid, win).
 
     Each place of a window's rarest word gives a start, shifted by the word's offset; it stays if the second rarest
-    word stands at its own offset from there, and then the whole phrase is compared. A proximity match has at least
-    `near` of the window's distinct words within n - 1 words of its rarest one, in any order.
+    word stands at its own offset from there, and then the whole phrase is compared. A proximity match has enough of the
+    window's distinct words within n - 1 words of one of those asked for, in any order, so no n words of a document that
+    hold as many are missed.
     """
     probes = small(index.probes, "win", "term1", "term2")
     one = index.postings.join(probes, index.postings["term"] == probes["term1"])
     one = one.withColumn("start", F.col("pos") - F.col("off1")).withColumn("at", F.col("start") - F.col("first")).drop("term")
-    distinct = F.array_distinct(F.split("win", " "))
-    close = one.filter(F.size(F.array_intersect("around", distinct)) >= F.ceil(F.size(distinct) * near)).select("doc_id", "tid", "win").distinct()
     met = F.col("term2").isNull() | (F.try_element_at("around", F.greatest(F.lit(1), F.col("at") + F.col("off2") + 1)) == F.col("term2"))
     phrase = F.array_join(F.slice("around", F.greatest(F.lit(1), F.col("at") + 1), F.col("size")), " ")
     exact = one.filter((F.col("start") >= 0) & met).filter(phrase == F.col("win"))
+    close = None
+    if index.close is not None:
+        beside = index.postings.join(small(index.close, "win", "term"), "term")
+        close = beside.filter(F.size(F.array_intersect("around", F.split("win", " "))) >= F.col("need")).select("doc_id", "tid", "win").distinct()
     return exact.select("doc_id", "tid", "win", "start", "size").distinct(), close
 
 
-def hits(docs: DataFrame, items: DataFrame, *, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, tid, n_hit, item_ids, n_near) of the documents in which a window of the items occurs, or nearly."""
+def hits(docs: DataFrame, items: DataFrame, *, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", near: float | None = 0.8) -> DataFrame:
+    """(doc_id, tid, n_hit, item_ids, n_near) of the documents in which a window of the items occurs, or nearly; near None: exact ones only."""
     wins = stored(windows_of(items, item_id, item_text, n), "index-windows")
-    exact, close = search(build_index(docs, wins, n, doc_id, text))
+    exact, close = search(build_index(docs, wins, n, doc_id, text, near))
     exact = stored(exact, "index-exact")
     spans = exact.groupBy("doc_id", "tid", "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
     before = Window.partitionBy("doc_id", "tid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # one document's hits
@@ -94,8 +109,12 @@ def hits(docs: DataFrame, items: DataFrame, *, n: int = 10, doc_id: str = "doc_i
     covered = spans.withColumn("new", new).groupBy("doc_id", "tid").agg(F.sum("new").alias("n_hit"))
     of = wins.select("win", "item_id")
     named = exact.select("doc_id", "tid", "win").distinct().join(of, "win").groupBy("doc_id", "tid").agg(F.collect_set("item_id").alias("item_ids"))
-    nearly = close.join(of, "win").select("doc_id", "tid", "item_id").distinct().groupBy("doc_id", "tid").agg(F.count("*").alias("n_near"))
-    parts = covered.unionByName(named, allowMissingColumns=True).unionByName(nearly, allowMissingColumns=True)
+    parts = covered.unionByName(named, allowMissingColumns=True)
+    if close is None:
+        parts = parts.withColumn("n_near", F.lit(None).cast("long"))
+    else:
+        nearly = close.join(of, "win").select("doc_id", "tid", "item_id").distinct().groupBy("doc_id", "tid").agg(F.count("*").alias("n_near"))
+        parts = parts.unionByName(nearly, allowMissingColumns=True)
     return parts.groupBy("doc_id", "tid").agg(F.max("n_hit").alias("n_hit"), F.first("item_ids", ignorenulls=True).alias("item_ids"), F.max("n_near").alias("n_near"))
 
 
@@ -105,8 +124,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, n: int = 10, doc_id: str
     Words are runs of ASCII letters, digits and all other characters beyond ASCII, A-Z lower-cased. A window is n
     consecutive words of an item; a document word inside any occurrence of one is hit. Null and wordless texts have no
     words and no hits; repeated rows have the same figures each; items without words have no windows; an empty
-    benchmark hits nothing. n_near counts the items with a window whose words nearly all stand close together,
-    exact matches included. Hot passages make as many postings as they have occurrences, spread by document.
+    benchmark hits nothing. n_near counts the items with a window whose words nearly all (four fifths of the distinct
+    ones) stand close together, exact matches included. Hot passages make as many postings as they have occurrences, spread by document.
     """
     found = hits(docs, items, n=n, doc_id=doc_id, text=text, **names)
     rows = docs.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("tid"), F.coalesce(F.regexp_count(col(text), F.lit(RAW_TOKEN)), F.lit(0)).cast("long").alias("n_words"))
@@ -129,7 +148,7 @@ BROADCAST_KEYS = 1_000_000
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, n: int = 10, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
     """docs without the rows in which a window of the items occurs; columns unchanged."""
-    bad = stored(hits(docs, items, n=n, doc_id=doc_id, text=text, **names).filter("n_hit > 0").select("doc_id", "tid"), "index-bad")
+    bad = stored(hits(docs, items, n=n, doc_id=doc_id, text=text, near=None, **names).filter("n_hit > 0").select("doc_id", "tid"), "index-bad")
     if bad.count() <= BROADCAST_KEYS:
         bad = F.broadcast(bad)
     rows = docs.select(packed(docs), col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("tid"))

@@ -325,6 +325,42 @@ def test_contamination_equals_searching(spark, empty):
     assert D.contamination(near, bench).first().n_near >= 1
 
 
+def test_near_passages_are_counted(spark, tmp_path):
+    """A window whose rarest word is altered, or that has a word no document has; else between what must and what may match."""
+    from lagweave.llm.queries import op10_decontaminate
+
+    rng = random.Random(17)
+    items = [(1, "common0 common1 common2 common3 rare common4 common5 common6 common7 common8"), (2, " ".join(f"p{k}" for k in range(9)) + " nowhere")]
+    items += [(10 + k, prose(rng, 14, 25)) for k in range(6)]
+    shuffled = [f"p{k}" for k in range(9)]
+    rng.shuffle(shuffled)
+    made = [(1, items[0][1].replace("rare", "altered")), (2, "rare alone"), (3, " ".join(shuffled)), (4, "p0 p1 p2 p3 p4 p5 p6"), (5, None)]
+    for k in range(60):
+        w = items[2 + k % 6][1].split()[k % 4 : k % 4 + 11]
+        for _ in range(k % 5):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(30)}"
+        made.append((10 + k, " ".join(rng.sample(w, len(w)) + prose(rng, 6, 30).split())))
+    made += [(100 + k, " ".join(f"common{j}" for j in range(9) if j != k)) for k in range(9)]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in made], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in op10_decontaminate(spark, str(tmp_path)).collect()}
+    assert {i: (got[i].n_near, got[i].contaminated) for i in range(1, 6)} == {1: (1, False), 2: (0, False), 3: (1, False), 4: (0, False), 5: (0, False)}
+    assert all(got[100 + k].n_near == 1 for k in range(9))
+
+    def within(w, v, reach):
+        wins = [{*v[k : k + 10]} for k in range(max(1, len(v) - 9))]
+        return any(len({*part} & s) >= math.ceil(0.8 * len(s)) for s in wins for part in (reach(w, i) for i in range(len(w)) if reach is stretch or w[i] in s))
+
+    stretch = lambda w, i: w[i : i + 10]
+    around = lambda w, i: w[max(0, i - 9) : i + 10]
+    total = 0
+    for i, t in made[5:65]:
+        must, may = (sum(within(t.split(), v.split(), f) for _, v in items) for f in (stretch, around))
+        assert must <= got[i].n_near <= may
+        total += must
+    assert total > 20
+
+
 # 4 secrets
 
 
