@@ -22,6 +22,8 @@ FILTER_BYTES = 96 << 20
 PER_SHARD = 2_000_000
 PIECE, FLUSH = 1 << 20, 1_500_000
 PRIOR = 20.0
+#: What a word that training does not have counts as in the smoothed score.
+UNSEEN = 0.5
 
 _RNG = np.random.default_rng(5)
 TABLE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -214,9 +216,8 @@ class Scorer:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, shards: int, blobs: dict[int, bytes], first: bool):
         self.hashes, self.counts, self.tokens, self.distinct, self.shards, self.blobs, self.first = hashes, counts, tokens, distinct, shards, blobs, first
         self.scale = tokens + 0.5 * (distinct + 1)
-        tail_words, tail_tokens = distinct - len(hashes), tokens - int(counts.sum())
-        #: A word beyond the head counts as often as those words do on average, with one more that was never seen.
-        self.tail = (tail_tokens + 0.5) / (tail_words + 1)
+        #: Whether a word beyond the head is one that training doesn't have.
+        self.complete = len(hashes) == distinct
 
     def head(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, whether it is in the head) of each token."""
@@ -226,13 +227,14 @@ class Scorer:
         known = self.hashes[at] == h
         return np.where(known, self.counts[at], 0).astype(float), known
 
-    def log10(self, token: np.ndarray, prev: np.ndarray, count: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """log10 probability of the tokens whose pair lies in this pass's shards, 0 for the others.
+    def log10(self, token: np.ndarray, prev: np.ndarray, count: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 probability, context, quantised pair count, whether open) of the tokens whose pair lies in this pass's shards.
 
         The pair's count, known to a power of two, is smoothed with the word's share as prior; START counts as often
-        as END, as each text has one of both.
+        as END, as each text has one of both. Pairs with a word that the vocabulary must be asked for are open and add 0
+        here, as do those of other passes' shards.
         """
-        h = pairs(prev, token)
+        h, context = pairs(prev, token), np.where(prev == START, END, prev)
         shard = ((h >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
         q, mine = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
         order = np.argsort(shard, kind="stable")
@@ -242,26 +244,36 @@ class Scorer:
             q[at] = probe_shard(blob, h[at])
             mine[at] = True
         pair = np.where(q > 0, 0.75 * 2.0**q - 0.5 * (q == 1), 0.0)
-        word = np.minimum(1.0, (np.where(known, count, self.tail) + 0.5) / self.scale)
-        before, there = self.head(np.where(prev == START, END, prev))
-        before = np.maximum(np.where(there, before, self.tail), pair)
-        return np.where(mine, np.log10((pair + PRIOR * word) / (before + PRIOR)), 0.0)
+        word = np.minimum(1.0, (np.where(known, count, UNSEEN) + 0.5) / self.scale)
+        before, there = self.head(context)
+        before = np.maximum(np.where(there, before, UNSEEN), pair)
+        left = mine & ~(known & there) & (not self.complete)
+        return np.where(mine & ~left, np.log10((pair + PRIOR * word) / (before + PRIOR)), 0.0), context, q, left
 
     def score(self, texts: list[str | None]) -> dict[str, np.ndarray]:
+        """Sums by text; tail: each text's tokens beyond the head; open: its pairs that the vocabulary must complete."""
         n = len(texts)
         out = {k: np.zeros(n) for k in ("tokens", "known", "base", "score")}
-        tail: list[list[np.ndarray]] = [[] for _ in range(n)]
+        tail, rest = [], []
         for which, token, prev in pieces(texts):
             count, known = self.head(token)
-            out["score"] += np.bincount(which, self.log10(token, prev, count, known), n)
+            p, context, q, left = self.log10(token, prev, count, known)
+            out["score"] += np.bincount(which, p, n)
+            rest.append((which[left], token[left], context[left], q[left]))
             if self.first:
                 out["tokens"] += np.bincount(which, minlength=n)
                 out["known"] += np.bincount(which, known, n)
                 out["base"] += np.bincount(which, np.where(known, np.log10((count + 0.5) / self.scale), 0.0), n)
-                at = np.flatnonzero(~known)
-                for i, h in zip(which[at], token[at], strict=True):
-                    tail[i].append(h)
-        return out | {"tail": tail}
+                tail.append((which[~known], token[~known]))
+        return out | {"tail": by_text(tail, n, 1), "open": by_text(rest, n, 3)}
+
+
+def by_text(parts: list[tuple[np.ndarray, ...]], n: int, columns: int) -> list[pa.Array]:
+    """An array<long> of n texts for each column; a part has the text numbers in order, and then the columns."""
+    which = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+    offsets = pa.array(np.searchsorted(which, np.arange(n + 1)), pa.int32())
+    flat = [np.concatenate([p[i + 1] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(columns)]
+    return [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64, copy=False) if x.dtype != np.uint64 else x.view(np.int64))) for x in flat]
 
 
 def head_of(vocab: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -280,6 +292,22 @@ def head_of(vocab: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
+def completed(done: list[DataFrame], vocab: DataFrame, scale: float) -> DataFrame:
+    """(rid, rest): the log10 probabilities of the passes' open pairs, with the vocabulary's counts of both words."""
+    kind = "array<struct<token:long,context:long,level:long>>"
+    parts = [d.select("rid", F.explode(F.arrays_zip("token", "context", "level").cast(kind)).alias("x")) for d in done]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.union(p)
+    rows = rows.select("rid", "x.token", "x.context", "x.level").groupBy("rid", "token", "context", "level").agg(F.count("*").alias("times"))
+    words = lambda name, n: vocab.select(F.col("hash").alias(name), F.col("n").cast("double").alias(n))
+    rows = rows.join(words("token", "n"), "token", "left").join(words("context", "before"), "context", "left")
+    pair = F.when(F.col("level") > 0, 0.75 * F.pow(F.lit(2.0), F.col("level")) - F.when(F.col("level") == 1, 0.5).otherwise(0.0)).otherwise(0.0)
+    word = F.least(F.lit(1.0), (F.coalesce("n", F.lit(UNSEEN)) + 0.5) / F.lit(float(scale)))
+    before = F.greatest(F.coalesce("before", F.lit(UNSEEN)), pair)
+    return rows.groupBy("rid").agg(F.sum(F.col("times") * F.log10((pair + PRIOR * word) / (before + PRIOR))).alias("rest"))
+
+
 def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_out: Column | None = None, mod: int = 5, out: int = 1, head_words: int = HEAD_WORDS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """Score every row under models of the rows that aren't held out (crc32 of the id mod `mod` is `out`).
 
@@ -287,7 +315,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_o
     alone. Returns doc_id, held_out, n_tokens, n_known (tokens that training has), train_tokens, base_score (unigram,
     add 0.5, exact counts) and score: log10 probability under word pairs, whose counts come from a log-frequency Bloom
     filter, smoothed with the words' shares. Words are told apart by 64-bit hashes. Counts cover all training texts:
-    frequent words are broadcast, the others join by hash; the filter is broadcast as a whole up to filter_bytes and
+    frequent words are broadcast, the others join by hash, in both scores, so head_words changes neither; the filter is broadcast as a whole up to filter_bytes and
     else in passes of that size, whose partial scores add up. An empty training set makes every word unknown.
     """
     spark = docs.sparkSession
@@ -310,7 +338,7 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_o
         size += r["size"]
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), col(doc_id).cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), col(text).alias("text"))
-    schema = "rid long, doc_id long, held_out boolean, tokens long, known long, base double, score double, tail array<long>"
+    schema = "rid long, doc_id long, held_out boolean, tokens long, known long, base double, score double, tail array<long>, token array<long>, context array<long>, level array<long>"
 
     def one(only: list[int], first: bool) -> DataFrame:
         wanted = filters.select("shard", "filter").filter(F.col("shard").isin(only))  # filter_bytes in all, fetched file by file
@@ -326,16 +354,17 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_o
                 for at in range(0, batch.num_rows, 2048):
                     part = batch.slice(at, 2048)
                     r = s.score(part.column(3).to_pylist())
-                    tail = pa.array([np.array(t, np.uint64).view(np.int64) for t in r["tail"]], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(r["tokens"].astype(np.int64)), pa.array(r["known"].astype(np.int64)), pa.array(r["base"]), pa.array(r["score"]), tail], schema.replace(",", "").split(" ")[::2])
+                    yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(r["tokens"].astype(np.int64)), pa.array(r["known"].astype(np.int64)), pa.array(r["base"]), pa.array(r["score"]), *r["tail"], *r["open"]], schema.replace(",", "").split(" ")[::2])
 
         return rows.mapInArrow(run, schema)
 
-    scored = one(passes[0], True)
-    for only in passes[1:]:
-        more = one(only, False).select("rid", F.col("score").alias("more"))
-        scored = scored.join(stored(more, "lm-pass"), "rid").withColumn("score", F.col("score") + F.col("more")).drop("more")
-    scored = stored(scored, "lm-scores")
+    done = [stored(one(only, k == 0), "lm-pass") for k, only in enumerate(passes)]
+    scored = done[0].select("rid", "doc_id", "held_out", "tokens", "known", "base", "score", "tail")
+    for more in done[1:]:
+        scored = scored.join(more.select("rid", F.col("score").alias("more")), "rid").withColumn("score", F.col("score") + F.col("more")).drop("more")
+    if len(hashes) < distinct:
+        scored = scored.join(completed(done, vocab, tokens + 0.5 * (distinct + 1)), "rid", "left").withColumn("score", F.col("score") + F.coalesce("rest", F.lit(0.0))).drop("rest")
+    scored = stored(scored, "lm-scores") if len(done) > 1 or len(hashes) < distinct else scored
     scale = tokens + 0.5 * (distinct + 1)
     rare = scored.select("rid", F.explode("tail").alias("hash")).groupBy("rid", "hash").agg(F.count("*").alias("times")).join(vocab, "hash", "left")
     rare = rare.groupBy("rid").agg(

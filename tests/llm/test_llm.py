@@ -421,6 +421,16 @@ def test_scores_and_counts(docs, rows, empty):
     assert lm_score.score(docs, held_out=F.lit(True)).filter("n_known > 0 or score > 0").count() == 0
 
 
+@pytest.mark.parametrize("options", [{"head_words": 50}, {"head_words": 0}, {"head_words": 50, "filter_bytes": 3000}])
+def test_scores_do_not_depend_on_the_broadcast_words(docs, options):
+    """Frequent, rare and unseen words, as tokens and as contexts."""
+    want, got = ({(r.doc_id, r.n_tokens): r for r in lm_score.score(docs, **o).collect()} for o in ({}, options))
+    assert want.keys() == got.keys()
+    for k, r in got.items():
+        assert (r.n_known, r.train_tokens) == (want[k].n_known, want[k].train_tokens)
+        assert math.isclose(r.score, want[k].score, rel_tol=1e-9) and math.isclose(r.base_score, want[k].base_score, rel_tol=1e-9)
+
+
 def test_bloom_levels_never_undercount():
     rng = np.random.default_rng(2)
     h, c = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64)), rng.integers(1, 5000, 5000)
