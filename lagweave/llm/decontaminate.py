@@ -6,17 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import col, lower_ascii, packed, stored
+from .common import col, forget, lower_ascii, packed, stored
 
-TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same runs before lower-casing.
-RAW_TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Runs of digits, letters and all characters beyond ASCII.
+TOKEN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"
 #: A benchmark-side table of at most this many characters is broadcast; a larger one is joined by a shuffle.
 BROADCAST_CHARS = 16_000_000
 
 
 def tokens(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(lower_ascii(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    """The words of a text, A-Z lower-cased; null has none (an array without elements)."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    return F.transform(found, lower_ascii)
+
+
+def tokenised(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, tid, w), stored: the words of every row, which the counts, the postings and the results all read."""
+    return stored(docs.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("tid"), tokens(col(text)).alias("w")), "index-tokens")
 
 
 def small(df: DataFrame, *measured: str) -> DataFrame:
@@ -35,25 +41,26 @@ def windows_of(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame:
 
 
 class Index:
-    """Postings of the training tokens that the windows ask for first, with the plan of the windows' intersections.
+    """Postings of the training tokens that the windows ask for, with the plan of the windows' intersections.
 
-    probes: win, size, off1, term1, off2, term2: the two rarest words of each window all of whose words occur.
+    probes: wid (a hash of win), win, size, off1, term1, off2, term2: the two rarest words of each window all of whose
+    words occur, the earlier place first where a word is repeated; term2 is null in a window of one word.
     close: win, term, need: the words by which proximity matches of each window are found, and how many must be met.
-    postings: doc_id, tid, term, pos, first, around: a place of such a word, and the tokens up to n - 1 before and
-    after it, on which the lists of the window's other words are met.
+    postings: doc_id, tid, term, pos, first, around: the places of these words; around holds the tokens up to n - 1
+    before and after, joined by spaces (the first of them at place `first`), where the word is a window's rarest or asked
+    for by close.
     """
 
     def __init__(self, probes: DataFrame, close: DataFrame | None, postings: DataFrame):
         self.probes, self.close, self.postings = probes, close, postings
 
 
-def build_index(docs: DataFrame, wins: DataFrame, n: int, doc_id: str, text: str, near: float | None = 0.8) -> Index:
-    """The index for exact matches and, unless near is None, for proximity matches.
+def build_index(rows: DataFrame, wins: DataFrame, n: int, near: float | None = 0.8) -> Index:
+    """The index of tokenised rows for exact matches and, unless near is None, for proximity matches.
 
     Of a window's m distinct words at least k = ceil(near * m) are to be met, so one of any m - k + 1 is: the rarest ones
     are asked for, words that no document has among them. All asked for absent: no match is possible.
     """
-    rows = docs.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("tid"), tokens(col(text)).alias("w"))
     places = wins.select("win", "size").distinct().select("win", "size", F.posexplode(F.split("win", " ")).alias("off", "term"))
     places = stored(places, "index-places")
     vocabulary = small(places.select("term").distinct(), "term")
@@ -62,46 +69,52 @@ def build_index(docs: DataFrame, wins: DataFrame, n: int, doc_id: str, text: str
     rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term")
     by_rarity = stored(places.join(counts, "term", "left").groupBy("win", "size").agg(F.array_sort(F.collect_list(rarity)).alias("p")), "index-rarity")
     whole = by_rarity.filter(F.element_at("p", 1)["n"] > 0)  # a window with a word that no document has can't occur
-    second = F.when(F.size("p") > 1, F.element_at("p", 2)) if n > 1 else F.lit(None)
-    probes = whole.select("win", "size", F.element_at("p", 1).alias("a"), second.alias("b"))
-    probes = stored(probes.select("win", "size", F.col("a.off").alias("off1"), F.col("a.term").alias("term1"), F.col("b.off").alias("off2"), F.col("b.term").alias("term2")), "index-probes")
-    asked, close = probes.select(F.col("term1").alias("term")), None
+    probes = whole.select(F.xxhash64("win").alias("wid"), "win", "size", F.element_at("p", 1).alias("a"), F.when(F.size("p") > 1, F.try_element_at("p", F.lit(2))).alias("b"))
+    probes = stored(probes.select("wid", "win", "size", F.col("a.off").alias("off1"), F.col("a.term").alias("term1"), F.col("b.off").alias("off2"), F.col("b.term").alias("term2")), "index-probes")
+    asked, close = probes.select(F.explode_outer(F.array(F.struct(F.col("term1").alias("term"), F.lit(True).alias("wide")), F.struct(F.col("term2").alias("term"), F.lit(False).alias("wide")))).alias("x")).select("x.*"), None
     if near is not None:
         m = F.size("words")
         close = by_rarity.select("win", F.array_distinct(F.transform("p", lambda x: x["term"])).alias("words")).withColumn("need", F.greatest(F.lit(1), F.ceil(m * near - 1e-9)).cast("int"))
         close = stored(close.select("win", "need", F.explode(F.slice("words", F.lit(1), m - F.col("need") + 1)).alias("term")), "index-close")
-        asked = asked.union(close.select("term"))
-    found = rows.select("doc_id", "tid", "w", F.posexplode("w").alias("pos", "term")).join(small(asked.distinct(), "term"), "term")
+        asked = asked.union(close.select("term", F.lit(True)))
+    asked = small(asked.filter("term is not null").groupBy("term").agg(F.max("wide").alias("wide")), "term")
+    found = rows.select("doc_id", "tid", "w", F.posexplode("w").alias("pos", "term")).join(asked, "term")
     first = F.greatest(F.col("pos") - (n - 1), F.lit(0))
-    around = F.slice("w", first + 1, F.col("pos") - first + n)
-    return Index(probes, close, stored(found.select("doc_id", "tid", "term", "pos", first.alias("first"), around.alias("around")), "index-postings"))
+    around = F.array_join(F.slice("w", first + 1, F.col("pos") - first + n), " ")  # no lambda: it would copy w for each place
+    postings = found.select("doc_id", "tid", "term", "pos", first.alias("first"), F.when(F.col("wide"), around).alias("around"))
+    return Index(probes, close, stored(postings, "index-postings"))
 
 
 def search(index: Index) -> tuple[DataFrame, DataFrame | None]:
     """(exact, close): occurrences (doc_id, tid, win, start, size) and proximity matches (doc_id, tid, win).
 
-    Each place of a window's rarest word gives a start, shifted by the word's offset; it stays if the second rarest
-    word stands at its own offset from there, and then the whole phrase is compared. A proximity match has enough of the
-    window's distinct words within n - 1 words of one of those asked for, in any order, so no n words of a document that
-    hold as many are missed.
+    The list of a window's rarest word and that of its second rarest, each shifted by the word's offset to the start of
+    the window, are intersected; the places that are in both are held against the whole phrase. A proximity match has
+    enough of the window's distinct words within n - 1 words of one of those asked for, in any order, so no n words of
+    a document that hold as many are missed.
     """
     probes = small(index.probes, "win", "term1", "term2")
-    one = index.postings.join(probes, index.postings["term"] == probes["term1"])
-    one = one.withColumn("start", F.col("pos") - F.col("off1")).withColumn("at", F.col("start") - F.col("first")).drop("term")
-    met = F.col("term2").isNull() | (F.try_element_at("around", F.greatest(F.lit(1), F.col("at") + F.col("off2") + 1)) == F.col("term2"))
-    phrase = F.array_join(F.slice("around", F.greatest(F.lit(1), F.col("at") + 1), F.col("size")), " ")
-    exact = one.filter((F.col("start") >= 0) & met).filter(phrase == F.col("win"))
+    one = index.postings.join(probes.withColumnRenamed("term1", "term"), "term")
+    one = one.withColumn("start", F.col("pos") - F.col("off1")).filter("start >= 0")
+    two = index.postings.select("doc_id", "tid", "term", "pos").join(probes.select("wid", F.col("term2").alias("term"), "off2"), "term")
+    two = two.select("doc_id", "tid", "wid", (F.col("pos") - F.col("off2")).alias("start"))
+    same = F.lit(True)
+    for c in ("doc_id", "tid", "wid", "start"):
+        same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    both = one.filter("term2 is not null").alias("x").join(two.alias("y"), same, "left_semi").union(one.filter("term2 is null"))
+    phrase = F.array_join(F.slice(F.split("around", " "), F.greatest(F.lit(1), F.col("start") - F.col("first") + 1), F.col("size")), " ")
+    exact = both.filter(phrase == F.col("win")).select("doc_id", "tid", "win", "start", "size")
     close = None
     if index.close is not None:
         beside = index.postings.join(small(index.close, "win", "term"), "term")
-        close = beside.filter(F.size(F.array_intersect("around", F.split("win", " "))) >= F.col("need")).select("doc_id", "tid", "win").distinct()
-    return exact.select("doc_id", "tid", "win", "start", "size").distinct(), close
+        close = beside.filter(F.size(F.array_intersect(F.split("around", " "), F.split("win", " "))) >= F.col("need")).select("doc_id", "tid", "win").distinct()
+    return exact.distinct(), close
 
 
-def hits(docs: DataFrame, items: DataFrame, *, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", near: float | None = 0.8) -> DataFrame:
-    """(doc_id, tid, n_hit, item_ids, n_near) of the documents in which a window of the items occurs, or nearly; near None: exact ones only."""
+def hits(rows: DataFrame, items: DataFrame, *, n: int = 10, item_id: str = "item_id", item_text: str = "text", near: float | None = 0.8) -> DataFrame:
+    """(doc_id, tid, n_hit, item_ids, n_near) of the tokenised rows in which a window of the items occurs, or nearly; near None: exact ones only."""
     wins = stored(windows_of(items, item_id, item_text, n), "index-windows")
-    exact, close = search(build_index(docs, wins, n, doc_id, text, near))
+    exact, close = search(build_index(rows, wins, n, near))
     exact = stored(exact, "index-exact")
     spans = exact.groupBy("doc_id", "tid", "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
     before = Window.partitionBy("doc_id", "tid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # one document's hits
@@ -125,11 +138,12 @@ def contamination(docs: DataFrame, items: DataFrame, *, n: int = 10, doc_id: str
     consecutive words of an item; a document word inside any occurrence of one is hit. Null and wordless texts have no
     words and no hits; repeated rows have the same figures each; items without words have no windows; an empty
     benchmark hits nothing. n_near counts the items with a window whose words nearly all (four fifths of the distinct
-    ones) stand close together, exact matches included. Hot passages make as many postings as they have occurrences, spread by document.
+    ones) stand close together, exact matches included. An item without an
+    id hits words but has no name to count. Hot passages make as many postings as they have occurrences, spread by document.
     """
-    found = hits(docs, items, n=n, doc_id=doc_id, text=text, **names)
-    rows = docs.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("tid"), F.coalesce(F.regexp_count(col(text), F.lit(RAW_TOKEN)), F.lit(0)).cast("long").alias("n_words"))
-    out = rows.alias("r").join(found.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.tid") == F.col("f.tid")), "left")
+    rows = tokenised(docs, doc_id, text)
+    found = hits(rows, items, n=n, **names)
+    out = rows.select("doc_id", "tid", F.size("w").cast("long").alias("n_words")).alias("r").join(found.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.tid") == F.col("f.tid")), "left")
     named = F.array_sort(F.transform(F.coalesce("item_ids", F.array()), lambda x: x.cast("string")))
     return out.select(
         "r.doc_id",
@@ -148,7 +162,9 @@ BROADCAST_KEYS = 1_000_000
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, n: int = 10, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
     """docs without the rows in which a window of the items occurs; columns unchanged."""
-    bad = stored(hits(docs, items, n=n, doc_id=doc_id, text=text, near=None, **names).filter("n_hit > 0").select("doc_id", "tid"), "index-bad")
+    words = tokenised(docs, doc_id, text)
+    bad = stored(hits(words, items, n=n, near=None, **names).filter("n_hit > 0").select("doc_id", "tid"), "index-bad")
+    forget(words)
     if bad.count() <= BROADCAST_KEYS:
         bad = F.broadcast(bad)
     rows = docs.select(packed(docs), col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("tid"))
