@@ -224,11 +224,11 @@ def test_simhash_groups_equal_brute_force(docs, rows, empty):
 
 def test_long_texts_read_in_pieces_are_read_whole(monkeypatch):
     text = prose(random.Random(1), 3000)
-    whole, wide = simhash.fingerprint(text, 3), simhash_wide.fingerprints(text, 5)
+    whole, wide = simhash.fingerprint(text, 3), simhash_wide.shingle_sets([text.encode()], 5)
     monkeypatch.setattr(simhash, "CHUNK", 100)
     monkeypatch.setattr(simhash_wide, "CHUNK", 100)
     assert simhash.fingerprint(text, 3) == whole == brute_fingerprint(text, 3)
-    assert all((a == b).all() for a, b in zip(simhash_wide.fingerprints(text, 5), wide, strict=True))
+    assert all((a == b).all() for a, b in zip(simhash_wide.shingle_sets([text.encode()], 5), wide, strict=True))
 
 
 def test_long_chains_of_edges_meet(spark):
@@ -261,10 +261,37 @@ def brute_shingles(t, n=5):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-@pytest.mark.parametrize("sample", [simhash_wide.SAMPLE, 30])
-def test_similar_groups_equal_brute_force(spark, monkeypatch, sample):
+def test_shingle_sets_of_texts_together_and_alone():
+    rng = random.Random(2)
+    texts = [b"", b" \n", b"one", b"Two words", *[prose(rng, rng.randrange(1, 40), 5).encode() for _ in range(60)], b"x " * 30, b""]
+    which, runs, node = simhash_wide.shingle_sets(texts, 5)
+    assert np.bincount(which, minlength=len(texts)).tolist() == [len(brute_shingles(t.decode())) for t in texts]
+    for i, t in enumerate(texts):
+        _, alone, n = simhash_wide.shingle_sets([t], 5)
+        assert (runs[which == i] == alone).all() and n[0] == node[i] and (len(alone) > 0) == (n[0] > 0)
+
+
+def test_gaps_hold_the_cells():
+    rng = np.random.default_rng(3)
+    for most in (1, 3, 300, 65_536):
+        cells = np.sort(rng.integers(0, most, 500))
+        assert (simhash_wide.of_gaps(simhash_wide.in_gaps(cells)) == cells).all()
+    assert len(simhash_wide.of_gaps(simhash_wide.in_gaps(np.zeros(0, np.int64)))) == 0
+
+
+def test_rarities_count_all_texts(spark):
+    texts = ["a b c d e"] * 40 + ["f g h i j k"] * 3 + [None, ""]
+    table = simhash_wide.rarities(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).repartition(3), "text", 5)
+    cell = lambda t: simhash_wide.shingles([t], 5)[1] >> np.uint64(64 - simhash_wide.CELL_BITS)
+    assert table[cell(b"a b c d e").astype(int)].tolist() == [math.floor(8 * math.log2(40))] and table[cell(b"f g h i j k").astype(int)].tolist() == [math.floor(8 * math.log2(3))] * 2
+    assert (table > 0).sum() == 3
+
+
+@pytest.mark.parametrize("bits", [simhash_wide.CELL_BITS, 8])
+def test_similar_groups_equal_brute_force(spark, monkeypatch, bits):
     """Short texts, and long ones of few distinct words, with words added, replaced and repeated; common passages."""
-    monkeypatch.setattr(simhash_wide, "SAMPLE", sample)
+    monkeypatch.setattr(simhash_wide, "CELL_BITS", bits)
+    monkeypatch.setattr(simhash_wide, "FLUSH", 5000)
     rng = random.Random(21)
     passage, made = prose(rng, 12), ["", "one", "one two"]
     for n in range(6, 31):
@@ -288,6 +315,33 @@ def test_similar_groups_equal_brute_force(spark, monkeypatch, sample):
     assert {r.doc_id: least[r.root] for r in got} == brute_components(range(len(made)), alike)
 
 
+def test_a_large_group_of_near_copies_costs_its_size(spark, monkeypatch):
+    """1,500 copies of one text with 0 to 12 words changed: as many links as by brute force, but no pairs of all with all."""
+    met = []
+    whole = simhash_wide.verified
+    monkeypatch.setattr(simhash_wide, "verified", lambda pairs, *a, **k: met.append(pairs.count()) or whole(pairs, *a, **k))
+    rng = random.Random(31)
+    base, made = prose(rng, 150, 3000).split(), []
+    for _ in range(1500):
+        w = base.copy()
+        for _ in range(rng.randrange(13)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        made.append(" ".join(w))
+    got = simhash_wide.similar_groups(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(made)], DOCS)).collect()
+    sets, names = [brute_shingles(t) for t in made], {}
+    numbered = [np.array(sorted(names.setdefault(x, len(names)) for x in s)) for s in sets]
+    there = np.zeros((len(made), len(names)), np.float32)
+    for i, x in enumerate(numbered):
+        there[i, x] = 1
+    common, size = there @ there.T, there.sum(axis=1)
+    alike = common / (size[:, None] + size - common) >= 0.8
+    least = {}
+    for r in got:
+        least[r.root] = min(least.get(r.root, r.doc_id), r.doc_id)
+    assert {r.doc_id: least[r.root] for r in got} == brute_components(range(len(made)), lambda a, b: alike[a, b])
+    assert alike.sum() / 2 > 50_000 and sum(met) < 10 * len(made)
+
+
 # 10 decontamination
 
 
