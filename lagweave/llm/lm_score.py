@@ -1,4 +1,9 @@
-"""Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts."""
+"""Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts.
+
+The filter grows with the corpus, so no bound holds for a broadcast of all of it: it is cut into shards by hash, and
+the distinct words and word pairs of a few megabytes of texts at a time (a unit) are sent to the shards that know them.
+The answers come back to the unit, whose texts are then scored. Each text is read as often at any size.
+"""
 
 from __future__ import annotations
 
@@ -8,19 +13,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, id_remainder, stored
+from .common import col, forget, id_remainder, stored
 
-#: Words with the largest counts that are broadcast exactly (12 bytes each); rarer ones are counted by a join.
-HEAD_WORDS = 1_000_000
 #: Counts are quantised to 1 + floor(log2 c). Each level is one key of the filter, of so many bits and probes.
-BITS_PER_KEY, PROBES, LEVELS = 8, 5, 40
-#: At most so many bytes of filter are broadcast at once; a larger filter is used in several passes over the texts.
-FILTER_BYTES = 96 << 20
-PER_SHARD = 2_000_000
-PIECE, FLUSH = 1 << 20, 1_500_000
+BITS_PER_KEY, PROBES, LEVELS = 8, 5, 64
+#: Training tokens of a shard, about; bytes of text of a unit, about.
+PER_SHARD, UNIT_BYTES = 2_000_000, 4 << 20
+#: Bytes that are hashed at once; distinct n-grams, and tokens, that a task counts before it hands them on.
+PIECE, FLUSH, MOST = 1 << 20, 1_500_000, 1 << 31
 PRIOR = 20.0
 #: What a word that training does not have counts as in the smoothed score.
 UNSEEN = 0.5
@@ -121,58 +125,60 @@ def counted(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
     return h[starts], np.add.reduceat(c, starts) if len(starts) else c
 
 
-def shard_counts(docs: DataFrame, text: str, shards: int, bigrams: bool) -> DataFrame:
-    """(shard, hashes, counts): each task's own n-gram counts as arrays, cut by hash range into shards."""
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    """Hashes are dealt to shards by range, so sorted ones are in the order of their shards."""
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, cs, size = [], [], 0
 
-        def flush():
-            h, c = counted(hs, cs)
-            cuts = np.searchsorted(h, np.array([(k << 64) // shards for k in range(shards)], dtype=object).astype(np.uint64))
-            hs.clear()
-            cs.clear()
-            rows = [(k, a.tobytes(), np.minimum(b, 2**32 - 1).astype("<u4").tobytes()) for k, (a, b) in enumerate(zip(np.split(h, cuts[1:]), np.split(c, cuts[1:]), strict=True)) if len(a)]
-            columns = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "hashes", "counts"])
+def by_shard(h: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's part of the sorted hashes begins, and the end of the last."""
+    return np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
+
+
+def shard_counts(docs: DataFrame, text: str, shards: int) -> DataFrame:
+    """(shard, pair, hashes, counts): each task's own counts of words and of word pairs, as arrays by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        size = seen = 0
+
+        def flush() -> pa.RecordBatch:
+            rows = []
+            for pair, parts in enumerate(held):
+                h, c = counted([h for h, _ in parts], [c for _, c in parts])
+                cuts = by_shard(h, shards)
+                rows += [(k, bool(pair), h[i:j].tobytes(), c[i:j].astype("<u4").tobytes()) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+                parts.clear()
+            columns = zip(*rows, strict=True) if rows else ((),) * 4
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["shard", "pair", "hashes", "counts"])
 
         for batch in batches:
             for _, token, prev in pieces(batch.column(0).to_pylist()):
-                h, c = np.unique(pairs(prev, token) if bigrams else token, return_counts=True)
-                hs.append(h)
-                cs.append(c)
-                size += len(h)
-                if size > FLUSH:
+                for parts, grams in zip(held, (token, pairs(prev, token)), strict=True):
+                    parts.append(np.unique(grams, return_counts=True))
+                    size += len(parts[-1][0])
+                seen += len(token)
+                if size > FLUSH or seen > MOST:
                     yield flush()
-                    size = 0
-        if hs:
+                    size = seen = 0
+        if size:
             yield flush()
 
-    return docs.select(col(text).alias("text")).mapInArrow(run, "shard int, hashes binary, counts binary")
+    return docs.select(col(text).alias("text")).mapInArrow(run, "shard int, pair boolean, hashes binary, counts binary")
 
 
 def summed(parts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return counted([np.frombuffer(x, np.uint64) for x in parts["hashes"]], [np.frombuffer(x, "<u4").astype(np.int64) for x in parts["counts"]])
 
 
-def vocabulary(docs: DataFrame, text: str, shards: int) -> DataFrame:
-    """(hash, n): the exact count of every token of docs, END included."""
-
-    def merge(parts: pd.DataFrame) -> pd.DataFrame:
-        h, c = summed(parts)
-        return pd.DataFrame({"hash": h.view(np.int64), "n": c})
-
-    return shard_counts(docs, text, shards, bigrams=False).groupBy("shard").applyInPandas(merge, "hash long, n long")
-
-
 def levels(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1
 
 
-def build_shard(h: np.ndarray, c: np.ndarray) -> bytes:
+def build_shard(h: np.ndarray, c: np.ndarray, bits_per_key: int = BITS_PER_KEY) -> bytes:
     """Bits of a log-frequency Bloom filter: n-gram h is in at the levels 1 to 1 + floor(log2 c)."""
     q = levels(c)
-    bits = max(64, int(q.sum()) * BITS_PER_KEY)
+    bits = max(64, int(q.sum()) * bits_per_key)
     table = np.zeros((bits + 7) // 8 * 8, bool)
     for level in range(1, int(q.max(initial=0)) + 1):
         for k in range(PROBES):
@@ -200,178 +206,154 @@ def slot(h: np.ndarray, level: int, bits: int, k: int) -> np.ndarray:
     return ((a + np.uint64(k) * (scrambled(a) | np.uint64(1))) >> np.uint64(11)) % np.uint64(bits)
 
 
-def filter_shards(docs: DataFrame, text: str, shards: int) -> DataFrame:
-    """(shard, size, filter): the filter's shards over the word pairs of docs, each from the shard's exact counts."""
+MODEL = "shard int, tokens long, distinct long, words binary, counts binary, filter binary"
+
+
+def model_of(train: DataFrame, text: str, shards: int, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
+    """(shard, tokens, distinct, words, counts, filter): a shard's exact word counts and its filter over the word pairs."""
 
     def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        blob = build_shard(*summed(parts))
-        return pd.DataFrame({"shard": [key[0]], "size": [len(blob)], "filter": [blob]})
-
-    return shard_counts(docs, text, shards, bigrams=True).groupBy("shard").applyInPandas(merge, "shard int, size long, filter binary")
-
-
-class Scorer:
-    """What a worker needs to score texts in one pass: exact head counts and some of the filter's shards."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, shards: int, blobs: dict[int, bytes], first: bool):
-        self.hashes, self.counts, self.tokens, self.distinct, self.shards, self.blobs, self.first = hashes, counts, tokens, distinct, shards, blobs, first
-        self.scale = tokens + 0.5 * (distinct + 1)
-        #: Whether a word beyond the head is one that training doesn't have.
-        self.complete = len(hashes) == distinct
-
-    def head(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(count, whether it is in the head) of each token."""
-        if not len(self.hashes):
-            return np.zeros(len(h)), np.zeros(len(h), bool)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        known = self.hashes[at] == h
-        return np.where(known, self.counts[at], 0).astype(float), known
-
-    def log10(self, token: np.ndarray, prev: np.ndarray, count: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(log10 probability, context, quantised pair count, whether open) of the tokens whose pair lies in this pass's shards.
-
-        The pair's count, known to a power of two, is smoothed with the word's share as prior; START counts as often
-        as END, as each text has one of both. Pairs with a word that the vocabulary must be asked for are open and add 0
-        here, as do those of other passes' shards.
-        """
-        h, context = pairs(prev, token), np.where(prev == START, END, prev)
-        shard = ((h >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
-        q, mine = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for k, blob in self.blobs.items():
-            at = order[cuts[k] : cuts[k + 1]]
-            q[at] = probe_shard(blob, h[at])
-            mine[at] = True
-        pair = np.where(q > 0, 0.75 * 2.0**q - 0.5 * (q == 1), 0.0)
-        word = np.minimum(1.0, (np.where(known, count, UNSEEN) + 0.5) / self.scale)
-        before, there = self.head(context)
-        before = np.maximum(np.where(there, before, UNSEEN), pair)
-        left = mine & ~(known & there) & (not self.complete)
-        return np.where(mine & ~left, np.log10((pair + PRIOR * word) / (before + PRIOR)), 0.0), context, q, left
-
-    def score(self, texts: list[str | None]) -> dict[str, np.ndarray]:
-        """Sums by text; tail: each text's tokens beyond the head; open: its pairs that the vocabulary must complete."""
-        n = len(texts)
-        out = {k: np.zeros(n) for k in ("tokens", "known", "base", "score")}
-        tail, rest = [], []
-        for which, token, prev in pieces(texts):
-            count, known = self.head(token)
-            p, context, q, left = self.log10(token, prev, count, known)
-            out["score"] += np.bincount(which, p, n)
-            rest.append((which[left], token[left], context[left], q[left]))
-            if self.first:
-                out["tokens"] += np.bincount(which, minlength=n)
-                out["known"] += np.bincount(which, known, n)
-                out["base"] += np.bincount(which, np.where(known, np.log10((count + 0.5) / self.scale), 0.0), n)
-                tail.append((which[~known], token[~known]))
-        return out | {"tail": by_text(tail, n, 1), "open": by_text(rest, n, 3)}
-
-
-def by_text(parts: list[tuple[np.ndarray, ...]], n: int, columns: int) -> list[pa.Array]:
-    """An array<long> of n texts for each column; a part has the text numbers in order, and then the columns."""
-    which = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-    offsets = pa.array(np.searchsorted(which, np.arange(n + 1)), pa.int32())
-    flat = [np.concatenate([p[i + 1] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(columns)]
-    return [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64, copy=False) if x.dtype != np.uint64 else x.view(np.int64))) for x in flat]
-
-
-def head_of(vocab: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent words, at most `most` of them, sorted by hash: all with a count from some power of 2^(1/8) on."""
-    step = F.floor(F.log2("n") * 8).cast("int")
-    sizes = vocab.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()  # 8 rows a doubling
-    total, least = 0, 10**6
-    for r in sizes:
-        total += r["words"]
-        if total > most:
-            break
-        least = r["step"]
-    rows = vocab.filter(step >= least).toArrow()
-    h, c = rows.column("hash").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], c[order]
-
-
-def completed(done: list[DataFrame], vocab: DataFrame, scale: float) -> DataFrame:
-    """(rid, rest): the log10 probabilities of the passes' open pairs, with the vocabulary's counts of both words."""
-    kind = "array<struct<token:long,context:long,level:long>>"
-    parts = [d.select("rid", F.explode(F.arrays_zip("token", "context", "level").cast(kind)).alias("x")) for d in done]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.union(p)
-    rows = rows.select("rid", "x.token", "x.context", "x.level").groupBy("rid", "token", "context", "level").agg(F.count("*").alias("times"))
-    words = lambda name, n: vocab.select(F.col("hash").alias(name), F.col("n").cast("double").alias(n))
-    rows = rows.join(words("token", "n"), "token", "left").join(words("context", "before"), "context", "left")
-    pair = F.when(F.col("level") > 0, 0.75 * F.pow(F.lit(2.0), F.col("level")) - F.when(F.col("level") == 1, 0.5).otherwise(0.0)).otherwise(0.0)
-    word = F.least(F.lit(1.0), (F.coalesce("n", F.lit(UNSEEN)) + 0.5) / F.lit(float(scale)))
-    before = F.greatest(F.coalesce("before", F.lit(UNSEEN)), pair)
-    return rows.groupBy("rid").agg(F.sum(F.col("times") * F.log10((pair + PRIOR * word) / (before + PRIOR))).alias("rest"))
-
-
-def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_out: Column | None = None, mod: int = 5, out: int = 1, head_words: int = HEAD_WORDS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+        words, counts = summed(parts[~parts["pair"]])
+        blob = build_shard(*summed(parts[parts["pair"]]), bits_per_key)
+        return pd.DataFrame([(key[0], int(counts.sum()), len(words), words.tobytes(), counts.astype("<i8").tobytes(), blob)], columns=MODEL.replace(",", "").split(" ")[::2])
+
+    return shard_counts(train, text, shards).groupBy("shard").applyInPandas(merge, MODEL)
+
+
+def in_units(docs: DataFrame, doc_id: str, text: str, held: Column, unit_bytes: int) -> DataFrame:
+    """(unit, place, doc_id, held_out, text): whole texts in units of about unit_bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, unit, place, size = TaskContext.get().partitionId() << 32, 0, 0, 0
+        for batch in batches:
+            units, places = [], []
+            for n in batch.column(0).to_pylist():
+                if size and size + n > unit_bytes:
+                    unit, place, size = unit + 1, 0, 0
+                units.append(part + unit)
+                places.append(place)
+                place, size = place + 1, size + n + 1
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(places, pa.int64()), *batch.columns[1:]], ["unit", "place", "doc_id", "held_out", "text"])
+
+    rows = docs.select(F.coalesce(F.octet_length(col(text)), F.lit(0)).alias("bytes"), col(doc_id).cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), col(text).alias("text"))
+    return rows.mapInArrow(run, "unit long, place long, doc_id long, held_out boolean, text string")
+
+
+def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text numbers, tokens, pairs) of the texts in order."""
+    parts = [*pieces(texts)]
+    which, token, prev = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    return which, token, pairs(prev, token)
+
+
+def questions(rows: DataFrame, shards: int) -> DataFrame:
+    """(unit, first, last, shard, words, pairs): the distinct word and pair hashes of each run of a unit's rows.
+
+    A unit whose rows a file split parts asks in two runs, from place `first` to place `last` each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, first, held = None, 0, []
+
+        def ask() -> pa.RecordBatch:
+            _, token, pair = grams_of(held)
+            words, grams = np.unique(token), np.unique(pair)
+            cut, cuts = by_shard(words, shards), by_shard(grams, shards)
+            there = np.flatnonzero((cut[1:] > cut[:-1]) | (cuts[1:] > cuts[:-1]))
+            n = len(there)
+            columns = [pa.array(np.full(n, x)) for x in (unit, first, first + len(held) - 1)] + [pa.array(there)]
+            columns += [pa.array([h[c[k] : c[k + 1]].tobytes() for k in there], pa.binary()) for h, c in ((words, cut), (grams, cuts))]
+            return pa.RecordBatch.from_arrays(columns, ["unit", "first", "last", "shard", "words", "pairs"])
+
+        for batch in batches:
+            for u, p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if held and (u != unit or p != first + len(held)):
+                    yield ask()
+                    held.clear()
+                if not held:
+                    unit, first = u, p
+                held.append(t.as_py())
+        if held:
+            yield ask()
+
+    return rows.select("unit", "place", "text").mapInArrow(run, "unit long, first long, last long, shard long, words binary, pairs binary")
+
+
+def answers(asked: DataFrame, model: DataFrame) -> DataFrame:
+    """(unit, first, last, shard, counts, levels): the exact counts of the words, and the pairs' counts by the filter."""
+
+    def one(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        if len(found):
+            words, counts, blob = np.frombuffer(found["words"].iloc[0], np.uint64), np.frombuffer(found["counts"].iloc[0], "<i8"), found["filter"].iloc[0]
+        else:
+            words, counts, blob = np.zeros(0, np.uint64), np.zeros(0, np.int64), build_shard(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+        def count(h: np.ndarray) -> np.ndarray:
+            if not len(words):
+                return np.zeros(len(h), np.int64)
+            at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+            return np.where(words[at] == h, counts[at], 0)
+
+        out = rows[["unit", "first", "last", "shard"]].copy()
+        out["counts"] = [count(np.frombuffer(x, np.uint64)).astype("<i8").tobytes() for x in rows["words"]]
+        out["levels"] = [probe_shard(blob, np.frombuffer(x, np.uint64)).astype(np.uint8).tobytes() for x in rows["pairs"]]
+        return out
+
+    both = asked.groupBy("shard").cogroup(model.select(F.col("shard").cast("long").alias("shard"), "words", "counts", "filter").groupBy("shard"))
+    return both.applyInPandas(one, "unit long, first long, last long, shard long, counts binary, levels binary")
+
+
+def scored(rows: DataFrame, told: DataFrame, tokens: int, distinct: int) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, base_score, score) of the units' texts with the answers to their questions.
+
+    A pair's count, known to a power of two, is smoothed with the word's share as prior; START counts as often as END,
+    as each text has one of both.
+    """
+    scale = tokens + 0.5 * (distinct + 1)
+
+    def one(texts: pa.Table, answered: pa.Table) -> pa.Table:
+        done = []
+        texts = texts.sort_by("place")
+        for (first, last), part in answered.to_pandas().sort_values("shard").groupby(["first", "last"]):
+            some = texts.slice(first, last + 1 - first)
+            n = len(some)
+            which, token, pair = grams_of(some.column("text").to_pylist())
+            words, at = np.unique(token, return_inverse=True)
+            counts = np.frombuffer(b"".join(part["counts"]), "<i8").astype(float)
+            q = np.frombuffer(b"".join(part["levels"]), np.uint8)[np.unique(pair, return_inverse=True)[1]].astype(np.int64)
+            count = counts[at]
+            smooth = np.where(count > 0, count, UNSEEN)
+            before = np.concatenate([[counts[np.searchsorted(words, END)] or UNSEEN], smooth[:-1]])  # before a text's first word stands an END
+            share = np.minimum(1.0, (smooth + 0.5) / scale)
+            many = np.where(q > 0, 0.75 * 2.0**q - 0.5 * (q == 1), 0.0)
+            p = np.log10((many + PRIOR * share) / (np.maximum(before, many) + PRIOR))
+            sums = np.bincount(which, minlength=n), np.bincount(which, count > 0, n).astype(np.int64), np.bincount(which, np.log10((count + 0.5) / scale), n), np.bincount(which, p, n)
+            done.append(pa.table([some.column("doc_id"), some.column("held_out"), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
+        return pa.concat_tables(done)
+
+    both = rows.select("unit", "place", "doc_id", "held_out", "text").groupBy("unit").cogroup(told.groupBy("unit"))
+    return both.applyInArrow(one, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+
+def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_out: Column | None = None, mod: int = 5, out: int = 1, bits_per_key: int = BITS_PER_KEY, per_shard: int = PER_SHARD, unit_bytes: int = UNIT_BYTES) -> DataFrame:
     """Score every row under models of the rows that aren't held out (crc32 of the id mod `mod` is `out`).
 
     Tokens are words (A-Z lower-cased, runs without ASCII white space) and one end per text; null texts have the end
     alone. Returns doc_id, held_out, n_tokens, n_known (tokens that training has), train_tokens, base_score (unigram,
     add 0.5, exact counts) and score: log10 probability under word pairs, whose counts come from a log-frequency Bloom
-    filter, smoothed with the words' shares. Words are told apart by 64-bit hashes. Counts cover all training texts:
-    frequent words are broadcast, the others join by hash, in both scores, so head_words changes neither; the filter is broadcast as a whole up to filter_bytes and
-    else in passes of that size, whose partial scores add up. An empty training set makes every word unknown.
+    filter, smoothed with the words' exact shares. Words are told apart by 64-bit hashes. Counts cover all training
+    texts. A hot word or pair goes to its shard once a unit. Null ids, repeated rows and very long texts (a unit of
+    their own) are scored like any other; an empty training set makes every word unknown.
     """
-    spark = docs.sparkSession
     held = held_out if held_out is not None else id_remainder(col(doc_id), mod) == out
-    train = docs.filter(~F.coalesce(held, F.lit(False)))
-    bytes_read = train.agg(F.sum(F.octet_length(col(text)))).first()[0] or 0
-    shards = max(8, math.ceil(bytes_read / 6 / PER_SHARD))
-    vocab = stored(vocabulary(train, text, shards), "lm-words")
-    tokens, distinct = vocab.agg(F.sum("n"), F.count("*")).first()
-    tokens = tokens or 0
-    hashes, counts = head_of(vocab, head_words)
-    filters = stored(filter_shards(train, text, shards), "lm-filter")
-    passes: list[list[int]] = [[]]
-    size = 0
-    for r in filters.select("shard", "size").orderBy("shard").collect():
-        if size + r["size"] > filter_bytes and passes[-1]:
-            passes.append([])
-            size = 0
-        passes[-1].append(r["shard"])
-        size += r["size"]
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), col(doc_id).cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), col(text).alias("text"))
-    schema = "rid long, doc_id long, held_out boolean, tokens long, known long, base double, score double, tail array<long>, token array<long>, context array<long>, level array<long>"
-
-    def one(only: list[int], first: bool) -> DataFrame:
-        wanted = filters.select("shard", "filter").filter(F.col("shard").isin(only))  # filter_bytes in all, fetched file by file
-        blobs = {r["shard"]: bytes(r["filter"]) for r in wanted.toLocalIterator()} if only else {}
-        if first:  # a pair in a shard without pairs is in no pass else
-            empty = {*range(shards)} - {k for p in passes for k in p}
-            blobs |= {k: build_shard(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for k in empty}
-        shared = spark.sparkContext.broadcast(Scorer(hashes, counts, tokens, distinct, shards, blobs, first))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = shared.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
-                    r = s.score(part.column(3).to_pylist())
-                    yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(r["tokens"].astype(np.int64)), pa.array(r["known"].astype(np.int64)), pa.array(r["base"]), pa.array(r["score"]), *r["tail"], *r["open"]], schema.replace(",", "").split(" ")[::2])
-
-        return rows.mapInArrow(run, schema)
-
-    done = [stored(one(only, k == 0), "lm-pass") for k, only in enumerate(passes)]
-    scored = done[0].select("rid", "doc_id", "held_out", "tokens", "known", "base", "score", "tail")
-    for more in done[1:]:
-        scored = scored.join(more.select("rid", F.col("score").alias("more")), "rid").withColumn("score", F.col("score") + F.col("more")).drop("more")
-    if len(hashes) < distinct:
-        scored = scored.join(completed(done, vocab, tokens + 0.5 * (distinct + 1)), "rid", "left").withColumn("score", F.col("score") + F.coalesce("rest", F.lit(0.0))).drop("rest")
-    scored = stored(scored, "lm-scores") if len(done) > 1 or len(hashes) < distinct else scored
-    scale = tokens + 0.5 * (distinct + 1)
-    rare = scored.select("rid", F.explode("tail").alias("hash")).groupBy("rid", "hash").agg(F.count("*").alias("times")).join(vocab, "hash", "left")
-    rare = rare.groupBy("rid").agg(
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(scale)))).alias("more"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("seen"),
-    )
-    return scored.drop("tail").join(rare, "rid", "left").select(
-        "doc_id", "held_out", F.col("tokens").alias("n_tokens"), (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
-    )
+    rows = stored(in_units(docs, doc_id, text, held, unit_bytes), "lm-units")
+    train = rows.filter("not held_out")
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(8, math.ceil(size / 6 / per_shard))
+    model = stored(model_of(train, "text", shards, bits_per_key), "lm-model")
+    tokens, distinct = model.agg(F.sum("tokens"), F.sum("distinct")).first()
+    tokens, distinct = tokens or 0, distinct or 0
+    told = answers(questions(rows, shards), model)
+    found = stored(scored(rows, told, tokens, distinct), "lm-scores")
+    forget(rows, model)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

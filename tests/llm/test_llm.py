@@ -458,31 +458,64 @@ def test_secrets_equal_scanning(spark, empty):
 # 5 language model
 
 
-def test_scores_and_counts(docs, rows, empty):
-    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
+def brute_scores(rows, held):
+    """(tokens, known tokens, base score, score) by row, with exact pair counts rounded as their levels are."""
     tok = lambda t: [*words(lowered(t)), None]
-    c = collections.Counter(w for i, t, *_ in rows if not held(i) for w in tok(t))
+    train = [tok(t) for i, t, *_ in rows if not held(i)]
+    c = collections.Counter(w for ts in train for w in ts)
+    two = collections.Counter(p for ts in train for p in zip([None, *ts[:-1]], ts, strict=True))
     n, v = sum(c.values()), len(c)
-    runs = [{r.doc_id: r for r in lm_score.score(clashing(docs), **o).collect()} for o in ({}, {"head_words": 50}, {"head_words": 50, "filter_bytes": 3000})]
-    for got in runs:
-        for i, t, *_ in rows:
-            r, ts = got[i], tok(t)
-            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(ts), sum(c[w] > 0 for w in ts), n)
-            assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ts), rel_tol=1e-9)
-            assert r.score < 0
-    assert all(math.isclose(runs[1][i].score, runs[2][i].score, rel_tol=1e-9) for i in runs[1])
+    scale, out = n + 0.5 * (v + 1), []
+
+    def one(a, b):
+        q = math.floor(math.log2(two[a, b])) + 1 if two[a, b] else 0
+        many = 0.75 * 2**q - 0.5 * (q == 1) if q else 0
+        share = min(1, ((c[b] or 0.5) + 0.5) / scale)
+        return math.log10((many + 20 * share) / (max(c[a] or 0.5, many) + 20))
+
+    for i, t, *_ in rows:
+        ts = tok(t)
+        base = sum(math.log10((c[w] + 0.5) / scale) for w in ts)
+        out.append((i, held(i), len(ts), sum(c[w] > 0 for w in ts), n, base, sum(one(a, b) for a, b in zip([None, *ts[:-1]], ts, strict=True))))
+    return out
+
+
+def ordered(found):
+    return sorted((tuple(r) for r in found), key=lambda r: (str(r[0]), r[2], round(r[5], 6)))
+
+
+@pytest.mark.parametrize("options", [{}, {"unit_bytes": 300}, {"per_shard": 100}, {"unit_bytes": 1, "per_shard": 1000}])
+def test_scores_equal_exact_counts(docs, rows, options):
+    """Any size of units and shards; a filter of so many bits has no false members here."""
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
+    got, want = ordered(lm_score.score(clashing(docs), bits_per_key=256, **options).collect()), ordered(brute_scores(rows, held))
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[:5] == w[:5] and math.isclose(g[5], w[5], rel_tol=1e-9) and math.isclose(g[6], w[6], rel_tol=1e-9)
+
+
+def test_scores_with_false_members_stay_near(docs, rows, empty):
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
+    for g, w in zip(ordered(lm_score.score(docs).collect()), ordered(brute_scores(rows, held)), strict=True):
+        assert g[:5] == w[:5] and math.isclose(g[5], w[5], rel_tol=1e-9) and math.isclose(g[6], w[6], rel_tol=0.1, abs_tol=3)
     assert lm_score.score(empty).count() == 0
     assert lm_score.score(docs, held_out=F.lit(True)).filter("n_known > 0 or score > 0").count() == 0
 
 
-@pytest.mark.parametrize("options", [{"head_words": 50}, {"head_words": 0}, {"head_words": 50, "filter_bytes": 3000}])
-def test_scores_do_not_depend_on_the_broadcast_words(docs, options):
-    """Frequent, rare and unseen words, as tokens and as contexts."""
-    want, got = ({(r.doc_id, r.n_tokens): r for r in lm_score.score(docs, **o).collect()} for o in ({}, options))
-    assert want.keys() == got.keys()
-    for k, r in got.items():
-        assert (r.n_known, r.train_tokens) == (want[k].n_known, want[k].train_tokens)
-        assert math.isclose(r.score, want[k].score, rel_tol=1e-9) and math.isclose(r.base_score, want[k].base_score, rel_tol=1e-9)
+def test_units_that_a_file_splits_are_scored_whole(spark, docs, rows):
+    stored, asked = lm_score.in_units(docs.coalesce(1), "doc_id", "text", F.lit(False), 10**9).collect(), []
+    df = spark.createDataFrame(stored, "unit long, place long, doc_id long, held_out boolean, text string")
+    cut = df.repartitionByRange(2, "place").sortWithinPartitions("place")
+    model = lm_score.model_of(df, "text", 8, 256)
+    tokens, distinct = model.agg(F.sum("tokens"), F.sum("distinct")).first()
+    for some in (df.coalesce(1), cut):
+        q = lm_score.questions(some, 8)
+        asked.append(q.select("first").distinct().count())
+        found = lm_score.scored(some, lm_score.answers(q, model), tokens, distinct)
+        got = ordered(found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens), "base_score", "score").collect())
+        for g, w in zip(got, ordered(brute_scores(rows, lambda i: False)), strict=True):
+            assert g[:5] == w[:5] and math.isclose(g[6], w[6], rel_tol=1e-9)
+    assert asked == [1, 2]
 
 
 def test_bloom_levels_never_undercount():
