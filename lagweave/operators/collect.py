@@ -56,13 +56,16 @@ def normalise(collected: DataFrame) -> DataFrame:
 
     A replicate without P2 has no rows; one whose Ks is 0, or whose P2 lacks lag 0, has the Ks row alone.
     """
-    zero = (F.col("type") == "P2") & (F.col("lag") == 0)
-    pick = lambda c: F.max(F.when(zero, F.col(c)))
-    ks = collected.groupBy("b").agg(F.max(F.col("type") == "P2").alias("any"), F.coalesce(pick("mean"), F.lit(0.0)).alias("ks"), F.coalesce(pick("n"), F.lit(0)).alias("kn"), F.coalesce(pick("variance"), F.lit(float("nan"))).alias("kv"))
-    ks = ks.filter("any")
-    first = ks.select(F.lit(0).alias("l"), F.col("ks").alias("m"), F.col("kv").alias("v"), F.col("kn").alias("n"), F.lit("Ks").alias("t"), "b")
-    rest = collected.filter(~zero & (F.col("n") > 0)).join(ks.filter("ks <> 0"), "b")
-    return first.union(rest.select(F.col("lag").cast("int"), F.col("mean") / F.col("ks"), F.col("variance") / (F.col("ks") * F.col("ks")), "n", "type", "b"))
+    zero = lambda r: (r["type"] == "P2") & (r["lag"] == 0)
+    row = F.struct("type", "lag", "n", "mean", "variance")
+    sets = collected.groupBy("b").agg(F.max(F.col("type") == "P2").alias("any"), F.collect_list(row).alias("rows")).filter("any")  # a row a type and lag
+    at = F.try_element_at(F.filter("rows", zero), F.lit(1))
+    sets = sets.select("b", "rows", F.coalesce(at["mean"], F.lit(0.0)).alias("ks"), F.coalesce(at["n"], F.lit(0)).alias("kn"), F.coalesce(at["variance"], F.lit(float("nan"))).alias("kv"))
+    cell = lambda lag, m, v, n, t: F.struct(lag.cast("int").alias("l"), m.alias("m"), v.alias("v"), n.cast("long").alias("n"), t.alias("t"))
+    first = F.array(cell(F.lit(0), F.col("ks"), F.col("kv"), F.col("kn"), F.lit("Ks")))
+    kept = F.filter("rows", lambda r: ~zero(r) & (r["n"] > 0) & (F.col("ks") != 0))
+    rest = F.transform(kept, lambda r: cell(r["lag"], r["mean"] / F.col("ks"), r["variance"] / (F.col("ks") * F.col("ks")), r["n"], r["type"]))
+    return sets.select("b", F.explode(F.concat(first, rest)).alias("p")).select("p.*", "b")
 
 
 def profile(gene_rows: DataFrame, num_boot: int = 1000, gene: str = "gene") -> DataFrame:

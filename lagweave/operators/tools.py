@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 
 def distances(results: DataFrame, by: str = "theta_pool") -> DataFrame:
     """(a, b, value) of rows named a_vs_b, both ways round, with 0 on the diagonal."""
     pairs = results.filter(F.contains("group", F.lit("_vs_"))).select(F.split_part("group", F.lit("_vs_"), F.lit(1)).alias("a"), F.split_part("group", F.lit("_vs_"), F.lit(2)).alias("b"), F.col(by).alias("value"))
-    names = pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct()
-    both = pairs.union(pairs.select("b", "a", "value")).filter("a <> b")
-    return both.union(names.select("a", F.col("a").alias("b"), F.lit(0.0)))
+    cell = lambda x, y, v: F.struct(F.col(x).alias("a"), F.col(y).alias("b"), v.alias("value"))
+    four = F.array(cell("a", "b", F.col("value")), cell("b", "a", F.col("value")), cell("a", "a", F.lit(0.0)), cell("b", "b", F.lit(0.0)))
+    cells = pairs.select(F.explode(four).alias("c")).select("c.*")
+    return cells.groupBy("a", "b").agg(F.first(F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("value"))).alias("value"))
 
 
 def distance_matrix(results: DataFrame, by: str = "theta_pool") -> DataFrame:
     """The square matrix of distances(): one row and one column per name, null where a pair is missing."""
-    rows = distances(results, by)
+    rows = stored(distances(results, by), "distances")  # a row a pair of names, read for the columns and for the cells
     names = sorted(r["a"] for r in rows.select("a").distinct().collect())  # the matrix's columns
     return rows.groupBy(F.col("a").alias("isolate")).pivot("b", names).agg(F.first("value")).orderBy("isolate")
 
@@ -33,8 +36,7 @@ def cluster_profiles(profile: DataFrame, k: int = 2, seed: int = 0, **options) -
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    vectors = profile_vectors(profile, **options).persist()  # one short vector a gene, read once a k-means round
-    vectors.count()
+    vectors = stored(profile_vectors(profile, **options), "profile-vectors")  # one short vector a gene, read once a k-means round
     rows = vectors.withColumn("features", array_to_vector("features"))
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
     return model.transform(rows).select("gene", "cluster")

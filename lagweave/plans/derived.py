@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.codons import bound
+from ..sources.scratch import stored
 
 LENGTH = 30
 #: Hex digits to bases.
@@ -49,11 +50,12 @@ def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     gene = F.col("l_partkey").cast("string")
     seq = mutated(gene, key, LENGTH)
     short = F.col("l_orderkey") % 3 == 0
-    return rows.select(
+    made = rows.select(
         gene.alias("gene"), F.lit("1").alias("pos"), F.concat(F.lit("g"), F.lpad((F.col("l_orderkey") % 12).cast("string"), 2, "0")).alias("genome"),
         (F.col("l_linenumber") % 2).cast("int").alias("clade"), (F.row_number().over(order) - 1).alias("seq_idx"),
         F.when(short, F.substring(seq, 1, LENGTH - 3)).otherwise(seq).alias("seq"),
     )
+    return stored(made, "alignment")  # made once, and read like the table that it stands for
 
 
 #: The alignment as a DuckDB query: gene, genome, clade, seq_idx, seq.
@@ -99,9 +101,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_orderkey") % 17 == 0, 20).otherwise(60).alias("mapq"), F.when(clipped, "6S66M").otherwise("72M").alias("cigar"),
         F.substring(full, F.when(clipped, 1).otherwise(F.col("l_orderkey") % 12 + 1).cast("int"), F.lit(72)).alias("seq"), qual.alias("qual"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), "l_partkey",
     )
-    # the aggregation keeps the expressions above from being computed anew wherever seq and qual are used
-    same = ["qname", "rname", "pos", "mapq", "cigar", "ordinal"]
-    return made.groupBy(*same, "l_partkey").agg(F.first("seq").alias("seq"), F.first("qual").alias("qual")).drop("l_partkey")
+    return stored(made.drop("l_partkey"), "reads")
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
