@@ -5,7 +5,7 @@ SQL: dict[str, str] = {}
 SQL["op3_mix"] = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos
@@ -24,10 +24,10 @@ p AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM lv)) AS
 q AS (
   SELECT d.doc_id, d.size, d.h, p.source_size, p.target,
          CASE WHEN p.source_size > 0 THEN floor(p.target / p.source_size) ELSE 0 END AS whole,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2.0::DOUBLE AS middle
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size / 2.0::DOUBLE AS middle
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 ), r AS (
-  SELECT *, whole + CASE WHEN middle < target - whole * source_size THEN 1 ELSE 0 END AS copies FROM q
+  SELECT *, whole + CASE WHEN target - whole * source_size > 0 AND middle < target - whole * source_size THEN 1 ELSE 0 END AS copies FROM q
 )
 SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM r
 """

@@ -101,6 +101,29 @@ def test_mix_keeps_columns_and_takes_as_reported(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mix_report(empty).count() == 0
 
 
+@pytest.mark.parametrize("name", [7, None])
+def test_mix_divides_rows_that_draw_alike(spark, name):
+    """A source of one repeated row, one of repeated ids with different texts, and one that is taken twice as a whole."""
+    made = [(name, "x " * 50, "en", "a", 1)] * 40 + [(name, "y " * (1 + k % 50), "en", "b", 1) for k in range(60)] + [(k, "z " * 20 if k % 2 else "", "en", "c", 1) for k in range(100, 400)]
+    made += [(k, "q " * 100, "en", "d", 1) for k in range(1000, 1040)]
+    docs = spark.createDataFrame(made, DOCS).repartition(3)
+    report = mixing.mix_report(docs).collect()
+    source = {name: "ab", **{k: "c" for k in range(100, 400)}, **{k: "d" for k in range(1000, 1040)}}
+    by_target = collections.defaultdict(int)
+    for r in report:
+        by_target[r.source_size, r.target] += r.taken
+        assert r.copies <= 2 and source[r.doc_id]
+    assert len(report) == len(made) and len(by_target) == 4
+    assert all(abs(taken - target) <= 50 for (_, target), taken in by_target.items())
+    copies = collections.Counter()
+    for r in report:
+        copies[r.doc_id, r.size] += r.copies
+    kept = mixing.mix(clashing(docs))
+    assert collections.Counter((r.doc_id, len(words(r.text))) for r in kept.collect()) == +copies
+    again = mixing.mix_report(docs.repartition(7)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, report))
+
+
 # 6 exact dedup
 
 
