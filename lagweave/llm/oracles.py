@@ -70,8 +70,22 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnes
 named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names
   FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id
+), post AS (SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS pos FROM d),
+counts AS (SELECT term, count(*) AS n FROM post GROUP BY term),
+terms AS (
+  SELECT win, term, min(off) AS off FROM (SELECT win, unnest(string_split(win, ' ')) AS term, unnest(range(1, size + 1)) AS off FROM (SELECT DISTINCT win, size FROM win)) GROUP BY win, term
+), ranked AS (
+  SELECT win, term, count(*) OVER (PARTITION BY win) AS m, row_number() OVER (PARTITION BY win ORDER BY coalesce(n, 0), off, term) AS rank FROM terms LEFT JOIN counts USING (term)
+), asked AS (
+  SELECT win, term, greatest(1, CAST(ceil(m * 0.8::DOUBLE - 0.000000001::DOUBLE) AS BIGINT)) AS need FROM ranked WHERE rank <= m - greatest(1, CAST(ceil(m * 0.8::DOUBLE - 0.000000001::DOUBLE) AS BIGINT)) + 1
+), spot AS (
+  SELECT doc_id, term, list_slice(w, greatest(1, pos - 9), pos + 9) AS around FROM (SELECT DISTINCT term FROM asked) JOIN post USING (term) JOIN d USING (doc_id)
+), near AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near
+  FROM (SELECT DISTINCT doc_id, win FROM spot JOIN asked USING (term) WHERE len(list_intersect(list_distinct(around), string_split(win, ' '))) >= need) JOIN win USING (win)
+  GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)
 """
