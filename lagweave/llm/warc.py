@@ -57,7 +57,7 @@ def write_archive(pages: DataFrame, path: str, *, page_id: str = "page_id", url:
     heads = stored(heads, "warc-pages")
     page.groupBy("digest").agg(F.first("payload").alias("payload")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
     top = heads.groupBy("digest").agg(F.max(F.struct("page_id", "rid")).alias("top"), F.count("*").alias("n")).filter("n > 1")
-    joined = heads.join(top, "digest", "left")
+    joined = heads.join(stored(top, "warc-tops"), "digest", "left")  # two tables: the rows of a hot digest can be split
     first = F.col("top").isNull() | (F.col("size") < least_bytes) | (F.col("top.rid") == F.col("rid"))
     kind = F.when(first, F.lit("response")).otherwise(F.lit("revisit"))
     head = header(kind, F.col("page_id"), F.col("url"), base32_of_hex(F.col("sha1")), F.col("size"), F.col("top.page_id"), date)
@@ -78,23 +78,21 @@ def field(name: str) -> Column:
 def records(spark: SparkSession, path: str) -> DataFrame:
     """The archive's records as they were: page_id, header, payload and `record`, the bytes of the WARC record."""
     heads = spark.read.schema("rid long, page_id long, digest string, header string").parquet(f"{path}/heads")
-    both = heads.join(payloads(spark, path), "digest")
+    both = heads.join(payloads(spark, path), "digest", "left")
     block = F.when(field("WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return both.select("page_id", "header", "payload", F.concat(F.col("header").cast("binary"), block, F.lit(CRLF * 2).cast("binary")).alias("record"))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record, from its header and its stored payload: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """One row per record, from the record as it is rebuilt: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    The payload is verified and measured where it is read, so only its digests and length cross the join. A record
-    whose header states another digest or length than its payload has makes the read fail.
+    A record whose header states another digest than its payload has, or another length than its block, makes the
+    read fail.
     """
-    heads = spark.read.schema("rid long, page_id long, digest string, header string").parquet(f"{path}/heads")
-    found = payloads(spark, path).select("digest", base32_of_hex(F.sha1("payload")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    kind = field("WARC-Type")
-    right = (field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & (field("Content-Length").cast("long") == F.when(kind == "revisit", 0).otherwise(F.col("payload_bytes")))
-    refers = F.regexp_extract(field("WARC-Refers-To"), "^<urn:page:(-?[0-9]+)>$", 1)
-    return heads.join(found, "digest", "left").select(
+    kind, refers = field("WARC-Type"), F.regexp_extract(field("WARC-Refers-To"), "^<urn:page:(-?[0-9]+)>$", 1)
+    found = records(spark, path).select("page_id", "header", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"), (F.octet_length("record") - F.octet_length("header") - 4).alias("block"))
+    right = (field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & (field("Content-Length").cast("long") == F.col("block")) & (F.col("block") == F.when(kind == "revisit", 0).otherwise(F.col("payload_bytes")))
+    return found.select(
         "page_id",
         F.when(right, F.col("payload_bytes")).otherwise(F.raise_error(F.lit("a record doesn't fit its payload")).cast("long")).alias("payload_bytes"),
         "payload_digest",
@@ -129,7 +127,7 @@ def parse_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_and_read(pages: DataFrame, **options) -> DataFrame:
-    """Write an archive of the pages in the shared folder and read its index back."""
+    """Write an archive of the pages in the shared folder, rebuild its records and return what they say."""
     spark = pages.sparkSession
     shared_dir(spark)
     path = new_path(spark, "warc-archive")
