@@ -93,8 +93,8 @@ def exact_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         repeated = repeated.union(hits)
     repeated = stored(repeated.distinct(), "dedup-repeated")
     check_bytes(docs, col(text), repeated)
-    merged = groups.join(repeated, "digest", "left_semi").groupBy("digest").agg(F.sum("n").alias("group_size"), F.max("top").alias("top"))
-    out = rows.join(merged, "digest", "left")
+    merged = stored(groups.join(repeated, "digest", "left_semi").groupBy("digest").agg(F.sum("n").alias("group_size"), F.max("top").alias("top")), "dedup-merged")
+    out = rows.join(merged, "digest", "left")  # two tables: the rows of a hot digest can be split
     alone = F.col("top").isNull()
     return out.select(
         "doc_id",
