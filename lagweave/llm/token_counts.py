@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,9 @@ from .simhash import word_chunks
 PIECES = "piece_bpe_32k.model"
 #: Log-probability below that of the rarest piece which a character outside the vocabulary costs.
 UNKNOWN = 10.0
-#: Words of more characters are scored one by one, without a trie.
+#: Words of more characters go through the trie path by path, shorter ones depth by depth.
 LONG = 48
+#: Words that are laid out at once, and words in the younger of the cache's two generations.
 WORDS_AT_ONCE, CACHED_WORDS = 32_768, 500_000
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -49,6 +51,7 @@ class Unigram:
         self.hashes, self.scores = hashes[order], np.array([*pieces.values()])[order]
         self.power = np.array([pow(BASE, k, 2**64) for k in range(self.most + 1)], np.uint64)
         self.cache: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
 
     @staticmethod
     def hash(piece: str) -> int:
@@ -59,21 +62,31 @@ class Unigram:
 
     def one(self, word: str) -> int:
         """Tokens of the best segmentation of one word; of equal scores the one with the longer last piece."""
+        return self.paths([word])[0]
+
+    def paths(self, words: list[str]) -> list[int]:
+        """Tokens of each of the words, which are sorted: the scores along a prefix that a word shares with the one before stay."""
+        out, path = [], ""
         best, tokens = [0.0], [0]
-        for p in range(1, len(word) + 1):
-            top, n = -math.inf, 0
-            for k in range(min(p, self.most), 0, -1):
-                piece = word[p - k : p]
-                score = self.pieces.get(piece)
-                if score is None and k == 1:
-                    score, more = self.unknown, len(piece.encode("utf-8", "surrogatepass"))
-                else:
-                    more = 1
-                if score is not None and best[p - k] + score > top:
-                    top, n = best[p - k] + score, tokens[p - k] + more
-            best.append(top)
-            tokens.append(n)
-        return tokens[-1]
+        for word in words:
+            shared = len(os.path.commonprefix((path, word)))
+            del best[shared + 1 :], tokens[shared + 1 :]
+            for p in range(shared + 1, len(word) + 1):
+                top, n = -math.inf, 0
+                for k in range(min(p, self.most), 0, -1):
+                    piece = word[p - k : p]
+                    score = self.pieces.get(piece)
+                    if score is None and k == 1:
+                        score, more = self.unknown, len(piece.encode("utf-8", "surrogatepass"))
+                    else:
+                        more = 1
+                    if score is not None and best[p - k] + score > top:
+                        top, n = best[p - k] + score, tokens[p - k] + more
+                best.append(top)
+                tokens.append(n)
+            out.append(tokens[-1])
+            path = word
+        return out
 
     def many(self, words: list[str]) -> np.ndarray:
         """Tokens of each of the words, which are sorted, distinct and at most LONG characters long.
@@ -124,7 +137,8 @@ class Unigram:
         for i in range(0, len(short), WORDS_AT_ONCE):
             part = short[i : i + WORDS_AT_ONCE]
             self.cache.update(zip((w for _, w in part), self.many([s for s, _ in part]).tolist(), strict=True))
-        self.cache.update((w, self.one(s)) for s, w in named if len(s) > LONG)
+        long = [x for x in named if len(x[0]) > LONG]
+        self.cache.update(zip((w for _, w in long), self.paths([s for s, _ in long]), strict=True))
 
     def count(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """(words, tokens) of each whole text, a few megabytes of words at a time."""
@@ -132,9 +146,11 @@ class Unigram:
 
         def settle() -> None:
             if len(self.cache) > CACHED_WORDS:
-                self.cache.clear()
+                self.cache, self.older = {}, self.cache
             if new := set().union(*(w for _, w in held)) - self.cache.keys():
-                self.learn(new)
+                known = new & self.older.keys()
+                self.cache.update((w, self.older[w]) for w in known)
+                self.learn(new - known)
             for i, words in held:
                 out[i][0] += len(words)
                 out[i][1] += sum(map(self.cache.__getitem__, words))
