@@ -52,13 +52,15 @@ class Encoder:
 
     The vocabulary's rules never join text across a space or line feed and drop both, and lower-case what they read,
     so a text's ids are those of its words, with A-Z lower-cased; a full stop or comma after an ASCII letter is a piece
-    of its own. Texts that hold a special token's string go to the library whole.
+    of its own. Texts that hold a special token's string go to the library whole, and so do all texts under another
+    vocabulary than VOCABULARY, whose rules aren't known.
     """
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.by_word = path is None or os.path.basename(path) == VOCABULARY
         if path is None:
             import public_tokenizers
 
@@ -87,7 +89,7 @@ class Encoder:
                 self.words[w] = self.words[s] + self.words[w[-1:]]
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text:
+        if not self.by_word or "<|" in text:
             return self.plain([text])[0]
         words = text.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ").split(b" ")
         get = self.words.get
@@ -150,7 +152,7 @@ def write_files(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str
                 out.close()
 
     rows = docs.select(col(doc_id).cast("long").alias("doc_id"), col(text).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))  # one id may fill several files
     schema = "doc_id long, part int, file string, at long, bytes long, n_tokens long, before long"
     return stored(ordered.mapInArrow(run, schema), "token-index", f"{path}/index")
 

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import zlib
@@ -180,6 +181,17 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc.archive_and_read(df.limit(0)).count() == 0
 
 
+def test_hot_digests(spark):
+    """Empty pages, and texts, that are most of the rows."""
+    pages = [(k, "u", None if k % 2 else "") for k in range(400)] + [(1000 + k, "u", f"page {k % 30}") for k in range(90)]
+    got = warc.archive_and_read(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()
+    assert len(got) == len(pages) and sum(r.record_type == "response" for r in got) == 31
+    assert {r.refers_to for r in got if r.payload_bytes == 0} == {None, 399} and all(r.page_id == 399 for r in got if r.payload_bytes == 0 and r.refers_to is None)
+    docs = spark.createDataFrame([(k, "Same" if k % 2 else "same", "en", "s", 1) for k in range(400)] + [(1000 + k, f"text {k % 30}", "en", "s", 1) for k in range(90)], DOCS).repartition(5)
+    kept = {r.doc_id: r for r in E.exact_dedup(docs).collect()}
+    assert sum(r.kept for r in kept.values()) == 31 and {(r.keep_id, r.group_size) for i, r in kept.items() if i < 400} == {(399, 400)}
+
+
 def test_damaged_payload_fails(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.write_archive(spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string"), path)
@@ -602,10 +614,33 @@ def test_trie_counts_equal_single_words_and_the_library():
         assert m.cache[w] == m.one(s)
         if not set("x日𝕏") & set(s):
             ids = lib.encode(s).ids
-            assert math.isclose(sum([0.0, *pieces.values()][i] for i in ids), best(pieces, s)) and (len(ids) == m.cache[w] or len(s) > 3)
+            assert math.isclose(sum([0.0, *pieces.values()][i] for i in ids), best(pieces, s))  # several segmentations have it here
     assert m.count([None, "", " a\tb ", "a" * 5000]) [:3] == [(0, 0), (0, 0), (2, m.one("▁a") + m.one("▁b"))]
 
 
+def test_token_counts_equal_the_library_with_the_real_vocabulary(spark):
+    """Words of all lengths; scores of real pieces differ, so that the best segmentation is one."""
+    from tokenizers import Tokenizer, models
+
+    m = token_counts.model()
+    lib = Tokenizer(models.Unigram([("<unk>", -50.0), *m.pieces.items()], unk_id=0))
+    rng, sf = random.Random(6), "/root/testdata/sf0.001/documents.parquet"
+    texts = [r.text or "" for r in spark.read.parquet(sf).select("text").collect()] if os.path.isdir(os.path.dirname(sf)) else []
+    some = {w for t in texts for w in words(t)}
+    some |= {"".join(rng.choices("etaoinshrdlucmfwypvbgk", k=rng.randint(1, 200))) for _ in range(400)} | {"the" * 50, "international" * 9}
+    some = {w for w in some if all(c in m.pieces for c in w)}
+    m.learn({w.encode() for w in some})
+    assert len(some) > 350 and all(m.cache[w.encode()] == len(lib.encode("▁" + w).ids) for w in some)
+
+
+def test_cached_words_of_two_generations_count_the_same(monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHED_WORDS", 5)
+    m = token_counts.Unigram(token_counts.model().pieces)
+    texts = ["one two three four five six seven", "one eight nine ten", "one two eleven", "", "seven one"] * 3
+    for t in texts:
+        assert m.count([t]) == [(len(t.split()), sum(m.one("▁" + w) for w in t.split()))]
+
+
 def best(pieces, s):
     top = [0.0] + [-math.inf] * len(s)
     for p in range(1, len(s) + 1):
@@ -649,6 +684,22 @@ def test_words_of_the_cache_are_the_library_ids(monkeypatch):
         assert np.frombuffer(enc.encode(t), enc.kind).tolist() == enc.lib.encode(t, add_special_tokens=False).ids
 
 
+def test_other_vocabularies_go_to_the_library():
+    import public_tokenizers
+
+    enc = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in ["One two.  Three\n\tfour", " lead", "", "É, ß"]:
+        assert np.frombuffer(enc.encode(t), enc.kind).tolist() == enc.lib.encode(t, add_special_tokens=False).ids
+
+
+def test_one_id_may_fill_several_files(spark):
+    made = [(7, f"word{k} " * (k % 9), "en", "s", 1) for k in range(300)] + [(7, "same", "en", "s", 1)] * 50 + [(8, "last", "en", "s", 1)]
+    got = sorted(token_files.write_and_read(spark.createDataFrame(made, DOCS).repartition(5)).collect(), key=lambda r: r.start)
+    enc = token_files.encoder(None)
+    assert [r.doc_id for r in got] == [7] * 350 + [8] and [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
+    assert sorted(r.n_tokens for r in got) == sorted(len(enc.encode(t)) // 2 + 1 for _, t, *_ in made)
+
+
 def test_damaged_frames_fail():
     data = token_files.frame(b"payload")
     assert token_files.unframe(data) == b"payload"
