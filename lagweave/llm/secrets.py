@@ -21,7 +21,8 @@ BLOCK = 256
 class EntropyClass:
     """Candidates are runs that `pattern` finds; windows of `width` characters count those of `alphabet`.
 
-    A window is hot from `bits` of Shannon entropy on. Candidates that `allow` matches whole are left alone.
+    A window is hot from `bits` of Shannon entropy on. Candidates that `allow` matches whole are left alone, and so are
+    the windows in which `phrase` is found.
     """
 
     kind: str
@@ -31,21 +32,34 @@ class EntropyClass:
     width: int
     bits: float
     allow: str
+    phrase: str
 
 
 CLASSES = (
-    EntropyClass("entropy_hex", "[0-9A-Fa-f]{24,}", "0123456789abcdef", True, 20, 2.9, r"[0-9]+|[A-Fa-f]+|(.{1,8})\1+|.*(?:0123456789|12345678|abcdef01|deadbeef).*"),
-    EntropyClass("entropy_base64", "[A-Za-z0-9+/_-]{20,}={0,2}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", False, 20, 3.9, r"[A-Za-z]?[a-z]+|[A-Z]+|[0-9_/+-]+|[A-Za-z]+(?:[_/-][A-Za-z]++)++|(?i).*(?:example|abcdefghij|0123456789).*|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
+    EntropyClass("entropy_hex", "[0-9A-Fa-f]{24,}", "0123456789abcdef", True, 20, 2.9, r"[0-9]+|[A-Fa-f]+|(.{1,8})\1+", "0123456789|12345678|abcdef01|deadbeef"),
+    EntropyClass("entropy_base64", "[A-Za-z0-9+/_-]{20,}={0,2}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", False, 20, 3.9, r"[A-Za-z]?[a-z]+|[A-Z]+|[0-9_/+-]+|[A-Za-z]+(?:[_/-][A-Za-z]++)++|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", "(?i)example|abcdefghij|0123456789"),
 )
 
 
 def prefix_sums(lengths: Column) -> Column:
-    """Sums of all elements before each one, in blocks, so that long arrays stay near linear."""
+    """Sums of all elements before each one, from the sums of blocks, the sums of those and so on: near linear."""
     add = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
-    sums = F.transform(blocks, add)
-    inside = lambda block, b: F.transform(block, lambda x, i: add(F.slice(sums, F.lit(1), b)) + add(F.slice(block, F.lit(1), i)))
-    return F.flatten(F.transform(blocks, inside))
+
+    def cut(a: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda b: F.slice(a, b * BLOCK + 1, BLOCK))
+
+    def within(blocks: Column, before: Column) -> Column:
+        """The sums before each element, given those before each block."""
+        return F.flatten(F.zip_with(blocks, before, lambda block, first: F.transform(block, lambda x, i: first + add(F.slice(block, F.lit(1), i)))))
+
+    def bound(value: Column, use) -> Column:
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def outer(blocks: Column) -> Column:
+        wide = lambda sums: bound(cut(sums), lambda w: within(w, bound(F.transform(w, add), lambda t: F.transform(t, lambda x, i: add(F.slice(t, F.lit(1), i))))))
+        return bound(bound(F.transform(blocks, add), wide), lambda before: within(blocks, before))
+
+    return bound(cut(lengths), outer)
 
 
 def places(text: Column, pattern: str, group: int = 0) -> Column:
@@ -78,6 +92,8 @@ def hot_spans(word: Column, c: EntropyClass) -> Column:
         F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0).alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.array().cast("array<struct<start:int,end:int>>").alias("done")
     )
 
+    allowed = word.rlike(c.phrase)
+
     def step(codes: Column, acc: Column, i: Column) -> Column:
         new = F.element_at(codes, i)
         old = F.when(i > c.width, F.element_at(codes, F.greatest(i - c.width, F.lit(1)))).otherwise(0)
@@ -85,7 +101,7 @@ def hot_spans(word: Column, c: EntropyClass) -> Column:
         m = F.when(i > c.width, F.element_at(acc["counts"], F.greatest(old, F.lit(1))) + F.when(old == new, 1).otherwise(0)).otherwise(1)
         total = acc["sum"] + F.element_at(terms, n + 2) - F.element_at(terms, n + 1) + F.when(i > c.width, F.element_at(terms, m) - F.element_at(terms, m + 1)).otherwise(0)
         counts = F.transform(acc["counts"], lambda x, k: x + F.when(k + 1 == new, 1).otherwise(0) - F.when(k + 1 == old, 1).otherwise(0))
-        hot = (i >= c.width) & (total <= limit)
+        hot = (i >= c.width) & (total <= limit) & ~(allowed & F.substring(word, i - c.width + 1, F.lit(c.width)).rlike(c.phrase))
         joins = hot & (acc["last"] >= i - c.width)
         opens = hot & ~joins
         done = F.when(opens & (acc["last"] >= 0), F.array_append(acc["done"], F.struct(acc["first"].alias("start"), acc["last"].alias("end")))).otherwise(acc["done"])

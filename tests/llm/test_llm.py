@@ -460,14 +460,13 @@ def brute_secrets(t):
     base += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
     base += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
     for k, c in enumerate(S.CLASSES):
-        allow = re.sub(r"\(\?i\)([^|]*)$|\(\?i\)(.*?)(?=\|\[0-9a-fA-F\])", lambda m: f"(?i:{m[1] or m[2]})", c.allow)
         for m in re.finditer(c.pattern, t):
-            if re.fullmatch(allow, m[0]):
+            if re.fullmatch(c.allow, m[0]):
                 continue
             w, spans = m[0].lower() if c.lower else m[0], []
             for i in range(len(w) - c.width + 1):
                 n = collections.Counter(w[i : i + c.width])
-                if sum(round(v * math.log2(v) * 1e6) for v in n.values()) <= math.floor(c.width * (math.log2(c.width) - c.bits) * 1e6):
+                if sum(round(v * math.log2(v) * 1e6) for v in n.values()) <= math.floor(c.width * (math.log2(c.width) - c.bits) * 1e6) and not re.search(c.phrase, m[0][i : i + c.width]):
                     if spans and spans[-1][1] >= i:
                         spans[-1][1] = i + c.width
                     else:
@@ -482,11 +481,14 @@ def test_secrets_equal_scanning(spark, empty):
     alphabet, parts = "abcdef0123456789ABCXYZ+/=_- \n\"':é𝕏.", ["password", "Secret", "TOKEN", "apikey", "api_key", "AKIA", "=", ":", " = ", "'", "ſecret"]
     made = [(i, "".join(rng.choice(parts) if rng.random() < 0.15 else rng.choice(alphabet) * rng.choice([1, 1, 3]) for _ in range(rng.randint(0, 200)))) for i in range(150)]
     made += [(900, None), (901, ""), (902, "".join(rng.choice("0123456789abcdef") for _ in range(3000))), (903, "password=abcdefgh " * 700), (904, "secret=token:abcdefghij"), (905, "0123456789" * 5), (906, "some_long_identifier_of_words"), (905, "0123456789" * 5)]
+    made += [(907, "example/services/" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(60))), (908, "deadbeef" + "".join(rng.choice("0123456789abcdef") for _ in range(60)) + "12345678")]
+    made += [(909, "token=abcdefgh1 " * 70_000)]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in made], DOCS)
     got = S.secrets(clashing(docs)).collect()
     want = sorted((i, *brute_secrets(t)) for i, t in made)
     assert sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in got) == want
     assert sum(r.n_entropy for r in got) > 0 and next(r for r in got if r.doc_id == 906).n_entropy == 0
+    assert all(r.n_entropy > 0 for r in got if r.doc_id in (907, 908))
     assert S.secrets(empty).count() == 0
 
 
