@@ -22,7 +22,9 @@ from .common import col, forget, id_remainder, stored
 #: Counts are quantised to 1 + floor(log2 c). Each level is one key of the filter, of so many bits and probes.
 BITS_PER_KEY, PROBES, LEVELS = 8, 5, 64
 #: Training tokens of a shard, about; bytes of text of a unit, about.
-PER_SHARD, UNIT_BYTES = 2_000_000, 4 << 20
+PER_SHARD, UNIT_BYTES = 2_000_000, 8 << 20
+#: Bytes of a pair's hash that are sent to its shard: two pairs of a shard are taken for one once in 2^40.
+SENT = 5
 #: Bytes that are hashed at once; distinct n-grams, and tokens, that a task counts before it hands them on.
 PIECE, FLUSH, MOST = 1 << 20, 1_500_000, 1 << 31
 PRIOR = 20.0
@@ -135,6 +137,27 @@ def by_shard(h: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
 
 
+def sent(h: np.ndarray) -> bytes:
+    """The last SENT bytes of each hash; the first ones name the shard."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :SENT].tobytes()
+
+
+def received(data: bytes) -> np.ndarray:
+    h = np.zeros((len(data) // SENT, 8), np.uint8)
+    h[:, :SENT] = np.frombuffer(data, np.uint8).reshape(-1, SENT)
+    return h.view(np.uint64).ravel()
+
+
+def numbers(x: np.ndarray) -> bytes:
+    """Counts in 4 bytes each, or in 8 where that is too little; the first byte says which."""
+    wide = x.max(initial=0) >= 2**32
+    return (b"8" if wide else b"4") + x.astype("<u8" if wide else "<u4").tobytes()
+
+
+def of_numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[:1].decode()}", offset=1)
+
+
 def shard_counts(docs: DataFrame, text: str, shards: int) -> DataFrame:
     """(shard, pair, hashes, counts): each task's own counts of words and of word pairs, as arrays by shard."""
 
@@ -147,7 +170,7 @@ def shard_counts(docs: DataFrame, text: str, shards: int) -> DataFrame:
             for pair, parts in enumerate(held):
                 h, c = counted([h for h, _ in parts], [c for _, c in parts])
                 cuts = by_shard(h, shards)
-                rows += [(k, bool(pair), h[i:j].tobytes(), c[i:j].astype("<u4").tobytes()) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+                rows += [(k, bool(pair), sent(h[i:j]) if pair else h[i:j].tobytes(), numbers(c[i:j])) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
                 parts.clear()
             columns = zip(*rows, strict=True) if rows else ((),) * 4
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], ["shard", "pair", "hashes", "counts"])
@@ -168,7 +191,9 @@ def shard_counts(docs: DataFrame, text: str, shards: int) -> DataFrame:
 
 
 def summed(parts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return counted([np.frombuffer(x, np.uint64) for x in parts["hashes"]], [np.frombuffer(x, "<u4").astype(np.int64) for x in parts["counts"]])
+    """(hashes, counts) of a shard's parts, all of words or all of pairs."""
+    read = [received if pair else lambda x: np.frombuffer(x, np.uint64) for pair in parts["pair"]]
+    return counted([f(x) for f, x in zip(read, parts["hashes"], strict=True)], [of_numbers(x).astype(np.int64) for x in parts["counts"]])
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -262,7 +287,7 @@ def questions(rows: DataFrame, shards: int) -> DataFrame:
             there = np.flatnonzero((cut[1:] > cut[:-1]) | (cuts[1:] > cuts[:-1]))
             n = len(there)
             columns = [pa.array(np.full(n, x)) for x in (unit, first, first + len(held) - 1)] + [pa.array(there)]
-            columns += [pa.array([h[c[k] : c[k + 1]].tobytes() for k in there], pa.binary()) for h, c in ((words, cut), (grams, cuts))]
+            columns += [pa.array([f(h[c[k] : c[k + 1]]) for k in there], pa.binary()) for f, h, c in ((np.ndarray.tobytes, words, cut), (sent, grams, cuts))]
             return pa.RecordBatch.from_arrays(columns, ["unit", "first", "last", "shard", "words", "pairs"])
 
         for batch in batches:
@@ -295,8 +320,8 @@ def answers(asked: DataFrame, model: DataFrame) -> DataFrame:
             return np.where(words[at] == h, counts[at], 0)
 
         out = rows[["unit", "first", "last", "shard"]].copy()
-        out["counts"] = [count(np.frombuffer(x, np.uint64)).astype("<i8").tobytes() for x in rows["words"]]
-        out["levels"] = [probe_shard(blob, np.frombuffer(x, np.uint64)).astype(np.uint8).tobytes() for x in rows["pairs"]]
+        out["counts"] = [numbers(count(np.frombuffer(x, np.uint64))) for x in rows["words"]]
+        out["levels"] = [probe_shard(blob, received(x)).astype(np.uint8).tobytes() for x in rows["pairs"]]
         return out
 
     both = asked.groupBy("shard").cogroup(model.select(F.col("shard").cast("long").alias("shard"), "words", "counts", "filter").groupBy("shard"))
@@ -319,7 +344,7 @@ def scored(rows: DataFrame, told: DataFrame, tokens: int, distinct: int) -> Data
             n = len(some)
             which, token, pair = grams_of(some.column("text").to_pylist())
             words, at = np.unique(token, return_inverse=True)
-            counts = np.frombuffer(b"".join(part["counts"]), "<i8").astype(float)
+            counts = np.concatenate([of_numbers(x) for x in part["counts"]]).astype(float)
             q = np.frombuffer(b"".join(part["levels"]), np.uint8)[np.unique(pair, return_inverse=True)[1]].astype(np.int64)
             count = counts[at]
             smooth = np.where(count > 0, count, UNSEEN)
