@@ -19,7 +19,10 @@ SCHEMA = ", ".join(["group string", *[f"{c} double" for c in COLUMNS[1:]], "rho
 
 @dataclass(frozen=True)
 class FitOptions:
-    """fit_start and fit_end are inclusive; r1: const, exp, geom or zero. More starts than the first escape local minima."""
+    """fit_start and fit_end are inclusive; r1: const, exp, geom or zero. More starts than the first escape local minima.
+
+    method: least_squares (or leastsq) for damped Gauss-Newton steps, nelder for a simplex that needs no slopes.
+    """
 
     fit_start: int = 3
     fit_end: int = 300
@@ -94,6 +97,47 @@ def levenberg(residual: Callable, start: np.ndarray, low: np.ndarray, high: np.n
     return bounded(u, low, high), cost, nfev, done
 
 
+def simplex(residual: Callable, start: np.ndarray, low: np.ndarray, high: np.ndarray, max_nfev: int) -> tuple[np.ndarray, float, int, bool]:
+    """Bounded least squares by the downhill simplex on sine-mapped parameters, begun anew where it has shrunk."""
+    nfev = 0
+
+    def cost(u: np.ndarray) -> float:
+        nonlocal nfev
+        nfev += 1
+        r = residual(bounded(u, low, high))
+        return float(r @ r) if np.isfinite(r).all() else math.inf
+
+    at, last, done = unbounded(start, low, high), math.inf, False
+    while not done and nfev < min(max_nfev, 20_000):
+        points = np.vstack([at, *(at + 0.1 * e for e in np.eye(len(at)))])
+        costs = np.array([cost(p) for p in points])
+        while nfev < min(max_nfev, 20_000):
+            order = np.argsort(costs)
+            points, costs = points[order], costs[order]
+            if np.abs(points[1:] - points[0]).max() < 1e-10 or costs[-1] - costs[0] <= 1e-14 * costs[0]:
+                break
+            middle = points[:-1].mean(axis=0)
+            tries = {k: middle + k * (points[-1] - middle) for k in (-1.0, -2.0, 0.5)}
+            mirrored = cost(tries[-1.0])
+            if mirrored < costs[0]:
+                far = cost(tries[-2.0])
+                points[-1], costs[-1] = (tries[-2.0], far) if far < mirrored else (tries[-1.0], mirrored)
+            elif mirrored < costs[-2]:
+                points[-1], costs[-1] = tries[-1.0], mirrored
+            elif (near := cost(tries[0.5])) < costs[-1]:
+                points[-1], costs[-1] = tries[0.5], near
+            else:
+                points[1:] = points[0] + (points[1:] - points[0]) / 2
+                costs[1:] = [cost(p) for p in points[1:]]
+        best = int(np.argmin(costs))
+        done = bool(last - costs[best] <= 1e-10 * costs[best])
+        at, last = points[best], costs[best]
+    return bounded(at, low, high), last, nfev, done
+
+
+METHODS = {"least_squares": levenberg, "leastsq": levenberg, "nelder": simplex}
+
+
 def solve(x: np.ndarray, y: np.ndarray, ds: float, o: FitOptions) -> dict | None:
     """Best fit of (theta_s, fbar, phi_s) over the starts, or None where no start gives a finite cost."""
     low, high = np.array([0.0, o.f_min, 0.0]), np.array([ds, o.f_max, o.phi_max])
@@ -109,7 +153,7 @@ def solve(x: np.ndarray, y: np.ndarray, ds: float, o: FitOptions) -> dict | None
         s = np.clip(np.array(s), low + 1e-12 * (high - low), high - 1e-12 * (high - low))
         if not np.isfinite(residual(s)).all():
             continue
-        p, cost, n, ok = levenberg(residual, s, low, high, o.max_nfev)
+        p, cost, n, ok = METHODS[o.method](residual, s, low, high, o.max_nfev)
         nfev += n
         if np.isfinite(cost) and (best is None or cost < best[1]):
             best = (p, cost, ok)
@@ -125,6 +169,8 @@ def solve(x: np.ndarray, y: np.ndarray, ds: float, o: FitOptions) -> dict | None
 
 def fit(data: DataFrame, o: FitOptions = FitOptions()) -> DataFrame:
     """Fit every group of fit_data(); groups without points, without Ks or that can't be fitted give no row."""
+    if o.method not in METHODS:
+        raise ValueError(f"method is one of {', '.join(METHODS)}")
 
     def one(batches):
         for pdf in batches:

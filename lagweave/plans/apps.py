@@ -16,6 +16,7 @@ from ..operators import variants as V
 from ..sources import alignments as X
 from ..sources import profiles as S
 from ..sources import reads as Q
+from ..sources.scratch import stored
 
 
 def kept(spark: SparkSession, gene_rows, out: str):
@@ -75,9 +76,13 @@ def fit(spark: SparkSession, path: str, prefix: str, options: T.FitOptions = T.F
 
 
 def fit_compare(spark: SparkSession, path: str, prefix: str, options: T.FitOptions = T.FitOptions()) -> None:
-    """Recombination model against the model without, for `all`."""
-    data = T.fit_data(S.read_profile(spark, path), options).filter("group = 'all'")
-    T.compare(data, T.fit(data, options)).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{prefix}_comparison.csv")
+    """Recombination model against the model without, for `all`, and the residuals of both."""
+    data = stored(T.fit_data(S.read_profile(spark, path), options).filter("group = 'all'"), "fit-data")
+    fitted = stored(T.fit(data, options), "fitted")
+    T.compare(data, fitted).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{prefix}_comparison.csv")
+    both = T.residuals(data, fitted)
+    for model in ("recombination", "zero"):
+        both.filter(F.col("model") == model).select("x", "residual").coalesce(1).sortWithinPartitions("x").write.mode("overwrite").option("header", True).csv(f"{prefix}_{model}_residuals.csv")
 
 
 def fit_collector(spark: SparkSession, root: str, out: str, json_suffix: str = "_XMFA_OUT.json", lmfit_suffix: str = "_XMFA_OUT_lmfit_report.csv") -> None:

@@ -265,3 +265,18 @@ c AS (
 SELECT "group", x, round((1 - c1 - c2) * (2 * theta / (1 + 2 * theta * a)) + c1 * (tp / (1 + tp * a)) + c2 * 2 * pow(tp / (1 + tp * a), 2) * (1 + tp * a + pp * w * x) / (1 + 2 * tp * a + 2 * pp * w * x) / ds, 9) AS p2 FROM c"""
 SQL["file_pairing"] = """
 SELECT 'cluster' || n_nationkey AS cluster, genome, n_nationkey % 2 = 0 AND genome = 'CORE' AS found FROM nation, (VALUES ('CORE'), ('FLEX')) g(genome)"""
+
+# what was written to files and read back is what was written
+for name, same in (("xmfa_files", "gene_profile"), ("json_files", "gene_profile"), ("sam_gff_files", "pileup"), ("vcf_files", "vcf_profile"), ("profile_files", "profile_boot")):
+    SQL[name] = SQL[same]
+SQL["gff_files"] = """
+SELECT p_brand AS seq_name, p_partkey % 100000 * 100 + 1 AS start, p_partkey % 100000 * 100 + 90 AS "end", CASE WHEN p_partkey % 4 = 0 THEN -1 ELSE 1 END AS strand, CAST(p_partkey AS VARCHAR) AS gene FROM part"""
+SQL["vcf_region"] = SQL["vcf_profile"].replace("FROM events)", "FROM events WHERE event_id * 3 + 1 BETWEEN 1000 AND 20000)")
+SQL["corrected_variance"] = SQL["gene_mean_variance"].replace("var_pop", "var_samp")
+SQL["contig_counts"] = """
+SELECT p_brand AS rname, count(*) AS n_reads FROM (SELECT DISTINCT l_partkey, l_orderkey, l_linenumber FROM lineitem) JOIN part ON p_partkey = l_partkey GROUP BY p_brand"""
+SQL["zero_fit_files"] = f"""{ZERO}
+SELECT "group", round(d_sample, 6) AS d_sample, round(theta_s, 6) AS theta_s, round(theta_s / (1 + 4.0::DOUBLE / 3 * theta_s), 6) AS d_clonal FROM zero"""
+# the curves are exact, so every fit finds the parameters that they were made from
+SQL["fit_recovery"] = """SELECT CAST(s_suppkey AS VARCHAR) AS "group", TRUE AS recovered, 0.0::DOUBLE AS chisq FROM supplier"""
+SQL["fit_beats_grid"] = f"""{BOOT} SELECT b AS "group", TRUE AS beats FROM ds WHERE d > 0"""

@@ -14,7 +14,10 @@ from ..operators import fit as T
 from ..operators import reads as R
 from ..operators import tools as U
 from ..operators import variants as V
+from ..sources import alignments as X
 from ..sources import profiles as S
+from ..sources import reads as Q
+from ..sources.scratch import new_path
 from . import derived as D
 from .oracles import SQL
 
@@ -22,6 +25,9 @@ CODING = A.CodingOptions(max_corr_length=15)
 CLADES = A.CodingOptions(max_corr_length=15, min_sequences=1)
 READS = R.ReadOptions(max_corr_length=60)
 BOOTS, NONCODING_LAGS, SITE_LENGTH = 20, 4, 50
+REGION = (1_000, 20_000)
+#: Parameters that a fit is held against: theta as a share of d_sample.
+GRID = {"theta": (0.01, 0.1, 0.3, 0.6, 0.9), "phi": (1e-5, 1e-4, 1e-3, 1e-2, 0.1), "f": (5.0, 30.0, 300.0, 3000.0, 100_000.0)}
 
 
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
@@ -194,7 +200,7 @@ def fit_recovery(spark: SparkSession, sf: str) -> DataFrame:
 
 def fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     data = T.fit_data(K.profile(gene_rows(spark, sf), BOOTS))
-    return data, T.fit(data, T.FitOptions(starts=2))
+    return data, T.fit(data)
 
 
 def fit_params(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,6 +232,81 @@ def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(back.select("gene", "lag", "mean", "n", "type"))
 
 
+def xmfa_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The gene profile of alignments that were written as XMFA blocks and read back."""
+    path = new_path(spark, "xmfa")
+    X.write_xmfa(D.alignment(spark, sf), path)
+    return rounded(A.gene_profile(X.read_xmfa(spark, path), CODING))
+
+
+def sam_gff_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The pileup of reads and genes that were written as SAM and GFF3 and read back."""
+    sam, gff = new_path(spark, "sam"), new_path(spark, "gff")
+    Q.write_sam(D.reads(spark, sf), sam)
+    Q.write_gff(D.genes(spark, sf), gff)
+    pile = R.read_piles(Q.read_sam(spark, sam), Q.read_gff(spark, gff), READS)
+    return rounded(pile.groupBy("gene", "gene_pos").agg(F.count("*").alias("depth"), F.countDistinct("codon").alias("codons")))
+
+
+def gff_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_path(spark, "gff")
+    Q.write_gff(D.genes(spark, sf), path)
+    return rounded(Q.read_gff(spark, path).drop("ordinal"))
+
+
+def vcf_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The site profile of genotypes that were written as VCF and read back."""
+    path = new_path(spark, "vcf")
+    Q.write_vcf(D.sites(spark, sf), path)
+    return rounded(V.site_profile(Q.read_vcf(spark, path), SITE_LENGTH))
+
+
+def vcf_region(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(V.site_profile(D.sites(spark, sf), SITE_LENGTH, *REGION))
+
+
+def json_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Gene profiles that were written as NDJSON and read back."""
+    path = new_path(spark, "json")
+    S.write_records(gene_rows(spark, sf), path)
+    return rounded(S.read_records(spark, path).select("gene", "lag", "mean", "n", "type"))
+
+
+def profile_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Profile rows that were written as CSV and read back."""
+    path = new_path(spark, "profile")
+    S.write_profile(K.profile(gene_rows(spark, sf), BOOTS), path)
+    return rounded(S.read_profile(spark, path))
+
+
+def corrected_variance(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(K.mean_variance(gene_rows(spark, sf), ["type", "lag"], "mean", corrected=True))
+
+
+def contig_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return R.contig_counts(D.reads(spark, sf))
+
+
+def zero_fit_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Results of the model without recombination, written as a results table and read back."""
+    path = new_path(spark, "results")
+    z = T.zero_model(T.fit_data(K.profile(gene_rows(spark, sf), BOOTS)))
+    S.write_results(z.select("group", *[F.round(c, 6).alias(c) for c in ("d_sample", "theta_s", "d_clonal")]), ["group", "d_sample", "theta_s", "d_clonal"], path)
+    return spark.read.option("header", True).schema("group string, d_sample double, theta_s double, d_clonal double").csv(path)
+
+
+def fit_beats_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each replicate's fit is at least as near its points as the best of a grid of parameters."""
+    data, got = fitted(spark, sf)
+    points = data.select("group", "d_sample", F.explode(F.arrays_zip("x", "y")).alias("p")).filter("d_sample > 0")
+    grid = [F.explode(F.array(*[F.lit(v) for v in values])).alias(name) for name, values in (("theta", GRID["theta"]), ("phi", GRID["phi"]), ("f", GRID["f"]))]
+    for g in grid:
+        points = points.select("*", g)
+    off = M.model_curve(F.col("p.x"), F.col("theta") * F.col("d_sample"), F.col("phi"), F.col("f"), F.col("d_sample")) - F.col("p.y")
+    best = points.groupBy("group", "theta", "phi", "f").agg(F.sum(off * off).alias("cost")).filter(~F.isnan("cost")).groupBy("group").agg(F.min("cost").alias("cost"))
+    return got.join(best, "group").select("group", (F.col("chisq") <= F.col("cost") * (1 + 1e-9) + 1e-15).alias("beats"))
+
+
 def pair_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(U.pair_statistics(gene_rows(spark, sf)))
 
@@ -244,7 +325,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         gene_profile, p00_profile, first_base_profile, noncoding_profile, profile_all, profile_boot, gene_mean_variance, clade_profile, clade_p00, clade_aps,
         pair_profile, pair_collect, genome_distances, distance_matrix, read_gene_join, pileup, read_p2, read_p4, q_factors, read_profile_scaled, vcf_profile,
         fit_data, zero_model, model_curve, derived_params, coalescent_curve, fit_recovery, fit_params, fit_compare, fit_report_stats, histogram,
-        kmeans_profiles, json_roundtrip, pair_statistics, file_pairing,
+        kmeans_profiles, json_roundtrip, pair_statistics, file_pairing, xmfa_files, sam_gff_files, gff_files, vcf_files, vcf_region, json_files, profile_files,
+        corrected_variance, contig_counts, zero_fit_files, fit_beats_grid,
     )
 }
 

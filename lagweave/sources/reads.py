@@ -25,32 +25,46 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inflate(content: bytes) -> Iterator[bytes]:
-    """The members of a BGZF file, one at a time."""
-    at = 0
-    while at < len(content):
+    """The blocks of a BGZF file, one at a time, each by the size that its header states; plain gzip members as they end."""
+    whole, at = memoryview(content), 0
+    while at < len(whole):
+        size = block_size(whole[at:])
         d = zlib.decompressobj(31)
-        data = d.decompress(content[at:])
-        used = len(content) - at - len(d.unused_data)
+        data = d.decompress(whole[at : at + size] if size else whole[at:])
+        used = size or len(whole) - at - len(d.unused_data)
         if not used:
             break
         at += used
         yield data
 
 
+def block_size(head: memoryview) -> int:
+    """The size of a BGZF block by the subfield BC of its header; 0 for a gzip member without one."""
+    if len(head) < 18 or not head[3] & 4:
+        return 0
+    at, end = 12, 12 + int.from_bytes(head[10:12], "little")
+    while at + 4 <= end:
+        n = int.from_bytes(head[at + 2 : at + 4], "little")
+        if head[at : at + 2] == b"BC" and n == 2:
+            return int.from_bytes(head[at + 4 : at + 6], "little") + 1
+        at += 4 + n
+    return 0
+
+
 class Bytes:
     """Reads exact lengths from a stream of chunks."""
 
     def __init__(self, chunks: Iterator[bytes]):
-        self.chunks, self.held = chunks, b""
+        self.chunks, self.held, self.at = chunks, b"", 0
 
     def take(self, n: int) -> bytes:
-        while len(self.held) < n:
+        while len(self.held) - self.at < n:
             more = next(self.chunks, None)
             if more is None:
                 return b""
-            self.held += more
-        out, self.held = self.held[:n], self.held[n:]
-        return out
+            self.held, self.at = self.held[self.at :] + more, 0
+        self.at += n
+        return self.held[self.at - n : self.at]
 
 
 def bam_records(content: bytes) -> Iterator[tuple]:
@@ -113,6 +127,27 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.get("f", F.lit(0)).alias("seq_name"), F.get("f", F.lit(3)).cast("int").alias("start"), F.get("f", F.lit(4)).cast("int").alias("end"), strand.alias("strand"), F.regexp_extract(F.get("f", F.lit(8)), "(?:^|;)ID=([^;]+)", 1).alias("gene"), "ordinal")
 
 
+def write_sam(reads: DataFrame, path: str) -> None:
+    """reads(qname, rname, pos from 0, mapq, cigar, seq, qual, ordinal) as SAM text, a contig's reads in one file, in order."""
+    qual = F.array_join(F.transform("qual", lambda q: F.char(q + 33)), "")
+    cells = [F.col("qname"), F.lit("0"), F.col("rname"), (F.col("pos") + 1).cast("string"), F.col("mapq").cast("string"), F.col("cigar"), F.lit("*"), F.lit("0"), F.lit("0"), F.col("seq"), qual]
+    lines = reads.select("rname", "ordinal", F.concat_ws("\t", *cells).alias("value"))
+    lines.repartition("rname").sortWithinPartitions("rname", "ordinal").select("value").write.mode("overwrite").text(path)
+
+
+def write_gff(genes: DataFrame, path: str) -> None:
+    """genes(seq_name, start, end, strand, gene) as CDS features of GFF3 text."""
+    strand = F.when(F.col("strand") < 0, "-").when(F.col("strand") > 0, "+").otherwise(".")
+    cells = [F.col("seq_name"), F.lit("."), F.lit("CDS"), F.col("start").cast("string"), F.col("end").cast("string"), F.lit("."), strand, F.lit("0"), F.concat(F.lit("ID="), F.col("gene"))]
+    genes.select(F.concat_ws("\t", *cells).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_vcf(sites: DataFrame, path: str) -> None:
+    """sites(chrom, pos, gts) as records of VCF text, a sample of one allele for each of gts."""
+    cells = [F.col("chrom"), F.col("pos").cast("string"), F.lit("."), F.lit("A"), F.lit("C"), F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), F.array_join("gts", "\t")]
+    sites.select(F.concat_ws("\t", *cells).alias("value")).write.mode("overwrite").text(path)
+
+
 def alleles(cells: Column) -> Column:
     """Allele letters of genotype cells: the GT subfield of each, without its separators."""
     return F.flatten(F.transform(cells, lambda c: F.filter(F.split(F.split(c, ":")[0], "[|/]"), lambda a: a != "")))

@@ -180,6 +180,15 @@ def test_fit_recovers_known_parameters(r1):
             assert np.allclose([got["theta_s"], got["phi_s"], got["fbar"]], [theta, phi, f], rtol=2e-2)
 
 
+def test_fit_methods_agree_and_others_are_refused(spark):
+    x = np.arange(3.0, 300.0, 3.0)
+    y = M.model_curve(x, 5e-4, 3e-4, 900.0, 0.05) * (1 + 0.01 * np.sin(x))
+    one, two = (T.solve(x, y, 0.05, T.FitOptions(method=m, starts=4)) for m in ("least_squares", "nelder"))
+    assert math.isclose(one["chisq"], two["chisq"], rel_tol=1e-4) and one["nfev"] != two["nfev"]
+    with pytest.raises(ValueError, match="method"):
+        T.fit(spark.createDataFrame([], "group string, d_sample double, x array<double>, y array<double>"), T.FitOptions(method="guess"))
+
+
 def test_fit_and_zero_model_by_group(spark):
     x = list(range(3, 300, 3))
     y = M.model_curve(np.array(x, float), 1e-4, 1e-3, 400.0, 0.02)

@@ -1,6 +1,7 @@
 import gzip
 import math
 import struct
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -73,6 +74,41 @@ def test_bam_reads_like_sam(spark, tmp_path):
     assert one == two
 
 
+def bgzf(data, size):
+    """Blocks with their own sizes in the subfield BC, as the format has them, and the empty block at the end."""
+    out = b""
+    for i in range(0, len(data) + size, size):
+        d = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = d.compress(data[i : i + size]) + d.flush()
+        head = struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25)
+        out += head + body + struct.pack("<II", zlib.crc32(data[i : i + size]), len(data[i : i + size]))
+    return out
+
+
+def test_bam_blocks_are_read_by_their_size():
+    whole = gzip.decompress(bam())
+    for size in (1, 7, 60_000):
+        blocks = bgzf(whole, size)
+        assert R.block_size(memoryview(blocks)) == len(bgzf(whole[:size], size)) - len(bgzf(b"", size))
+        assert b"".join(R.inflate(blocks)) == whole and [*R.bam_records(blocks)] == [*R.bam_records(bam())]
+    large = bytes(range(256)) * 40_000
+    assert b"".join(R.inflate(bgzf(large, 60_000))) == large
+
+
+def test_written_reads_genes_and_sites_are_read_back(spark, tmp_path):
+    (tmp_path / "r.sam").write_text(SAM)
+    reads = R.read_sam(spark, str(tmp_path / "r.sam")).filter("size(qual) > 0")
+    R.write_sam(reads, str(tmp_path / "s"))
+    keep = ["qname", "rname", "pos", "mapq", "cigar", "seq", "qual"]
+    assert R.read_sam(spark, str(tmp_path / "s")).select(*keep).collect() == reads.select(*keep).collect()
+    genes = spark.createDataFrame([("c", 1, 30, -1, "g1"), ("d", 5, 94, 1, "g2"), ("d", 7, 9, 0, "g3")], "seq_name string, start int, end int, strand int, gene string")
+    R.write_gff(genes, str(tmp_path / "g"))
+    assert sorted(R.read_gff(spark, str(tmp_path / "g")).drop("ordinal").collect()) == sorted(genes.collect())
+    sites = spark.createDataFrame([("c", 5, ["0", "1", "."]), ("d", 7, ["1", "1", "0"])], "chrom string, pos long, gts array<string>")
+    R.write_vcf(sites, str(tmp_path / "v"))
+    assert sorted(R.read_vcf(spark, str(tmp_path / "v")).select("chrom", "pos", "gts").collect()) == sorted(sites.collect())
+
+
 def test_gff_and_vcf(spark, tmp_path):
     (tmp_path / "g.gff").write_text("##gff-version 3\nc\tx\tCDS\t1\t30\t.\t-\t0\tID=g1;Name=n\nc\tx\tgene\t1\t30\t.\t+\t.\tID=g0\n")
     assert [(r.seq_name, r.start, r.end, r.strand, r.gene) for r in R.read_gff(spark, str(tmp_path / "g.gff")).collect()] == [("c", 1, 30, -1, "g1")]
@@ -132,3 +168,9 @@ def test_programs_from_files_to_fits(spark, tmp_path):
     assert S.read_profile(spark, str(tmp_path / "q")).filter("b = 'a_vs_b'").count() >= 1
     apps.collect(spark, f"{out}.json", str(tmp_path / "r"), 0, "P2")
     apps.fit(spark, f"{out}.csv", str(tmp_path / "f"))
+    profile = [(0, 0.02, 0.0, 9, "Ks", "all")] + [(l, 0.4 + 0.3 / l, 0.0, 9, "P2", "all") for l in range(3, 100, 3)]
+    S.write_profile(spark.createDataFrame(profile, S.CSV), str(tmp_path / "h"))
+    apps.fit_compare(spark, str(tmp_path / "h"), str(tmp_path / "h"))
+    for model in ("recombination", "zero"):
+        left = spark.read.option("header", True).schema("x double, residual double").csv(f"{tmp_path}/h_{model}_residuals.csv").collect()
+        assert sorted(r.x for r in left) == [*map(float, range(3, 100, 3))] and all(math.isfinite(r.residual) for r in left)
