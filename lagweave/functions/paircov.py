@@ -19,9 +19,12 @@ def cells(alphabet: str = BASES, prefix: str = "n_") -> list[str]:
 
 
 def counts(first: Column, second: Column, alphabet: str = BASES, weight: Column | None = None, prefix: str = "n_") -> list[Column]:
-    """One conditional sum per cell; letters outside the alphabet count nowhere."""
+    """One conditional sum per cell; letters outside the alphabet count nowhere. The cell is one number, made once a row."""
     one = F.lit(1) if weight is None else weight
-    return [F.sum(F.when((first == a) & (second == b), one).otherwise(0)).cast("long").alias(f"{prefix}{a}{b}") for a in alphabet for b in alphabet]
+    place = lambda x: F.when(F.length(x) == 1, F.instr(F.lit(alphabet), x)).otherwise(0)
+    x, y, k = place(first), place(second), len(alphabet) + 1
+    cell = x * k + y  # k * 1 + 1 is the first; those with a row or column 0 are none's
+    return [F.sum(F.when(cell == k * i + j, one).otherwise(0)).cast("long").alias(f"{prefix}{a}{b}") for i, a in enumerate(alphabet, 1) for j, b in enumerate(alphabet, 1)]
 
 
 def append(alphabet: str = BASES, prefix: str = "n_") -> list[Column]:

@@ -42,15 +42,25 @@ def replicates(profile: DataFrame, num_boot: int, gene: str = "gene") -> DataFra
     return each.select("gene", "b", "k", F.explode("rows").alias("r")).select("gene", "b", "k", "r.*")
 
 
-def collect(weighted: DataFrame, center: float = 0.0) -> DataFrame:
-    """(b, type, lag, n, mean, variance) over rows (b, type, lag, mean, k): each gene counts k times."""
+def partial_sums(weighted: DataFrame, center: float = 0.0) -> DataFrame:
+    """(b, type, lag, n, s, q) over rows (b, type, lag, mean, k): number, sum and sum of squares, each gene k times."""
     x = F.col("mean") - center
-    sums = weighted.groupBy("b", "type", "lag").agg(F.sum("k").cast("long").alias("n"), F.sum(F.col("k") * x).alias("s"), F.sum(F.col("k") * x * x).alias("q"))
+    return weighted.groupBy("b", "type", "lag").agg(F.sum("k").cast("long").alias("n"), F.sum(F.col("k") * x).alias("s"), F.sum(F.col("k") * x * x).alias("q"))
+
+
+def of_sums(sums: DataFrame, center: float = 0.0) -> DataFrame:
+    """(b, type, lag, n, mean, variance) of partial_sums(), which may be those of several parts of the genes."""
+    sums = sums.groupBy("b", "type", "lag").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
     m = F.col("s") / F.col("n")
     var = F.when(F.col("n") < 2, F.lit(float("nan"))).otherwise(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - m * m))
     return sums.select("b", "type", "lag", "n", (m + center).alias("mean"), var.alias("variance"))
 
 
+def collect(weighted: DataFrame, center: float = 0.0) -> DataFrame:
+    """(b, type, lag, n, mean, variance) over rows (b, type, lag, mean, k): each gene counts k times."""
+    return of_sums(partial_sums(weighted, center), center)
+
+
 def normalise(collected: DataFrame) -> DataFrame:
     """Profile rows (l, m, v, n, t, b): Ks is the P2 mean at lag 0; the others are over Ks (variances over its square).
 

@@ -39,12 +39,17 @@ def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*rows.columns).agg(F.lit(1).alias("one")).drop("one")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows in as many parts as there are cores: they are few bytes, but much is made of each."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """alignment(gene, pos, genome, clade, seq_idx, seq): a gene per part, a sequence per line item of it.
 
     A third of the sequences are a codon shorter; the genome is one of 12 by order, the clade one of 2 by line number.
     """
-    rows = lineitems(spark, sf_dir)
+    rows = dealt(lineitems(spark, sf_dir), "l_partkey")
     key = F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber")
     gene = F.col("l_partkey").cast("string")
@@ -89,7 +94,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """reads(...) of 72 bases, one per line item, on the contig of its part; a part of them is poor or soft-clipped."""
     rows = lineitems(spark, sf_dir)
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("rname"))
-    rows = rows.join(parts, "l_partkey")
+    rows = dealt(rows.join(parts, "l_partkey"), "l_orderkey", "l_linenumber")
     key = F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     digits = F.md5(F.concat(F.lit("q"), key))
     pos = ((F.col("l_partkey") % 100_000) * 100 + F.col("l_orderkey") % 12).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.collect import collect, normalise, replicates
+from ..operators.collect import normalise, of_sums, partial_sums, replicates
 from ..sources.profiles import RESULT, from_records
 
 
@@ -17,13 +17,15 @@ def read_record_stream(spark: SparkSession, path: str, max_files: int = 100) ->
 def run_collector(rows: DataFrame, out: str, checkpoint: str, num_boot: int = 0) -> StreamingQuery:
     """Append the stream's gene rows to out/genes and keep out/profile, the profile of all genes so far, up to date.
 
-    Batches are written under their number, so a batch that is run again replaces itself.
+    A batch adds its own sums, a row per replicate, type and lag, to out/sums; earlier genes aren't read again. Batches
+    are written under their number, so a batch that is run again replaces itself.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{out}/genes/batch={number}")
-        genes = spark.read.parquet(f"{out}/genes").drop("batch")
-        normalise(collect(replicates(genes, num_boot))).write.mode("overwrite").parquet(f"{out}/profile")
+        genes = spark.read.schema(batch.schema).parquet(f"{out}/genes/batch={number}")
+        partial_sums(replicates(genes, num_boot)).write.mode("overwrite").parquet(f"{out}/sums/batch={number}")
+        normalise(of_sums(spark.read.parquet(f"{out}/sums").drop("batch"))).write.mode("overwrite").parquet(f"{out}/profile")
 
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
