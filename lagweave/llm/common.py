@@ -2,40 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..sources.scratch import new_path, shared_dir  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; a temporary one only for a local master that has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if "dir" not in _LOCAL or not os.path.isdir(_LOCAL["dir"]):
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        _LOCAL["dir"] = tempfile.mkdtemp(dir="/tmp/checkpoints")
-        spark.sparkContext.setCheckpointDir(f"file://{_LOCAL['dir']}")
-    return f"file://{_LOCAL['dir']}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor loses nothing of it."""
     spark = df.sparkSession
@@ -95,9 +72,5 @@ def in_order(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     return out.withColumn("pos", F.col("first") + F.col("mid").bitwiseAND(F.lit((1 << shift) - 1))).drop("mid", "part", "first")
 
 
-def empty_like(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
