@@ -13,6 +13,7 @@ from ..sources.scratch import new_path, shared_dir  # noqa: F401
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
 
+
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor loses nothing of it."""
     spark = df.sparkSession
