@@ -735,3 +735,75 @@ def test_pipeline_stages(spark, rows, tmp_path):
     assert 500 not in kept["decontaminate"] and len(kept["decontaminate"]) == len(kept["near_dedup"]) - 1
     assert sorted(map(str, kept["mix"])) == sorted(map(str, kept["token_files"]))
     assert json.dumps(sorted(str(r.doc_id) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())) == json.dumps(sorted(map(str, kept["token_files"])))
+
+
+def brute_mix(rows):
+    """copies by id, of rows (id, text, source) with distinct ids: targets by water-filling, draws by hash."""
+    size, text = collections.Counter(), {i: t or "" for i, t, _ in rows}
+    for i, t, s in rows:
+        size[s] += len(words(t))
+    order = sorted(s for s in size if s is not None) + [None] * (None in size)
+    weight, open_, total = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, {*order}, 1.5 * sum(size.values())
+    while True:
+        level = (total - sum(2 * size[s] for s in order if s not in open_)) / max(1e-9, sum(weight[s] for s in open_))
+        over = {s for s in open_ if weight[s] * level > 2 * size[s]}
+        if not over:
+            break
+        open_ -= over
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    copies = {}
+    for s in order:
+        target = weight[s] * level if s in open_ else 2 * size[s]
+        whole = math.floor(target / size[s]) if size[s] else 0
+        left, before = target - whole * size[s], 0
+        for i in sorted((i for i, _, x in rows if x == s), key=lambda i: (int(md5(f"mix-1:{i}:{md5(text[i])}")[:15], 16), i)):
+            n = len(words(text[i]))
+            copies[i] = whole + (left > 0 and before + n / 2 < left)
+            before += n
+    return copies
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """What each stage keeps of its input, and the rows of run(): copies, near copies, leaks, sources, token ids."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(41)
+    leak = prose(rng, 30, 9000)
+    made = [(i, prose(rng, rng.randrange(8, 90), 300), "en", "hot" if i % 3 else f"s{i % 4}", 1) for i in range(150)]
+    for k in range(20):
+        w = made[k][1].split()
+        w[rng.randrange(len(w))] = "changed"
+        made += [(200 + 3 * k, made[k][1].upper(), "en", "b", 1), (201 + 3 * k, " ".join(w), "en", "c", 1), (202 + 3 * k, made[k + 20][1] + " one more", "en", None, 1)]
+    made += [(300 + k, prose(rng, 20) + " " + " ".join(leak.split()[k : k + 8 + k % 4]), "en", "b", 1) for k in range(12)] + [(400, "1 2 3", "en", "b", 1), (401, None, None, None, 0)]
+    spark.createDataFrame(made, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages, docs, text, source = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{tmp_path}/documents.parquet"), {r[0]: r[1] for r in made}, {r[0]: r[3] for r in made}
+
+    def after(name, docs):
+        stages[name](spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    docs = after("language_id", docs)
+    ids = sorted(r.doc_id for r in docs.collect())
+    assert {*text} - {*ids} == {400, 401}
+    docs = after("near_dedup", docs)
+    sets = {i: brute_shingles(text[i]) for i in ids}
+    roots = brute_components(ids, lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    ids = sorted({*roots.values()})
+    assert sorted(r.doc_id for r in docs.collect()) == ids and len(ids) < 200
+    docs = after("decontaminate", docs)
+    clean = [i for i in ids if not brute_hits(text[i], [(1, leak)])[4]]
+    assert sorted(r.doc_id for r in docs.collect()) == clean and len(clean) < len(ids)
+    docs = after("mix", docs)
+    copies = brute_mix([(i, text[i], source[i]) for i in clean])
+    assert collections.Counter(r.doc_id for r in docs.collect()) == +collections.Counter(copies)
+    lib, start, want = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY)), 0, []
+    for i in clean:
+        for _ in range(copies[i]):
+            found = [*lib.encode(text[i], add_special_tokens=False).ids, 2]
+            want.append((i, start, len(found), zlib.crc32(np.array(found, "<u4").tobytes())))
+            start += len(found)
+    assert sorted(map(tuple, after("token_files", docs).collect())) == sorted(want)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(want)
