@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESULT = "array<struct<Lag:int,Mean:double,Variance:double,N:bigint,Type:string>>"
+#: Comment lines ahead of a profile; readers skip them.
 HEADER = (
-    "# l: the distance between two genomic positions",
-    "# m: the mean value of the correlation profile",
-    "# v: the variance of the correlation profile",
-    "# n: the total number of alignments used for calculation",
-    "# t: the type of result: Ks is for d_sample, and P2 is for the correlation profile",
-    "# b: the bootstrap number (all means used all alignments).",
+    "# l: lag, the bases between the two sites",
+    "# m: mean of the profile at that lag",
+    "# v: variance of it over genes",
+    "# n: genes that it is made from",
+    "# t: Ks for the diversity of the sample, P2 for the profile",
+    "# b: all, or the bootstrap's name",
 )
+#: The columns of a profile.
 CSV = "l int, m double, v double, n long, t string, b string"
 
 
@@ -74,6 +76,7 @@ def write_results(fitted: DataFrame, columns: list[str], path: str) -> None:
 def report_text(report: DataFrame, order: list[str]) -> DataFrame:
     """(param, value): a block of text per parameter; bootstrap statistics from 10 replicates on; ratio is gamma/mu."""
     g = lambda c: F.format_string("%g", F.col(c))
+    # fixed values: the labels of the report's lines
     boots = [F.concat(F.lit(f"bootstrapping {label} = "), g(c)) for label, c in (("mean", "mean"), ("standard deviation", "std"))]
     boots.append(F.concat(F.lit("bootstrapping size = "), F.col("size").cast("string")))
     boots += [F.concat(F.lit(f"bootstrapping {label} = "), g(c)) for label, c in (("median", "median"), ("lower bound (5%)", "lower"), ("upper bound (95%)", "upper"))]
@@ -88,12 +91,14 @@ def write_report(report: DataFrame, order: list[str], path: str) -> None:
     report_text(report, order).coalesce(1).sortWithinPartitions("place").select("value").write.mode("overwrite").text(path)
 
 
+#: The columns of a fit's own report.
 LMFIT = ["d_s", "theta_s", "f", "phi_s", "theta_p", "phi_p", "c", "d_theta_p", "d_theta_s", "chisq", "red-chisq"]
 
 
 def lmfit_lines(fitted: DataFrame, theta_init: float, f_init: float, phi_init: float) -> DataFrame:
     """(group, value): the eleven rows of a fit's own report as one text."""
     s = lambda c: F.col(c).cast("string")
+    # fixed values: the names of the report's rows
     pairs = [("fit_success", F.when(F.col("success"), "True").otherwise("False")), ("function_evals", s("nfev")), ("data_points", s("ndata")), ("variables", F.lit("3")), ("message", F.lit("")), ("thetaS (init)", F.lit(str(theta_init))), ("f (init)", F.lit(str(f_init))), ("phiS (init)", F.lit(str(phi_init)))]
     lines = [F.concat(F.lit(f"{k},"), v) for k, v in pairs] + [F.lit('""'), F.lit(",".join(LMFIT))]
     values = ["d_sample", "theta_s", "fbar", "phi_s", "theta_pool", "phi_pool", "c", "d_pool", "d_clonal", "chisq", "redchi"]
