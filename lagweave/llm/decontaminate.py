@@ -82,7 +82,9 @@ def build_index(rows: DataFrame, wins: DataFrame, n: int, near: float | None = 0
     first = F.greatest(F.col("pos") - (n - 1), F.lit(0))
     around = F.array_join(F.slice("w", first + 1, F.col("pos") - first + n), " ")  # no lambda: it would copy w for each place
     postings = found.select("doc_id", "tid", "term", "pos", first.alias("first"), F.when(F.col("wide"), around).alias("around"))
-    return Index(probes, close, stored(postings, "index-postings"))
+    postings = stored(postings, "index-postings")
+    forget(places, counts, by_rarity)
+    return Index(probes, close, postings)
 
 
 def search(index: Index) -> tuple[DataFrame, DataFrame | None]:
@@ -114,7 +116,8 @@ def search(index: Index) -> tuple[DataFrame, DataFrame | None]:
 def hits(rows: DataFrame, items: DataFrame, *, n: int = 10, item_id: str = "item_id", item_text: str = "text", near: float | None = 0.8) -> DataFrame:
     """(doc_id, tid, n_hit, item_ids, n_near) of the tokenised rows in which a window of the items occurs, or nearly; near None: exact ones only."""
     wins = stored(windows_of(items, item_id, item_text, n), "index-windows")
-    exact, close = search(build_index(rows, wins, n, near))
+    index = build_index(rows, wins, n, near)
+    exact, close = search(index)
     exact = stored(exact, "index-exact")
     spans = exact.groupBy("doc_id", "tid", "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
     before = Window.partitionBy("doc_id", "tid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # one document's hits
@@ -128,7 +131,10 @@ def hits(rows: DataFrame, items: DataFrame, *, n: int = 10, item_id: str = "item
     else:
         nearly = close.join(of, "win").select("doc_id", "tid", "item_id").distinct().groupBy("doc_id", "tid").agg(F.count("*").alias("n_near"))
         parts = parts.unionByName(nearly, allowMissingColumns=True)
-    return parts.groupBy("doc_id", "tid").agg(F.max("n_hit").alias("n_hit"), F.first("item_ids", ignorenulls=True).alias("item_ids"), F.max("n_near").alias("n_near"))
+    parts = parts.groupBy("doc_id", "tid").agg(F.max("n_hit").alias("n_hit"), F.first("item_ids", ignorenulls=True).alias("item_ids"), F.max("n_near").alias("n_near"))
+    found = stored(parts, "index-hits")
+    forget(wins, exact, index.probes, index.postings, *([index.close] if index.close is not None else []))
+    return found
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, n: int = 10, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
@@ -163,7 +169,7 @@ BROADCAST_KEYS = 1_000_000
 def decontaminate(docs: DataFrame, items: DataFrame, *, n: int = 10, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
     """docs without the rows in which a window of the items occurs; columns unchanged."""
     words = tokenised(docs, doc_id, text)
-    bad = stored(hits(words, items, n=n, near=None, **names).filter("n_hit > 0").select("doc_id", "tid"), "index-bad")
+    bad = hits(words, items, n=n, near=None, **names).filter("n_hit > 0").select("doc_id", "tid")
     forget(words)
     if bad.count() <= BROADCAST_KEYS:
         bad = F.broadcast(bad)
