@@ -89,3 +89,41 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)
 """
+
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Plain Lloyd rounds, unrolled: every part meets every entry of its codebook."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS (
+  SELECT x.row, x.p, c.e, CAST(sum((x.x - c.x) * (x.x - c.x)) AS BIGINT) AS dist FROM x JOIN c{r} c ON x.p = c.p AND x.j = c.j GROUP BY x.row, x.p, c.e
+), a{r} AS (
+  SELECT row, p, e, dist FROM (SELECT *, row_number() OVER (PARTITION BY row, p ORDER BY dist, e) AS nr FROM d{r}) WHERE nr = 1
+)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+  SELECT a.p, a.e, x.j, CAST(sum(x.x) AS BIGINT) AS s, count(*) AS n FROM a{r} a JOIN x ON a.row = x.row AND a.p = x.p GROUP BY a.p, a.e, x.j
+), c{r + 1} AS (
+  SELECT c.p, c.e, c.j, CASE WHEN m.n IS NULL THEN c.x ELSE CAST((m.s - ((m.s % m.n) + m.n) % m.n) // m.n AS BIGINT) END AS x
+  FROM c{r} c LEFT JOIN m{r} m ON c.p = m.p AND c.e = m.e AND c.j = m.j
+)""")
+    chain = ", ".join(steps)
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS row, vec_id, label, embedding, len(embedding) // {parts} AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), flat AS (
+  SELECT row, w, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM kept
+), x AS (
+  SELECT row, CAST(i // w AS BIGINT) AS p, CAST(i % w AS BIGINT) AS j, CAST(floor(4096 * CAST(v AS DOUBLE)) AS BIGINT) AS x FROM flat
+), c0 AS (
+  SELECT p, CAST(row - 1 AS BIGINT) AS e, j, x FROM x WHERE row <= {entries}
+), {chain}, coded AS (
+  SELECT row, string_agg('0' || substr('0123456789abcdef', CAST(e AS INTEGER) + 1, 1), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a{rounds} GROUP BY row
+), book AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, j)) AS sha FROM c{rounds})
+SELECT k.vec_id, o.code, o.error, CAST(sum(o.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, (SELECT sha FROM book) AS codebooks_sha256
+FROM coded o JOIN kept k USING (row)
+"""
+
+
+SQL["op11_vector_codes"] = vector_codes_sql()

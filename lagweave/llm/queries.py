@@ -12,10 +12,13 @@ from .exact_dedup import exact_dedup
 from .language import identify
 from .lm_score import score
 from .mixing import mix_report
+from .packing import pack
+from .runs import digest, periodic_runs, planted
 from .secrets import secrets
 from .simhash import near_report
 from .token_counts import token_counts
 from .token_files import write_and_read
+from .vector_codes import vector_codes
 from .warc import archive_and_read
 
 
@@ -59,8 +62,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(periodic_runs(planted(read_table(spark, sf_dir, "documents"))))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op2_warc": op2_warc, "op3_mix": op3_mix, "op4_secrets": op4_secrets, "op5_lm_score": op5_lm_score, "op6_exact_dedup": op6_exact_dedup, "op7_token_counts": op7_token_counts, "op8_token_files": op8_token_files, "op9_simhash": op9_simhash, "op10_decontaminate": op10_decontaminate}
+    return {"op1_language": op1_language, "op2_warc": op2_warc, "op3_mix": op3_mix, "op4_secrets": op4_secrets, "op5_lm_score": op5_lm_score, "op6_exact_dedup": op6_exact_dedup, "op7_token_counts": op7_token_counts, "op8_token_files": op8_token_files, "op9_simhash": op9_simhash, "op10_decontaminate": op10_decontaminate, "op11_vector_codes": op11_vector_codes, "op12_periodic_runs": op12_periodic_runs, "op13_packing": op13_packing}
 
 
 def oracle_sql() -> dict[str, str]:
