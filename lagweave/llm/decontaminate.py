@@ -25,11 +25,15 @@ def tokenised(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return stored(docs.select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("tid"), tokens(col(text)).alias("w")), "index-tokens")
 
 
-def small(df: DataFrame, *measured: str) -> DataFrame:
-    """df, marked for broadcast if its measured string columns hold few enough characters."""
+def fits(df: DataFrame, *measured: str) -> bool:
+    """Whether the measured string columns of df hold few enough characters for a broadcast."""
     chars = sum((F.coalesce(F.length(c), F.lit(0)) + 32 for c in measured), F.lit(0))
-    size = df.agg(F.sum(chars)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_CHARS else df
+    return (df.agg(F.sum(chars)).first()[0] or 0) <= BROADCAST_CHARS
+
+
+def small(df: DataFrame, *measured: str) -> DataFrame:
+    """df, marked for broadcast if it fits."""
+    return F.broadcast(df) if fits(df, *measured) else df
 
 
 def windows_of(items: DataFrame, item_id: str, text: str, n: int) -> DataFrame:
@@ -47,8 +51,8 @@ class Index:
     words occur, the earlier place first where a word is repeated; term2 is null in a window of one word.
     close: win, term, need: the words by which proximity matches of each window are found, and how many must be met.
     postings: doc_id, tid, term, pos, first, around: the places of these words; around holds the tokens up to n - 1
-    before and after, joined by spaces (the first of them at place `first`), where the word is a window's rarest or asked
-    for by close.
+    before and after, joined by spaces (the first of them at place `first`), where the word is a longer window's rarest
+    or asked for by close.
     """
 
     def __init__(self, probes: DataFrame, close: DataFrame | None, postings: DataFrame):
@@ -71,29 +75,59 @@ def build_index(rows: DataFrame, wins: DataFrame, n: int, near: float | None = 0
     whole = by_rarity.filter(F.element_at("p", 1)["n"] > 0)  # a window with a word that no document has can't occur
     probes = whole.select(F.xxhash64("win").alias("wid"), "win", "size", F.element_at("p", 1).alias("a"), F.when(F.size("p") > 1, F.try_element_at("p", F.lit(2))).alias("b"))
     probes = stored(probes.select("wid", "win", "size", F.col("a.off").alias("off1"), F.col("a.term").alias("term1"), F.col("b.off").alias("off2"), F.col("b.term").alias("term2")), "index-probes")
-    asked, close = probes.select(F.explode_outer(F.array(F.struct(F.col("term1").alias("term"), F.lit(True).alias("wide")), F.struct(F.col("term2").alias("term"), F.lit(False).alias("wide")))).alias("x")).select("x.*"), None
+    wide = F.col("size") > 1  # the place of a window of one word says all
+    asked, close = probes.select(F.explode_outer(F.array(F.struct(F.col("term1").alias("term"), wide.alias("wide")), F.struct(F.col("term2").alias("term"), F.lit(False).alias("wide")))).alias("x")).select("x.*"), None
     if near is not None:
         m = F.size("words")
-        close = by_rarity.select("win", F.array_distinct(F.transform("p", lambda x: x["term"])).alias("words")).withColumn("need", F.greatest(F.lit(1), F.ceil(m * near - 1e-9)).cast("int"))
-        close = stored(close.select("win", "need", F.explode(F.slice("words", F.lit(1), m - F.col("need") + 1)).alias("term")), "index-close")
-        asked = asked.union(close.select("term", F.lit(True)))
-    asked = small(asked.filter("term is not null").groupBy("term").agg(F.max("wide").alias("wide")), "term")
-    found = rows.select("doc_id", "tid", "w", F.posexplode("w").alias("pos", "term")).join(asked, "term")
-    first = F.greatest(F.col("pos") - (n - 1), F.lit(0))
-    around = F.array_join(F.slice("w", first + 1, F.col("pos") - first + n), " ")  # no lambda: it would copy w for each place
-    postings = found.select("doc_id", "tid", "term", "pos", first.alias("first"), F.when(F.col("wide"), around).alias("around"))
-    postings = stored(postings, "index-postings")
+        close = by_rarity.select("win", "size", F.array_distinct(F.transform("p", lambda x: x["term"])).alias("words")).withColumn("need", F.greatest(F.lit(1), F.ceil(m * near - 1e-9)).cast("int"))
+        close = stored(close.select("win", "size", "need", F.explode(F.slice("words", F.lit(1), m - F.col("need") + 1)).alias("term")), "index-close")
+        asked = asked.union(close.select("term", wide))
+    asked = stored(asked.filter("term is not null").groupBy("term").agg(F.max("wide").alias("wide")), "index-asked")
+    postings = stored(found_places(rows, asked, n), "index-postings")
+    forget(asked)
     forget(places, counts, by_rarity)
     return Index(probes, close, postings)
 
 
-def search(index: Index) -> tuple[DataFrame, DataFrame | None]:
+#: Words of a stretch of a document from which the words around a place are cut, where places and documents are shuffled.
+STRETCH = 512
+
+
+def found_places(rows: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """doc_id, tid, term, pos, first, around: the places of the words asked for; around is null where it isn't asked for.
+
+    While the words can be broadcast, a document's places are found, and what is around them cut, within its row. Beyond
+    that, only (doc_id, tid, pos, term) of each word is shuffled to the word; the places found then meet the stretch
+    of their document that holds all around them, so no row carries more than a stretch and no document is copied.
+    """
+    first = F.greatest(F.col("pos") - (n - 1), F.lit(0))
+    wide = F.col("wide")
+    if fits(asked, "term"):
+        found = rows.select("doc_id", "tid", "w", F.posexplode("w").alias("pos", "term")).join(F.broadcast(asked), "term")
+        around = F.array_join(F.slice("w", first + 1, F.col("pos") - first + n), " ")  # no lambda: it would copy w for each place
+        return found.select("doc_id", "tid", "term", "pos", first.alias("first"), F.when(wide, around).alias("around"))
+    found = rows.select("doc_id", "tid", F.posexplode("w").alias("pos", "term")).join(asked, "term")
+    found = stored(found.select("doc_id", "tid", "term", "pos", first.alias("first"), "wide").distinct(), "index-places-found")
+    cut = F.floor(F.col("pos") / STRETCH).cast("int")
+    begin = F.greatest(F.lit(0), F.col("cut") * STRETCH - (n - 1))
+    end = F.col("cut") * STRETCH + STRETCH + n - 1
+    parts = rows.filter(F.size("w") > 0).select("doc_id", "tid", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / STRETCH).cast("int"))).alias("cut"))
+    parts = parts.select("doc_id", "tid", "cut", begin.alias("begin"), F.slice("w", begin + 1, end - begin).alias("part"))
+    parts = parts.groupBy("doc_id", "tid", "cut").agg(F.first("begin").alias("begin"), F.first("part").alias("part"))  # repeated rows are one document
+    x, y = found.filter("wide").withColumn("cut", cut).alias("x"), parts.alias("y")
+    met = x.join(y, F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.tid") == F.col("y.tid")) & (F.col("x.cut") == F.col("y.cut")))
+    around = F.array_join(F.slice("part", F.col("first") - F.col("begin") + 1, F.col("pos") - F.col("first") + n), " ")
+    met = met.select("x.doc_id", "x.tid", "term", "pos", "first", around.alias("around"))
+    return met.union(found.filter("not wide").select("doc_id", "tid", "term", "pos", "first", F.lit(None).cast("string")))
+
+
+def search(index: Index, n: int) -> tuple[DataFrame, DataFrame | None]:
     """(exact, close): occurrences (doc_id, tid, win, start, size) and proximity matches (doc_id, tid, win).
 
     The list of a window's rarest word and that of its second rarest, each shifted by the word's offset to the start of
     the window, are intersected; the places that are in both are held against the whole phrase. A proximity match has
-    enough of the window's distinct words within n - 1 words of one of those asked for, in any order, so no n words of
-    a document that hold as many are missed.
+    enough of the window's distinct words, in any order, among some n consecutive words of the document: any n words
+    that hold as many hold one of those asked for, so the n words from each place up to it are tried.
     """
     probes = small(index.probes, "win", "term1", "term2")
     one = index.postings.join(probes.withColumnRenamed("term1", "term"), "term")
@@ -105,11 +139,14 @@ def search(index: Index) -> tuple[DataFrame, DataFrame | None]:
         same = same & F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
     both = one.filter("term2 is not null").alias("x").join(two.alias("y"), same, "left_semi").union(one.filter("term2 is null"))
     phrase = F.array_join(F.slice(F.split("around", " "), F.greatest(F.lit(1), F.col("start") - F.col("first") + 1), F.col("size")), " ")
-    exact = both.filter(phrase == F.col("win")).select("doc_id", "tid", "win", "start", "size")
+    exact = both.filter((F.col("size") == 1) | (phrase == F.col("win"))).select("doc_id", "tid", "win", "start", "size")
     close = None
     if index.close is not None:
         beside = index.postings.join(small(index.close, "win", "term"), "term")
-        close = beside.filter(F.size(F.array_intersect(F.split("around", " "), F.split("win", " "))) >= F.col("need")).select("doc_id", "tid", "win").distinct()
+        met = lambda words: F.size(F.array_intersect(words, F.split("win", " "))) >= F.col("need")
+        beside = beside.filter((F.col("size") == 1) | met(F.split("around", " ")))  # few are left to be looked at in parts
+        parts = beside.withColumn("begin", F.explode(F.sequence(F.lit(1), F.col("pos") - F.col("first") + 1)))
+        close = parts.filter((F.col("size") == 1) | met(F.slice(F.split("around", " "), F.col("begin"), F.lit(n)))).select("doc_id", "tid", "win").distinct()
     return exact.distinct(), close
 
 
@@ -117,7 +154,7 @@ def hits(rows: DataFrame, items: DataFrame, *, n: int = 10, item_id: str = "item
     """(doc_id, tid, n_hit, item_ids, n_near) of the tokenised rows in which a window of the items occurs, or nearly; near None: exact ones only."""
     wins = stored(windows_of(items, item_id, item_text, n), "index-windows")
     index = build_index(rows, wins, n, near)
-    exact, close = search(index)
+    exact, close = search(index, n)
     exact = stored(exact, "index-exact")
     spans = exact.groupBy("doc_id", "tid", "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
     before = Window.partitionBy("doc_id", "tid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # one document's hits
@@ -143,8 +180,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, n: int = 10, doc_id: str
     Words are runs of ASCII letters, digits and all other characters beyond ASCII, A-Z lower-cased. A window is n
     consecutive words of an item; a document word inside any occurrence of one is hit. Null and wordless texts have no
     words and no hits; repeated rows have the same figures each; items without words have no windows; an empty
-    benchmark hits nothing. n_near counts the items with a window whose words nearly all (four fifths of the distinct
-    ones) stand close together, exact matches included. An item without an
+    benchmark hits nothing. n_near counts the items with a window of whose distinct words four fifths or more stand
+    among some n consecutive words, in any order, exact matches included. An item without an
     id hits words but has no name to count. Hot passages make as many postings as they have occurrences, spread by document.
     """
     rows = tokenised(docs, doc_id, text)

@@ -82,7 +82,11 @@ terms AS (
   SELECT doc_id, term, list_slice(w, greatest(1, pos - 9), pos + 9) AS around FROM (SELECT DISTINCT term FROM asked) JOIN post USING (term) JOIN d USING (doc_id)
 ), near AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_near
-  FROM (SELECT DISTINCT doc_id, win FROM spot JOIN asked USING (term) WHERE len(list_intersect(list_distinct(around), string_split(win, ' '))) >= need) JOIN win USING (win)
+  FROM (
+    SELECT DISTINCT doc_id, win
+    FROM (SELECT doc_id, win, need, around, string_split(win, ' ') AS ws FROM spot JOIN asked USING (term) WHERE len(list_intersect(list_distinct(around), string_split(win, ' '))) >= need)
+    WHERE len(list_filter(range(1, 11), lambda j: len(list_intersect(list_distinct(list_slice(around, j, j + 9)), ws)) >= need)) > 0
+  ) JOIN win USING (win)
   GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,

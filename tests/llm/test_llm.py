@@ -415,7 +415,7 @@ def test_contamination_equals_searching(spark, empty):
 
 
 def test_near_passages_are_counted(spark, tmp_path):
-    """A window whose rarest word is altered, or that has a word no document has; else between what must and what may match."""
+    """A window whose rarest word is altered, or that has a word no document has; else every n words of a text with every window."""
     from lagweave.llm.queries import op10_decontaminate
 
     rng = random.Random(17)
@@ -436,18 +436,49 @@ def test_near_passages_are_counted(spark, tmp_path):
     assert {i: (got[i].n_near, got[i].contaminated) for i in range(1, 6)} == {1: (1, False), 2: (0, False), 3: (1, False), 4: (0, False), 5: (0, False)}
     assert all(got[100 + k].n_near == 1 for k in range(9))
 
-    def within(w, v, reach):
-        wins = [{*v[k : k + 10]} for k in range(max(1, len(v) - 9))]
-        return any(len({*part} & s) >= math.ceil(0.8 * len(s)) for s in wins for part in (reach(w, i) for i in range(len(w)) if reach is stretch or w[i] in s))
-
-    stretch = lambda w, i: w[i : i + 10]
-    around = lambda w, i: w[max(0, i - 9) : i + 10]
-    total = 0
+    total, spread = 0, 0
     for i, t in made[5:65]:
-        must, may = (sum(within(t.split(), v.split(), f) for _, v in items) for f in (stretch, around))
-        assert must <= got[i].n_near <= may
-        total += must
-    assert total > 20
+        must, around = (sum(within(t.split(), v.split(), reach) for _, v in items) for reach in (10, 19))
+        assert got[i].n_near == must
+        total, spread = total + must, spread + around - must
+    assert total > 20 and spread > 0
+
+
+def within(w, v, reach):
+    """Whether some `reach` consecutive words of w hold four fifths of the distinct words of a window of v."""
+    wins = [{*v[k : k + 10]} for k in range(max(1, len(v) - 9))]
+    return any(len({*w[i : i + reach]} & s) >= math.ceil(0.8 * len(s)) for s in wins for i in range(len(w)))
+
+
+def test_paths_without_a_broadcast_find_the_same(spark, monkeypatch):
+    """No table is broadcast, no shuffle carries a document's words, and documents longer than a stretch are cut right."""
+    rng = random.Random(23)
+    items = [(i, prose(rng, 14, 40)) for i in range(5)] + [(5, "w3"), (6, "w1 w1 w1"), (7, None)]
+    made = [(k, prose(rng, 150, 40) + " " + " ".join(items[k % 5][1].split()[k % 4 : k % 4 + 10]) + " " + prose(rng, 40, 40)) for k in range(12)]
+    made += [(20, None), (None, items[2][1]), (3, made[3][1]), (3, "w3 only"), (21, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in made], DOCS)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, D.contamination(docs, bench).collect()))
+    kept = sorted(map(str, D.decontaminate(docs, bench).collect()))
+    for name in ("BROADCAST_CHARS", "BROADCAST_KEYS"):
+        monkeypatch.setattr(D, name, 0)
+    monkeypatch.setattr(D, "STRETCH", 16)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(str, D.contamination(docs, bench).collect())) == want
+        assert sorted(map(str, D.decontaminate(docs, bench).collect())) == kept
+        rows = D.tokenised(docs, "doc_id", "text")
+        asked = spark.createDataFrame([("w3", True), ("w1", False)], "term string, wide boolean")
+        plans, real = [], D.stored
+        monkeypatch.setattr(D, "stored", lambda df, name: plans.append(df) or real(df, name))
+        plans.append(D.found_places(rows, asked, 10))
+        for df in plans:
+            tree = df._jdf.queryExecution().executedPlan().toString().splitlines()
+            for above, below in zip(tree, tree[1:], strict=False):
+                if "Exchange" in above:
+                    assert not re.search(r"\bw#", below), below
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 # 4 secrets
