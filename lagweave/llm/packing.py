@@ -21,6 +21,8 @@ CAPACITY, END_ID = 1024, 0
 POOL, REST = 4096, 1024
 #: Stretches in the younger of the cache's two generations.
 CACHED = 400_000
+#: Stretches that go to the library as one text.
+LINES = 512
 #: A byte-level BPE of this kind never joins text across a single space between two other characters: the space opens
 #: the next piece. White space here is at least all that the vocabulary's own pattern counts as such.
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -39,6 +41,7 @@ class Encoder:
 
             path = public_tokenizers.path(VOCABULARY)
         self.lib = Tokenizer.from_file(path)
+        self.feed = self.lib.token_to_id("\u010a")  # how the vocabulary writes a line feed
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -46,12 +49,32 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, pieces: set[str]) -> None:
+        """Bring stretches into the younger generation, from the older one or by encoding them."""
         if len(self.young) > CACHED:
             self.young, self.old = {}, self.young
         known = pieces & self.old.keys()
         self.young.update((s, self.old[s]) for s in known)
-        new = [*(pieces - known)]
-        self.young.update(zip(new, self.plain(new), strict=True))
+        new = pieces - known
+        # a full stop or comma after a letter is a piece of its own, so what stands before it is encoded once
+        stems = {s: s[:-1] for s in new if s[-1] in ".," and s[-2:-1].isalpha() and s[-2] < "\u0250"}
+        self.encode_all({s for s in (*new.difference(stems), *stems.values(), ".", ",") if s not in self.young})
+        for s, stem in stems.items():
+            self.young[s] = self.young[stem] + self.young[s[-1]]
+
+    def encode_all(self, new: set[str]) -> None:
+        """Encode stretches; those without a line feed and without white space at their ends many at a time, a line each.
+
+        A line feed between them is a piece, and a token, of its own.
+        """
+        lines = [s for s in new if s and "\n" not in s and not s[-1].isspace() and (s[0] == " " and not s[1].isspace() or not s[0].isspace())]
+        parts = [lines[at : at + LINES] for at in range(0, len(lines), LINES)]
+        for part, e in zip(parts, self.lib.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.feed).tolist(), len(ids)]
+            starts = [0, *(e + 1 for e in ends[:-1])]
+            self.young.update((s, ids[a:b].tobytes()) for s, a, b in zip(part, starts, ends, strict=True))
+        rest = [*new.difference(lines)]
+        self.young.update(zip(rest, self.plain(rest), strict=True))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
