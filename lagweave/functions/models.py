@@ -1,4 +1,4 @@
-"""Model functions of the fit, generic over Columns and NumPy arrays through a small set of operations."""
+"""Model functions of the fit, generic over Columns, NumPy arrays and arrays with slopes through a small set of operations."""
 
 from __future__ import annotations
 
@@ -6,22 +6,33 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import dual
+from .dual import Dual
+
 W, A = 2.0 / 3.0, 4.0 / 3.0
 
 
 def exp(x):
+    if isinstance(x, Dual):
+        return dual.exp(x)
     return F.exp(x) if isinstance(x, Column) else np.exp(x)
 
 
 def power(x, y):
+    if isinstance(x, Dual) or isinstance(y, Dual):
+        return dual.power(x, y)
     return F.pow(x, y) if isinstance(x, Column) or isinstance(y, Column) else np.power(x, y)
 
 
 def least(x, y):
+    if isinstance(x, Dual) or isinstance(y, Dual):
+        return dual.choose(~(x > y), x, y)
     return F.least(x, y) if isinstance(x, Column) else np.minimum(x, y)
 
 
 def where(test, x, y):
+    if isinstance(x, Dual) or isinstance(y, Dual):
+        return dual.choose(test, x, y)
     if isinstance(test, Column):
         return F.when(test, x).otherwise(y)
     return np.where(test, x, y)
@@ -50,6 +61,26 @@ def geom_r1(x, f, phi, w=W):
 R1 = {"const": const_r1, "exp": exp_r1, "geom": geom_r1, "zero": zero_r1}
 
 
+def register_r1(name: str, f) -> None:
+    """Make f(x, f, phi, w) available as r1=name in curves and fits.
+
+    It is written once with +, -, *, / and this module's exp, power, least and where, and then works on Columns, on
+    arrays and, for the fits' slopes, on arrays with slopes.
+    """
+    if name in R1 and R1[name] is not f:
+        raise ValueError(f"there is an r1 named {name} already")
+    R1[name] = f
+
+
+def r1_of(r1):
+    """The function of a name, or the function itself."""
+    if callable(r1):
+        return r1
+    if r1 not in R1:
+        raise ValueError(f"r1 is a function or one of {', '.join(R1)}")
+    return R1[r1]
+
+
 def calc_p2(theta, r1, r2, ds, a=A):
     """Probability of differing at both of two sites, given the rates r1 (one site's fragment) and r2 (shared)."""
     s = 1.0 + r1 + r2 + a * theta
@@ -63,7 +94,7 @@ def calc_p2(theta, r1, r2, ds, a=A):
 
 def model_curve(x, theta, phi, f, ds, r1="const", w=W, a=A):
     """The profile's P2 at distance x over ds."""
-    first = R1[r1](x, f, phi, w)
+    first = r1_of(r1)(x, f, phi, w)
     return calc_p2(theta, first, phi * w * f - first, ds, a) / ds
 
 

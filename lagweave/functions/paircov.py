@@ -83,3 +83,23 @@ def mate_p11_aps(alphabet: str = BASES, least: int = 0, one: str = "x_", two: st
     cells_kept = total([(F.col(c) > least).cast("long") for c in cells(alphabet, one)])
     whole = lambda p: total([F.col(c) for c in cells(alphabet, p)])
     return a[3] * b[3], whole(one) * whole(two) * cells_kept
+
+
+#: Statistics of one table by name: each takes `least` and gives (pairs that count, all pairs).
+STATISTICS = {"p11": p11, "p00": p00}
+
+
+def register_statistic(name: str, f) -> None:
+    """Make f(least=...) -> (pairs that count, all pairs), Columns over the cells of counts(), available by name to profiles."""
+    if name in STATISTICS and STATISTICS[name] is not f:
+        raise ValueError(f"there is a statistic named {name} already")
+    STATISTICS[name] = f
+
+
+def statistic_of(statistic):
+    """The function of a name, or the function itself."""
+    if callable(statistic):
+        return statistic
+    if statistic not in STATISTICS:
+        raise ValueError(f"a statistic is a function or one of {', '.join(STATISTICS)}")
+    return STATISTICS[statistic]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql.window import Window
 
 from ..functions import codons as C
 from ..functions import paircov as P
+from ..sources.scratch import stored
+from .order import zipped
 
 
 @dataclass(frozen=True)
@@ -91,12 +94,13 @@ def enough(aln: DataFrame, by: list[str], least: int) -> DataFrame:
     return aln.join(aln.groupBy(*by).agg(F.count("*").alias("n_seq")).filter(F.col("n_seq") >= least).select(*by), by)
 
 
-def gene_profile(aln: DataFrame, o: CodingOptions = CodingOptions(), *, statistic: str = "p11") -> DataFrame:
+def gene_profile(aln: DataFrame, o: CodingOptions = CodingOptions(), *, statistic: str | Callable = "p11") -> DataFrame:
     """One-clade profile of alignment(gene, seq_idx, seq): gene, lag, mean, n (pairs), type.
 
-    mean is the share of sequence pairs of one amino-acid class that differ (p11) or are alike (p00) at both codons.
+    mean is the share of sequence pairs of one amino-acid class that differ (p11) or are alike (p00) at both codons, or
+    what a statistic of the caller's own counts: its name in paircov.register_statistic, or the function.
     """
-    xy, n = {"p11": P.p11, "p00": P.p00}[statistic](least=o.min_allele_number)
+    xy, n = P.statistic_of(statistic)(least=o.min_allele_number)
     return summed(tables(enough(aln, ["gene"], o.min_sequences), o, ["gene"]), ["gene"], xy, n, 3)
 
 
@@ -130,6 +134,23 @@ def clade_profile(one: DataFrame, two: DataFrame, o: CodingOptions = CodingOptio
     return summed(both, by, xy, n, 3).drop("pos")
 
 
+def zip_blocks(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(pos, x, y): the k-th block of one alignment with the k-th of another, whatever their genes; each a struct of block and gene.
+
+    Blocks are in the order of their number; the blocks of the longer file that have no partner are left out.
+    """
+    blocks = lambda aln: aln.groupBy("block").agg(F.min_by("gene", "seq_idx").alias("gene"))
+    return zipped(blocks(one), blocks(two), [F.col("block")], [F.col("block")])
+
+
+def zipped_profile(one: DataFrame, two: DataFrame, o: CodingOptions = CodingOptions(min_sequences=1), *, statistic: str = "p11") -> DataFrame:
+    """clade_profile of blocks that are paired by their place in the two files instead of by gene and position."""
+    pairs = stored(zip_blocks(one, two), "zipped-blocks")
+    left = one.join(pairs.select(F.col("x.block").alias("block"), F.col("pos").alias("k")), "block").select("gene", F.col("k").alias("pos"), "seq_idx", "seq")
+    right = two.select("block", "seq_idx", "seq").join(pairs.select(F.col("y.block").alias("block"), F.col("x.gene").alias("gene"), F.col("pos").alias("k")), "block").select("gene", F.col("k").alias("pos"), "seq_idx", "seq")
+    return clade_profile(left, right, o, statistic=statistic, ordinal=None)
+
+
 def clade_profile_defaulted(one: DataFrame, two: DataFrame, o: CodingOptions = CodingOptions(min_sequences=1)) -> DataFrame:
     """clade_profile in the older variant: where the lag-0 mean is 0, later lags are 0 with the lag-0 count."""
     p = clade_profile(one, two, o)
@@ -138,37 +159,90 @@ def clade_profile_defaulted(one: DataFrame, two: DataFrame, o: CodingOptions = C
     return p.withColumn("z", zero).select("gene", "lag", F.when(F.col("z").isNotNull(), 0.0).otherwise(F.col("mean")).alias("mean"), F.coalesce("z", "n").alias("n"), "type")
 
 
-def genome_pairs(aln: DataFrame, o: CodingOptions = CodingOptions(), mate: DataFrame | None = None, synonymous_second: bool = True) -> DataFrame:
+#: Sequences of a block: a gene of more is dealt to several, and each pair of blocks is one key of the pairs' join.
+PAIR_BLOCK = 256
+#: Codons of a word of flags; a word also holds those of the next, so that a shift by less than a word finds them.
+WORD = 32
+
+
+def site_codes(o: CodingOptions) -> Column:
+    """array<smallint> of the codons of `seq`: the letter of the amino acid times 256 plus that of the base."""
+
+    def code(codon: Column) -> Column:
+        return (F.ascii(C.amino_acid(codon)) * 256 + F.least(F.ascii(F.substring(codon, o.base + 1, 1)), F.lit(255))).cast("smallint")
+
+    return F.transform(codon_array(o.codon_offset), code)
+
+
+def pairs_within(rows: DataFrame, block: int) -> DataFrame:
+    """(gene, x, y): every pair of a gene's rows (seq_idx, genome, sites) with x before y, each made once.
+
+    A gene's n sequences are dealt to g = ceil(n / block) blocks by a hash. A row goes to the g + 1 pairs of blocks
+    that its own is in, on the side that it has there, and the join's key is the gene and the pair of blocks: a hot
+    gene spreads over g (g + 1) / 2 keys of at most some block^2 pairs each.
+    """
+    g = rows.groupBy("gene").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("g"))
+    own = rows.join(g, "gene").select("gene", "g", F.pmod(F.xxhash64("seq_idx"), F.col("g")).cast("int").alias("block"), F.struct("seq_idx", "genome", "sites").alias("row"))
+    x = own.select("gene", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("g") - 1)).alias("j"), F.col("row").alias("x"))
+    y = own.select("gene", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("row").alias("y"))
+    return x.join(y, ["gene", "i", "j"]).filter("i < j or x.seq_idx < y.seq_idx").select("gene", "x", "y")
+
+
+def flag_words(x: Column, y: Column) -> Column:
+    """(n, syn, syndif, dif): the common codons of two site arrays, and words of flags by which codons are synonymous, differ, or both.
+
+    Word k holds the flags of codons 32 k to 32 k + 62, the first in the lowest bit.
+    """
+    n = F.least(F.size(x), F.size(y))
+    alike = lambda s, t: (F.shiftright(s.cast("int"), 8) == F.shiftright(t.cast("int"), 8)) & (F.shiftright(s.cast("int"), 8) != ord(C.UNKNOWN))
+    flag = lambda s, t: F.when(alike(s, t), 1).otherwise(0) + F.when(s.cast("int") % 256 != t.cast("int") % 256, 2).otherwise(0)
+    flags = F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), flag)
+
+    def words(f: Column) -> Column:
+        def pack(test) -> Column:
+            one = lambda k: F.aggregate(F.reverse(F.slice(f, k * WORD + 1, F.lit(2 * WORD - 1))), F.lit(0).cast("long"), lambda acc, v: F.shiftleft(acc, 1) + F.when(test(v), 1).otherwise(0))
+            return F.transform(F.sequence(F.lit(0), F.floor((F.size(f) - 1) / WORD).cast("int")), one)
+
+        return F.struct(F.size(f).alias("n"), pack(lambda v: v % 2 == 1).alias("syn"), pack(lambda v: v == 3).alias("syndif"), pack(lambda v: v >= 2).alias("dif"))
+
+    return F.when(n > 0, C.bound(flags, words))
+
+
+def common_bits(one: str, two: str | None, lag: str) -> Column:
+    """How many codons k < n - lag have the flag `one`, and `two` (any, if None) at k + lag."""
+    q, r, low = F.floor(F.col(lag) / WORD).cast("int"), (F.col(lag) % WORD).cast("int"), F.lit((1 << WORD) - 1)
+
+    def word(k: Column) -> Column:
+        ahead = F.coalesce(F.get(F.col(two), k + q), F.lit(0).cast("long")) if two else None
+        left = F.col("n") - F.col(lag) - k * WORD  # codons of this word that have one `lag` ahead
+        there = low if two else F.when(left >= WORD, low).when(left > 0, F.expr("0L") + F.pow(F.lit(2), left).cast("long") - 1).otherwise(F.lit(0).cast("long"))
+        return F.bit_count(F.get(F.col(one), k).bitwiseAND(low).bitwiseAND(F.call_function("shiftright", ahead, r) if two else there)).cast("long")
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(one) - 1), F.lit(0).cast("long"), lambda acc, k: acc + word(k))
+
+
+def genome_pairs(aln: DataFrame, o: CodingOptions = CodingOptions(), mate: DataFrame | None = None, synonymous_second: bool = True, block: int = PAIR_BLOCK) -> DataFrame:
     """Profile of every pair of sequences of a gene: pair (a_vs_b), gene, lag, mean, n, type.
 
     Counted are codons k whose amino acids agree in both sequences (and at k + lag too if synonymous_second); mean is
     the share of them that differ at k and at k + lag. With mate(gene, seq) each sequence is paired with the gene's
-    mate instead. The number of pairs is the result's own size: a pair is made from two rows of site arrays and its
-    lags are summed within the row.
+    mate instead. The number of pairs is the result's own size; a pair's lags are counted on words of flags within its row.
     """
 
     def with_sites(df: DataFrame) -> DataFrame:
-        return df.withColumn("sites", F.transform(codon_array(o.codon_offset), lambda codon: F.struct(C.amino_acid(codon).alias("aa"), F.substring(codon, o.base + 1, 1).alias("base"))))
+        return df.withColumn("sites", site_codes(o))
 
     rows = with_sites(aln).select("gene", "seq_idx", "genome", "sites")
     if mate is None:
-        x, y = rows.alias("x"), rows.alias("y")
-        both = x.join(y, (F.col("x.gene") == F.col("y.gene")) & (F.col("x.seq_idx") < F.col("y.seq_idx")))
+        both = pairs_within(rows, block)
     else:
         name = F.col("genome") if "genome" in mate.columns else F.lit("mate")
-        x = with_sites(mate.groupBy("gene").agg(F.max_by("seq", "ordinal" if "ordinal" in mate.columns else "seq").alias("seq"), F.first(name).alias("genome"))).alias("x")
-        both = x.join(rows.alias("y"), F.col("x.gene") == F.col("y.gene"))
+        one = with_sites(mate.groupBy("gene").agg(F.max_by("seq", "ordinal" if "ordinal" in mate.columns else "seq").alias("seq"), F.first(name).alias("genome")))
+        both = rows.select("gene", F.struct("genome", "sites").alias("y")).join(one.select("gene", F.struct("genome", "sites").alias("x")), "gene")
     pair = F.concat_ws("_vs_", F.least("x.genome", "y.genome"), F.greatest("x.genome", "y.genome"))
-    alike = lambda s, t: (s["aa"] == t["aa"]) & (s["aa"] != C.UNKNOWN)
-    flags = F.zip_with("x.sites", "y.sites", lambda s, t: F.struct(F.coalesce(alike(s, t), F.lit(False)).alias("syn"), F.coalesce(s["base"] != t["base"], F.lit(False)).alias("dif")))
-    flags = F.slice(flags, F.lit(1), F.least(F.size("x.sites"), F.size("y.sites")))
-    at = both.select(pair.alias("pair"), F.col("x.gene").alias("gene"), flags.alias("f")).filter(F.size("f") > 0)
-    at = at.select("pair", "gene", "f", F.explode(F.sequence(F.lit(0), F.least(F.lit(o.lags - 1), F.size("f") - 1))).alias("l"))
-    one = F.slice("f", F.lit(1), F.size("f") - F.col("l"))
-    two = F.slice("f", F.col("l") + 1, F.size("f") - F.col("l"))
-    good = lambda s, t: s["syn"] & (t["syn"] if synonymous_second else F.lit(True))
-    code = F.zip_with(one, two, lambda s, t: F.when(good(s, t), F.when(s["dif"] & t["dif"], F.lit(1_000_001)).otherwise(1_000_000)).otherwise(0).cast("long"))
-    value = F.aggregate(code, F.lit(0).cast("long"), lambda s, x: s + x)
-    sums = at.select("pair", "gene", "l", value.alias("v")).filter("v > 0")
-    n, d = F.floor(F.col("v") / 1_000_000).cast("long"), F.col("v") % 1_000_000
-    return sums.select("pair", "gene", (F.col("l") * 3).alias("lag"), (d / n).alias("mean"), n.alias("n"), F.lit("P2").alias("type"))
+    at = both.select(pair.alias("pair"), "gene", flag_words(F.col("x.sites"), F.col("y.sites")).alias("f")).filter("f is not null")
+    at = at.select("pair", "gene", "f.*", F.explode(F.sequence(F.lit(0), F.least(F.lit(o.lags - 1), F.col("f.n") - 1))).alias("l"))
+    n = common_bits("syn", "syn" if synonymous_second else None, "l")
+    d = common_bits("syndif", "syndif" if synonymous_second else "dif", "l")
+    sums = at.select("pair", "gene", "l", n.alias("n"), d.alias("d")).filter("n > 0")
+    return sums.select("pair", "gene", (F.col("l") * 3).alias("lag"), (F.col("d") / F.col("n")).alias("mean"), "n", F.lit("P2").alias("type"))

@@ -42,23 +42,60 @@ def replicates(profile: DataFrame, num_boot: int, gene: str = "gene") -> DataFra
     return each.select("gene", "b", "k", F.explode("rows").alias("r")).select("gene", "b", "k", "r.*")
 
 
-def partial_sums(weighted: DataFrame, center: float = 0.0) -> DataFrame:
-    """(b, type, lag, n, s, q) over rows (b, type, lag, mean, k): number, sum and sum of squares, each gene k times."""
-    x = F.col("mean") - center
-    return weighted.groupBy("b", "type", "lag").agg(F.sum("k").cast("long").alias("n"), F.sum(F.col("k") * x).alias("s"), F.sum(F.col("k") * x * x).alias("q"))
+STATE = ["n", "mean", "m2"]
 
 
-def of_sums(sums: DataFrame, center: float = 0.0) -> DataFrame:
-    """(b, type, lag, n, mean, variance) of partial_sums(), which may be those of several parts of the genes."""
-    sums = sums.groupBy("b", "type", "lag").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
-    m = F.col("s") / F.col("n")
-    var = F.when(F.col("n") < 2, F.lit(float("nan"))).otherwise(F.greatest(F.lit(0.0), F.col("q") / F.col("n") - m * m))
-    return sums.select("b", "type", "lag", "n", (m + center).alias("mean"), var.alias("variance"))
+def moments(df: DataFrame, by: list[str], x: str, weight: str | None = None) -> DataFrame:
+    """(by..., n, mean, m2): number, mean and sum of squared deviations of x, each row `weight` (a whole number) times.
+
+    Rows of one weight are summed up by Spark's own updating form of the variance, in which no squares of x are
+    subtracted; the states of the weights, of which there are few, are then merged. Null x don't count.
+    """
+    keys = [*by, weight] if weight else by
+    k = F.col(weight) if weight else F.lit(1)
+    rows = df.filter(F.col(x).isNotNull()).groupBy(*keys).agg(F.count(x).alias("c"), F.avg(x).alias("mean"), F.var_pop(x).alias("v"))
+    states = rows.select(*by, (k * F.col("c")).cast("long").alias("n"), "mean", (k * F.col("c") * F.col("v")).alias("m2")).filter("n > 0")
+    return merged(states, by, 1) if weight else states
+
+
+def joined_states(one: Column, two: Column) -> Column:
+    """The state of two parts taken together, from their own: what their means differ by adds to the deviations."""
+    n, gap = one["n"] + two["n"], two["mean"] - one["mean"]
+    share = F.when(n > 0, two["n"] / n).otherwise(0.0)
+    return F.struct(n.alias("n"), (one["mean"] + gap * share).alias("mean"), (one["m2"] + two["m2"] + gap * gap * share * one["n"]).alias("m2"))
+
+
+def merged(states: DataFrame, by: list[str], parts: int = 64) -> DataFrame:
+    """One state (by..., n, mean, m2) of any number of states of each group, whatever parts they were taken over.
+
+    Equal states are counted first; the others are dealt to `parts` lists a group by a hash of themselves and joined
+    pairwise within each, then the lists' states are. With one part, for few states a group, the lists are the groups.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def level(df: DataFrame, keys: list[str]) -> DataFrame:
+        lists = df.filter("n > 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*STATE))).alias("s"))
+        return lists.select(*keys, F.aggregate("s", start, joined_states).alias("t")).select(*keys, "t.*")
+
+    if parts == 1:
+        return level(states, by)
+    once = states.groupBy(*by, *STATE).agg(F.count("*").alias("times"))
+    dealt = once.select(*by, F.pmod(F.xxhash64(*STATE), F.lit(parts)).alias("part"), (F.col("n") * F.col("times")).alias("n"), "mean", (F.col("m2") * F.col("times")).alias("m2"))
+    return level(level(dealt, [*by, "part"]), by)
+
+
+def of_moments(states: DataFrame, by: list[str], corrected: bool = False) -> DataFrame:
+    """(by..., n, mean, variance) of states; the variance of fewer than two values is NaN."""
+    over = F.col("n") - 1 if corrected else F.col("n")
+    return states.select(*by, "n", "mean", F.when(F.col("n") < 2, F.lit(float("nan"))).otherwise(F.col("m2") / over).alias("variance"))
+
+
+PROFILE = ["b", "type", "lag"]
 
 
-def collect(weighted: DataFrame, center: float = 0.0) -> DataFrame:
+def collect(weighted: DataFrame) -> DataFrame:
     """(b, type, lag, n, mean, variance) over rows (b, type, lag, mean, k): each gene counts k times."""
-    return of_sums(partial_sums(weighted, center), center)
+    return of_moments(moments(weighted, PROFILE, "mean", "k"), PROFILE)
 
 
 def normalise(collected: DataFrame) -> DataFrame:

@@ -267,7 +267,7 @@ SQL["file_pairing"] = """
 SELECT 'cluster' || n_nationkey AS cluster, genome, n_nationkey % 2 = 0 AND genome = 'CORE' AS found FROM nation, (VALUES ('CORE'), ('FLEX')) g(genome)"""
 
 # what was written to files and read back is what was written
-for name, same in (("xmfa_files", "gene_profile"), ("json_files", "gene_profile"), ("sam_gff_files", "pileup"), ("vcf_files", "vcf_profile"), ("profile_files", "profile_boot")):
+for name, same in (("xmfa_files", "gene_profile"), ("json_files", "gene_profile"), ("sam_gff_files", "pileup"), ("bam_files", "pileup"), ("vcf_files", "vcf_profile"), ("profile_files", "profile_boot")):
     SQL[name] = SQL[same]
 SQL["gff_files"] = """
 SELECT p_brand AS seq_name, p_partkey % 100000 * 100 + 1 AS start, p_partkey % 100000 * 100 + 90 AS "end", CASE WHEN p_partkey % 4 = 0 THEN -1 ELSE 1 END AS strand, CAST(p_partkey AS VARCHAR) AS gene FROM part"""
@@ -280,3 +280,91 @@ SELECT "group", round(d_sample, 6) AS d_sample, round(theta_s, 6) AS theta_s, ro
 # the curves are exact, so every fit finds the parameters that they were made from
 SQL["fit_recovery"] = """SELECT CAST(s_suppkey AS VARCHAR) AS "group", TRUE AS recovered, 0.0::DOUBLE AS chisq FROM supplier"""
 SQL["fit_beats_grid"] = f"""{BOOT} SELECT b AS "group", TRUE AS beats FROM ds WHERE d > 0"""
+
+SQL["merged_moments"] = f"""{GP}
+SELECT type, CAST(lag AS BIGINT) AS lag, count(*) AS n, round(avg(mean), 9) AS mean, round(CASE WHEN count(*) > 1 THEN var_pop(mean) END, 9) AS variance,
+       round(CASE WHEN count(*) > 1 THEN var_pop(0.5::DOUBLE + mean * 1e-9::DOUBLE) END * 1e18::DOUBLE, 4) AS tiny
+FROM gp GROUP BY type, lag"""
+# a run begins where the one before is of another contig; the runs before a row number it
+SQL["contig_runs"] = """
+WITH r AS (
+  SELECT rname, row_number() OVER (ORDER BY k % 7 * 1000000000000000 + k, rname) - 1 AS pos
+  FROM (SELECT p_brand AS rname, l_orderkey * 10 + l_linenumber AS k FROM (SELECT DISTINCT l_partkey, l_orderkey, l_linenumber FROM lineitem) JOIN part ON p_partkey = l_partkey)
+), b AS (SELECT *, CASE WHEN rname IS DISTINCT FROM lag(rname) OVER (ORDER BY pos) OR pos = 0 THEN 1 ELSE 0 END AS new FROM r),
+g AS (SELECT *, sum(new) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS run FROM b)
+SELECT CAST(run AS BIGINT) AS run, rname, min(pos) AS first, max(pos) AS last, count(*) AS n FROM g GROUP BY run, rname"""
+SQL["mate_profile"] = f"""{HEAD}, {sites()},
+mpos AS (
+  SELECT a.gene, least(a.genome, b.genome) || '_vs_' || greatest(a.genome, b.genome) AS pair, b.seq_idx AS t, a.i, substr(a.codon, 3, 1) <> substr(b.codon, 3, 1) AS dif
+  FROM site a JOIN site b ON a.gene = b.gene AND a.seq_idx = 0 AND a.i = b.i AND a.aa = b.aa WHERE a.aa <> '?'
+), mates AS (
+  SELECT a.gene, a.pair, 3 * (b.i - a.i) AS lag, avg(CASE WHEN a.dif AND b.dif THEN 1.0 ELSE 0.0 END) AS mean, count(*) AS n
+  FROM mpos a JOIN mpos b ON a.gene = b.gene AND a.t = b.t AND b.i >= a.i AND b.i - a.i < {LAGS} GROUP BY a.gene, a.pair, a.t, b.i - a.i
+)
+SELECT pair, CAST(lag AS BIGINT) AS lag, count(*) AS n_pairs, CAST(sum(n) AS BIGINT) AS codons, round(avg(mean), 9) AS mean FROM mates GROUP BY pair, lag"""
+ZIP = f"""
+ones AS (SELECT gene, row_number() OVER (ORDER BY CAST(gene AS BIGINT)) - 1 AS pos FROM (SELECT DISTINCT gene FROM aln WHERE CAST(gene AS BIGINT) % 2 = 0)),
+twos AS (SELECT gene, row_number() OVER (ORDER BY CAST(gene AS BIGINT)) - 1 AS pos FROM (SELECT DISTINCT gene FROM aln)),
+zip AS (SELECT pos, o.gene AS gene_one, t.gene AS gene_two FROM ones o JOIN twos t USING (pos))
+"""
+SQL["zip_blocks"] = f"WITH {ALIGNMENT_SQL}, {ZIP} SELECT pos, gene_one, gene_two FROM zip"
+# each block's own first sequence ends its codons, and so does the other's
+SQL["zipped_profile"] = f"""{HEAD}, {ZIP}, {sites()},
+xy AS (
+  SELECT z.gene_one AS gene, p.l, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM zip z JOIN lagged p ON p.gene = z.gene_one JOIN lagged q ON q.gene = z.gene_two AND p.l = q.l AND p.i = q.i AND p.aa = q.aa
+)
+SELECT gene, CAST(3 * l AS BIGINT) AS lag, round(sum(CASE WHEN px <> qx AND py <> qy THEN 1 ELSE 0 END) / count(*), 9) AS mean, count(*) AS n, 'P2' AS type FROM xy GROUP BY gene, l""".replace("a.clade = b.clade AND ", "")
+SQL["user_statistic"] = f"{HEAD}, {sites()}, {genes('p.x <> q.x AND p.y = q.y')} {OUT}"
+
+
+def significant(x: str, digits: int = 5) -> str:
+    return f"CASE WHEN {x} = 0 THEN 0.0::DOUBLE ELSE round({x} * pow(10.0::DOUBLE, {digits - 1} - floor(log10(abs({x}))))) / pow(10.0::DOUBLE, {digits - 1} - floor(log10(abs({x})))) END"
+
+
+SQL["user_r1"] = f"""{CURVES},
+r AS (SELECT "group", theta, phi, f, ds, a, x, w * phi * x * f / (x + f) AS r1, w * phi * f - w * phi * x * f / (x + f) AS r2 FROM pts)
+SELECT "group", round(sum({P2}), 6) AS sum, round({significant("any_value(theta)")}, 9) AS theta_s, round({significant("any_value(phi)")}, 9) AS phi_s, round({significant("any_value(f)")}, 9) AS f FROM r GROUP BY "group\""""
+# the curves are exact: a fit finds what they were made from, and the other columns follow from that
+KNOWN = f"""{CURVES}, known AS (
+  SELECT *, (ds * (1 + phi * w * f + a * theta) - theta) / ((1 - a * ds) * (phi * w * f + a * theta) - a * ds) AS pool FROM cv
+)"""
+COLUMNS = {"d_sample": "ds", "theta_pool": "pool", "phi_pool": "phi * pool / theta", "ratio": "phi / theta", "fbar": "f", "c": "w * phi * f / (1 + w * phi * f + theta * a)", "d_pool": "pool / (1 + a * pool)", "d_clonal": "theta / (1 + a * theta)", "theta_s": "theta", "phi_s": "phi"}
+SQL["fit_known"] = f"""{KNOWN} SELECT "group", {", ".join(f"round({significant(f'({x})')}, 12) AS {name}" for name, x in COLUMNS.items())} FROM known"""
+SQL["compare_known"] = f"""{CURVES},
+r AS (SELECT "group", theta, phi, f, ds, a, w, x, CASE WHEN x < f THEN w * phi * x ELSE w * phi * f END AS r1 FROM pts),
+p AS (SELECT "group", ds, {P2} AS y FROM (SELECT *, w * phi * f - r1 AS r2 FROM r)),
+z AS (SELECT "group", ds, count(*) AS k, var_pop(y) AS v FROM p GROUP BY "group", ds),
+t AS (SELECT *, ds / (1 - 4.0::DOUBLE / 3 * ds) AS theta FROM z)
+SELECT "group", k AS ndata, round(k * v, 9) AS chisq, round(k * v / (k - 1), 9) AS redchi, round(k * ln(v) + 2, 6) AS aic, round(theta, 9) AS theta_s, round(theta / (1 + 4.0::DOUBLE / 3 * theta), 9) AS d_clonal, 'recombination' AS best FROM t"""
+SQL["zero_fit"] = f"""{ZERO},
+s AS (SELECT *, CASE WHEN d2 <= 0 THEN 0.0::DOUBLE WHEN d2 * 4.0::DOUBLE / 3 < 1 THEN d2 / (2 * (1 - 4.0::DOUBLE / 3 * d2)) END AS t FROM zero)
+SELECT "group", ndata, round(d_sample, 6) AS d_sample, round(t, 6) AS theta_s, round(CASE WHEN t IS NOT NULL THEN chisq + CASE WHEN d2 < 0 THEN ndata * d2 * d2 ELSE 0 END END, 6) AS chisq,
+       round(CASE WHEN t IS NOT NULL THEN redchi END, 6) AS redchi, round(t / (1 + 4.0::DOUBLE / 3 * t), 6) AS d_clonal FROM s"""
+SQL["histogram_auto"] = """
+WITH v AS (SELECT CAST(s_acctbal AS DOUBLE) AS v FROM supplier WHERE s_acctbal IS NOT NULL),
+m AS (SELECT count(*) AS n, min(v) AS low, max(v) AS high, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM v),
+k AS (SELECT *, CASE WHEN high <= low THEN 1 ELSE greatest(1, CAST(ceil((high - low) / least(greatest(2 * iqr / pow(n, 1.0::DOUBLE / 3), (high - low) / sqrt(n) / 2), (high - low) / (log2(n) + 1))) AS BIGINT)) END AS bins FROM m),
+w AS (SELECT *, CASE WHEN high > low THEN (high - low) / bins ELSE 1.0::DOUBLE END AS width FROM k),
+b AS (SELECT least(bins - 1, CAST(floor((v - low) / width) AS BIGINT)) AS bin, count(*) AS c FROM v, w GROUP BY 1)
+SELECT bin, round(low + bin * width, 6) AS low, round(low + (bin + 1) * width, 6) AS high, c AS n FROM b, w"""
+
+
+def kmeans_sql(rounds: int = 12, places: int = 50) -> str:
+    """Hash-drawn centers and Lloyd rounds, unrolled, over (gene, j, x) in whole millionths."""
+    u = lambda k: f"((CAST('0x' || substr(md5('0|{k}|' || gene), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+    steps = [f"""names AS (SELECT DISTINCT gene FROM gp),
+x AS (SELECT n.gene, j, CAST(coalesce(max(CASE WHEN g.lag = 3 * j THEN CAST(round(g.mean * 1000000) AS BIGINT) END), 0) AS BIGINT) AS x FROM names n CROSS JOIN range(0, {places}) t(j) LEFT JOIN gp g ON g.gene = n.gene AND g.lag = 3 * t.j GROUP BY n.gene, j),
+f0 AS (SELECT gene FROM names ORDER BY {u(0)}, gene LIMIT 1),
+d0 AS (SELECT a.gene, sum((a.x - b.x) * (a.x - b.x)) AS d FROM x a JOIN x b ON a.j = b.j AND b.gene = (SELECT gene FROM f0) GROUP BY a.gene),
+f1 AS (SELECT gene FROM d0 WHERE d > 0 ORDER BY ln({u(1)}) / d DESC, gene LIMIT 1),
+c0 AS (SELECT 0 AS i, j, x FROM x WHERE gene = (SELECT gene FROM f0) UNION ALL SELECT 1, j, x FROM x WHERE gene = (SELECT gene FROM f1))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""e{r} AS (SELECT gene, i, sum((x.x - c.x) * (x.x - c.x)) AS d FROM x JOIN c{r} c USING (j) GROUP BY gene, i),
+a{r} AS (SELECT gene, i FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY d, i) AS nr FROM e{r}) WHERE nr = 1)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT i, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{r} JOIN x USING (gene) GROUP BY i, j),
+c{r + 1} AS (SELECT c.i, c.j, CASE WHEN m.n IS NULL THEN c.x ELSE CAST((m.s - ((m.s % m.n) + m.n) % m.n) // m.n AS BIGINT) END AS x FROM c{r} c LEFT JOIN m{r} m ON c.i = m.i AND c.j = m.j)""")
+    return f"{GP}, {', '.join(steps)} SELECT gene, CAST(i AS BIGINT) AS cluster FROM a{rounds}"
+
+
+SQL["kmeans_profiles"] = kmeans_sql()

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import models as M
+from ..functions import paircov as P
 from ..operators import alignment as A
 from ..operators import collect as K
 from ..operators import fit as T
@@ -15,9 +16,10 @@ from ..operators import reads as R
 from ..operators import tools as U
 from ..operators import variants as V
 from ..sources import alignments as X
+from ..sources import bam as B
 from ..sources import profiles as S
 from ..sources import reads as Q
-from ..sources.scratch import new_path
+from ..sources.scratch import new_path, stored
 from . import derived as D
 from .oracles import SQL
 
@@ -25,6 +27,10 @@ CODING = A.CodingOptions(max_corr_length=15)
 CLADES = A.CodingOptions(max_corr_length=15, min_sequences=1)
 READS = R.ReadOptions(max_corr_length=60)
 BOOTS, NONCODING_LAGS, SITE_LENGTH = 20, 4, 50
+#: As many as the SQL unrolls.
+KMEANS_ROUNDS = 12
+#: Bytes of a split of the BAM files, which are smaller here than the default split.
+BAM_SPLIT = 200_000
 REGION = (1_000, 20_000)
 #: Parameters that a fit is held against: theta as a share of d_sample.
 GRID = {"theta": (0.01, 0.1, 0.3, 0.6, 0.9), "phi": (1e-5, 1e-4, 1e-3, 1e-2, 0.1), "f": (5.0, 30.0, 300.0, 3000.0, 100_000.0)}
@@ -191,8 +197,7 @@ def fit_recovery(spark: SparkSession, sf: str) -> DataFrame:
     """Curves of known parameters, fitted: relative errors per supplier."""
     p = [F.col(c) for c in ("x", "theta", "phi", "f", "ds")]
     points = model_points(spark, sf).select("group", "ds", F.col("x"), M.model_curve(*p).alias("y"))
-    data = points.groupBy("group").agg(F.first("ds").alias("d_sample"), F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"))
-    data = data.select("group", "d_sample", F.transform("p", lambda s: s["x"]).alias("x"), F.transform("p", lambda s: s["y"]).alias("y"))
+    data = as_data(points)
     got = T.fit(data).select("group", "theta_s", "phi_s", "fbar", "chisq").join(curves(spark, sf), "group")
     off = lambda a, b: F.abs(F.col(a) / F.col(b) - 1)
     return got.select("group", (F.greatest(off("theta_s", "theta"), off("phi_s", "phi"), off("fbar", "f")) < 1e-3).alias("recovered"), F.round("chisq", 12).alias("chisq"))
@@ -223,7 +228,7 @@ def histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kmeans_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    return U.cluster_profiles(gene_rows(spark, sf), corr_type="P2")
+    return U.cluster_profiles(gene_rows(spark, sf), corr_type="P2", rounds=KMEANS_ROUNDS).withColumn("cluster", F.col("cluster").cast("long"))
 
 
 def json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
@@ -248,6 +253,14 @@ def sam_gff_files(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pile.groupBy("gene", "gene_pos").agg(F.count("*").alias("depth"), F.countDistinct("codon").alias("codons")))
 
 
+def bam_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The pileup of reads that were written as BAM parts and read back, a range of blocks per task."""
+    path = new_path(spark, "bam")
+    B.write_bam(D.reads(spark, sf), path)
+    pile = R.read_piles(B.read_bam(spark, path, BAM_SPLIT), D.genes(spark, sf), READS)
+    return rounded(pile.groupBy("gene", "gene_pos").agg(F.count("*").alias("depth"), F.countDistinct("codon").alias("codons")))
+
+
 def gff_files(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "gff")
     Q.write_gff(D.genes(spark, sf), path)
@@ -283,6 +296,16 @@ def corrected_variance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(K.mean_variance(gene_rows(spark, sf), ["type", "lag"], "mean", corrected=True))
 
 
+def merged_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """Moments by type and lag, merged from those of seven parts of the genes; and the variance of means moved to 0.5 and shrunk by 1e9."""
+    by = ["type", "lag"]
+    rows = gene_rows(spark, sf).withColumn("part", F.pmod(F.crc32(F.col("gene").cast("binary")), F.lit(7)))
+    rows = stored(rows.withColumn("near", 0.5 + F.col("mean") * 1e-9), "gene-rows")
+    parts = lambda x: K.of_moments(K.merged(K.moments(rows, [*by, "part"], x).drop("part"), by), by)
+    tiny = parts("near").select(*by, F.round(F.col("variance") * 1e18, 4).alias("tiny"))
+    return rounded(parts("mean")).join(tiny, by)
+
+
 def contig_counts(spark: SparkSession, sf: str) -> DataFrame:
     return R.contig_counts(D.reads(spark, sf))
 
@@ -319,14 +342,110 @@ def file_pairing(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("cluster", "genome", F.lit(True).alias("found")).union(failed.select("cluster", "genome", F.lit(False)))
 
 
+def contig_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of reads on one contig, in an order that comes back to contigs: by the last digit of the read's number first."""
+    reads = D.reads(spark, sf).select("rname", (F.col("ordinal") % 7 * 10**15 + F.col("ordinal")).alias("ordinal"))
+    return R.contig_runs(reads)
+
+
+def mate_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sequence against its gene's mate, the gene's first sequence, written as FASTA and read back."""
+    aln, path = D.alignment(spark, sf), new_path(spark, "fasta")
+    X.write_fasta(aln.filter("seq_idx = 0"), path)
+    rows = A.genome_pairs(aln, CODING, X.mates(X.read_fasta(spark, path)))
+    return rounded(rows.groupBy("pair", "lag").agg(F.count("*").alias("n_pairs"), F.sum("n").alias("codons"), F.avg("mean").alias("mean")))
+
+
+def blocks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Two files' blocks, numbered by gene: genes of even number in one, all genes in the other."""
+    aln = D.alignment(spark, sf).withColumn("block", F.col("gene").cast("long"))
+    return aln.filter("block % 2 = 0"), aln
+
+
+def zip_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return A.zip_blocks(*blocks(spark, sf)).select("pos", F.col("x.gene").alias("gene_one"), F.col("y.gene").alias("gene_two"))
+
+
+def zipped_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(A.zipped_profile(*blocks(spark, sf), CLADES))
+
+
+def mixed_pairs(least: int = 0) -> tuple[Column, Column]:
+    """A statistic of a caller's own: pairs that differ at the first site and are alike at the second."""
+    flat, _, columns, t = P.sums(P.kept(P.BASES, least, "n_"))
+    return ((P.total([P.square(c) for c in columns]) - P.total([P.square(c) for c in flat])) / 2).cast("long"), (t * (t - 1) / 2).cast("long")
+
+
+def user_statistic(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(A.gene_profile(D.alignment(spark, sf), CODING, statistic=mixed_pairs))
+
+
+def saturating_r1(x, f, phi, w=M.W):
+    """A rate of a caller's own: it rises with the distance towards that of a whole fragment."""
+    return x * f / (x + f) * (w * phi)
+
+
+def user_r1(spark: SparkSession, sf: str) -> DataFrame:
+    """Curves of a caller's own rate, and whether fits with it find the parameters that they were made from."""
+    M.register_r1("saturating", saturating_r1)
+    p = [F.col(c) for c in ("x", "theta", "phi", "f", "ds")]
+    points = model_points(spark, sf).withColumn("y", M.model_curve(*p, r1="saturating"))
+    got = T.fit(as_data(points), T.FitOptions(r1="saturating")).select("group", F.round(significant("theta_s"), 9).alias("theta_s"), F.round(significant("phi_s"), 9).alias("phi_s"), F.round(significant("fbar"), 9).alias("f"))
+    return points.groupBy("group").agg(F.round(F.sum("y"), 6).alias("sum")).join(got, "group")
+
+
+def as_data(points: DataFrame) -> DataFrame:
+    """fit_data of points (group, ds, x, y)."""
+    data = points.groupBy("group").agg(F.first("ds").alias("d_sample"), F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"))
+    return data.select("group", "d_sample", F.transform("p", lambda s: s["x"]).alias("x"), F.transform("p", lambda s: s["y"]).alias("y"))
+
+
+def significant(name: str, digits: int = 5) -> Column:
+    """A number to so many significant digits."""
+    scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(F.col(name)))))
+    return F.when(F.col(name) == 0, 0.0).otherwise(F.round(F.col(name) * scale) / scale)
+
+
+def known_fits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    p = [F.col(c) for c in ("x", "theta", "phi", "f", "ds")]
+    data = stored(as_data(model_points(spark, sf).withColumn("y", M.model_curve(*p))), "known-data")
+    return data, T.fit(data)
+
+
+def fit_known(spark: SparkSession, sf: str) -> DataFrame:
+    """The reported columns of fits to curves of known parameters, to five significant digits."""
+    got = T.fit_results(known_fits(spark, sf)[1])
+    return got.select("group", *[F.round(significant(c), 12).alias(c) for c in got.columns[1:]])
+
+
+def compare_known(spark: SparkSession, sf: str) -> DataFrame:
+    """Both models of curves of known parameters: what the model without recombination leaves, and which has the lower AIC."""
+    both = T.compare(*known_fits(spark, sf))
+    best = both.groupBy("group").agg(F.min_by("model", "aic").alias("best"))
+    zero = both.filter("model = 'zero'").select("group", "ndata", F.round("chisq", 9).alias("chisq"), F.round("redchi", 9).alias("redchi"), F.round("aic", 6).alias("aic"), F.round("theta_s", 9).alias("theta_s"), F.round("d_clonal", 9).alias("d_clonal"))
+    return zero.join(best, "group")
+
+
+def zero_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """The model without recombination, solved step by step."""
+    z = T.fit_zero(T.fit_data(K.profile(gene_rows(spark, sf), BOOTS)))
+    return z.select("group", "ndata", *[F.round(c, 6).alias(c) for c in ("d_sample", "theta_s", "chisq", "redchi", "d_clonal")])
+
+
+def histogram_auto(spark: SparkSession, sf: str) -> DataFrame:
+    """The suppliers' account balances as if they were bootstraps' values, in bins whose number follows from the data."""
+    rows = D.table(spark, sf, "supplier").select(F.lit("boot").alias("group"), F.col("s_acctbal").cast("double").alias("v"))
+    return rounded(T.histogram(rows, "v", "auto"), 6)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         gene_profile, p00_profile, first_base_profile, noncoding_profile, profile_all, profile_boot, gene_mean_variance, clade_profile, clade_p00, clade_aps,
         pair_profile, pair_collect, genome_distances, distance_matrix, read_gene_join, pileup, read_p2, read_p4, q_factors, read_profile_scaled, vcf_profile,
         fit_data, zero_model, model_curve, derived_params, coalescent_curve, fit_recovery, fit_params, fit_compare, fit_report_stats, histogram,
-        kmeans_profiles, json_roundtrip, pair_statistics, file_pairing, xmfa_files, sam_gff_files, gff_files, vcf_files, vcf_region, json_files, profile_files,
-        corrected_variance, contig_counts, zero_fit_files, fit_beats_grid,
+        kmeans_profiles, json_roundtrip, pair_statistics, file_pairing, xmfa_files, sam_gff_files, bam_files, gff_files, vcf_files, vcf_region, json_files, profile_files,
+        corrected_variance, merged_moments, contig_counts, zero_fit_files, fit_beats_grid, contig_runs, mate_profile, zip_blocks, zipped_profile, user_statistic, user_r1, fit_known, compare_known, zero_fit, histogram_auto,
     )
 }
 

@@ -49,3 +49,9 @@ def write_xmfa(aln: DataFrame, path: str) -> None:
     head = F.concat_ws(" ", "gene", F.coalesce("pos", F.lit("0")), F.coalesce("genome", F.lit("?")))
     rows = aln.groupBy("gene", "pos").agg(F.array_sort(F.collect_list(F.struct("seq_idx", F.concat(F.lit(">"), head, F.lit("\n"), F.col("seq")).alias("t")))).alias("s"))
     rows.select(F.concat(F.array_join(F.transform("s", lambda x: x["t"]), "\n"), F.lit("\n=")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_fasta(rows: DataFrame, path: str) -> None:
+    """rows(gene, pos, genome, seq) as FASTA text; header words are gene, position and genome."""
+    head = F.concat_ws(" ", "gene", F.coalesce("pos", F.lit("0")), F.coalesce("genome", F.lit("?")))
+    rows.select(F.concat(F.lit(">"), head, F.lit("\n"), F.col("seq")).alias("value")).write.mode("overwrite").text(path)

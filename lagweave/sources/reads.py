@@ -1,18 +1,11 @@
-"""Readers of mapped reads and gene annotations: SAM, BAM, GFF3; and of variant calls: VCF."""
+"""Readers of mapped reads and gene annotations: SAM, GFF3; and of variant calls: VCF. BAM has its own module."""
 
 from __future__ import annotations
 
-import struct
-import zlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-READ = "qname string, flag int, rname string, pos int, mapq int, cigar string, seq string, qual array<int>, ordinal long"
-#: Fixed values of the BAM format: 4-bit letters of bases and of CIGAR operations.
-BAM_BASES, BAM_OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+from .bam import read_bam
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -24,96 +17,6 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return f.select(*cells, qual.alias("qual"), "ordinal")
 
 
-def inflate(content: bytes) -> Iterator[bytes]:
-    """The blocks of a BGZF file, one at a time, each by the size that its header states; plain gzip members as they end."""
-    whole, at = memoryview(content), 0
-    while at < len(whole):
-        size = block_size(whole[at:])
-        d = zlib.decompressobj(31)
-        data = d.decompress(whole[at : at + size] if size else whole[at:])
-        used = size or len(whole) - at - len(d.unused_data)
-        if not used:
-            break
-        at += used
-        yield data
-
-
-def block_size(head: memoryview) -> int:
-    """The size of a BGZF block by the subfield BC of its header; 0 for a gzip member without one."""
-    if len(head) < 18 or not head[3] & 4:
-        return 0
-    at, end = 12, 12 + int.from_bytes(head[10:12], "little")
-    while at + 4 <= end:
-        n = int.from_bytes(head[at + 2 : at + 4], "little")
-        if head[at : at + 2] == b"BC" and n == 2:
-            return int.from_bytes(head[at + 4 : at + 6], "little") + 1
-        at += 4 + n
-    return 0
-
-
-class Bytes:
-    """Reads exact lengths from a stream of chunks."""
-
-    def __init__(self, chunks: Iterator[bytes]):
-        self.chunks, self.held, self.at = chunks, b"", 0
-
-    def take(self, n: int) -> bytes:
-        while len(self.held) - self.at < n:
-            more = next(self.chunks, None)
-            if more is None:
-                return b""
-            self.held, self.at = self.held[self.at :] + more, 0
-        self.at += n
-        return self.held[self.at - n : self.at]
-
-
-def bam_records(content: bytes) -> Iterator[tuple]:
-    """The alignments of one BAM file, in order."""
-    data = Bytes(inflate(content))
-    if data.take(4) != b"BAM\x01":
-        raise ValueError("not a BAM file")
-    data.take(struct.unpack("<i", data.take(4))[0])
-    names = []
-    for _ in range(struct.unpack("<i", data.take(4))[0]):
-        size = struct.unpack("<i", data.take(4))[0]
-        names.append(data.take(size)[:-1].decode())
-        data.take(4)
-    ordinal = 0
-    while head := data.take(4):
-        body = data.take(struct.unpack("<i", head)[0])
-        ref, pos, lname, mapq, _, ncigar, flag, lseq = struct.unpack_from("<iiBBHHHi", body)
-        at = 32
-        name = body[at : at + lname - 1].decode()
-        at += lname
-        ops = struct.unpack_from(f"<{ncigar}I", body, at)
-        at += 4 * ncigar
-        packed = body[at : at + (lseq + 1) // 2]
-        at += (lseq + 1) // 2
-        seq = "".join(BAM_BASES[b >> 4] + BAM_BASES[b & 15] for b in packed)[:lseq]
-        cigar = "".join(f"{o >> 4}{BAM_OPS[o & 15]}" for o in ops) or "*"
-        qual = body[at : at + lseq]
-        yield name, flag, names[ref] if ref >= 0 else "*", pos, mapq, cigar, seq, [] if qual[:1] == b"\xff" else list(qual), ordinal
-        ordinal += 1
-
-
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """read_sam's columns from BAM files; a file is decoded by one task, a few thousand reads at a time."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split(" ")[0] for c in READ.split(", ")]
-        for files in batches:
-            for content in files["content"]:
-                rows = []
-                for r in bam_records(content):
-                    rows.append(r)
-                    if len(rows) == 4096:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-                yield pd.DataFrame(rows, columns=names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, READ)
-
-
 def read_reads(spark: SparkSession, path: str) -> DataFrame:
     """BAM if the name ends in bam, otherwise SAM."""
     return read_bam(spark, path) if path.endswith("bam") else read_sam(spark, path)

@@ -3,13 +3,15 @@ import math
 import struct
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lagweave.operators.alignment import CodingOptions, gene_profile
 from lagweave.sources import alignments as X
+from lagweave.sources import bam as B
 from lagweave.sources import profiles as S
 from lagweave.sources import reads as R
-from lagweave.streaming.collector import read_record_stream, run_collector
+from lagweave.streaming.collector import read_profile_now, read_record_stream, run_collector
 
 XMFA = """>g1 1 a
 ATG
@@ -59,7 +61,7 @@ def bam() -> bytes:
     names = b"".join(struct.pack("<i", len(n) + 1) + n + b"\0" + struct.pack("<i", 100) for n in (b"c1", b"c2"))
     out = b"BAM\x01" + struct.pack("<i", 3) + b"@HD" + struct.pack("<i", 2) + names
     for name, ref, pos, mapq, cigar, seq, qual in ((b"r1", 0, 4, 60, [(2, 4), (3, 0)], "ACGTA", bytes([40, 40, 40, 0, 40])), (b"r2", 1, 0, 7, [], "NN", b"\xff\xff")):
-        codes = [R.BAM_BASES.index(c) for c in seq] + [0] * (len(seq) % 2)
+        codes = [B.BAM_BASES.index(c) for c in seq] + [0] * (len(seq) % 2)
         body = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, mapq, 0, len(cigar), 0, len(seq), -1, -1, 0) + name + b"\0"
         body += b"".join(struct.pack("<I", n << 4 | op) for n, op in cigar) + bytes(codes[i] << 4 | codes[i + 1] for i in range(0, len(codes), 2)) + qual
         out += struct.pack("<i", len(body)) + body
@@ -87,12 +89,14 @@ def bgzf(data, size):
 
 def test_bam_blocks_are_read_by_their_size():
     whole = gzip.decompress(bam())
+    inflated = lambda blocks: b"".join(d for _, d in B.blocks(pa.BufferReader(blocks), len(blocks)))
+    records = lambda blocks: [body for _, body, _ in B.records(pa.BufferReader(blocks), len(blocks), 0, len(blocks))]
     for size in (1, 7, 60_000):
         blocks = bgzf(whole, size)
-        assert R.block_size(memoryview(blocks)) == len(bgzf(whole[:size], size)) - len(bgzf(b"", size))
-        assert b"".join(R.inflate(blocks)) == whole and [*R.bam_records(blocks)] == [*R.bam_records(bam())]
+        assert B.block_size(memoryview(blocks)) == len(bgzf(whole[:size], size)) - len(bgzf(b"", size))
+        assert inflated(blocks) == whole and records(blocks) == records(bam())
     large = bytes(range(256)) * 40_000
-    assert b"".join(R.inflate(bgzf(large, 60_000))) == large
+    assert inflated(bgzf(large, 60_000)) == large
 
 
 def test_written_reads_genes_and_sites_are_read_back(spark, tmp_path):
@@ -126,7 +130,7 @@ def test_records_round_trip_and_streaming_profile(spark, tmp_path):
     assert sorted(map(tuple, back.select("gene", "lag", "mean", "n", "type").collect())) == sorted(map(tuple, rows(spark).collect()))
     q = run_collector(read_record_stream(spark, str(tmp_path / "j")), str(tmp_path / "o"), str(tmp_path / "c"))
     q.awaitTermination(120)
-    got = {(r.t, r.l): r.m for r in spark.read.parquet(str(tmp_path / "o/profile")).collect()}
+    got = {(r.t, r.l): r.m for r in read_profile_now(spark, str(tmp_path / "o")).collect()}
     assert math.isclose(got["Ks", 0], 0.3) and math.isclose(got["P2", 3], 0.25 / 0.3)
 
 
