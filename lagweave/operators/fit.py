@@ -56,11 +56,23 @@ def gene_fit_data(gene_rows: DataFrame, o: FitOptions = FitOptions()) -> DataFra
 
 
 def bounded(u: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return low + (np.sin(u) + 1) * (high - low) / 2
+    """Parameters between their bounds; near a bound u is the logarithm of the distance to it, so that a rate and a size
+    of which only the product is well known lie on a straight line."""
+    return low + (high - low) * (np.tanh(u / 2) + 1) / 2
 
 
 def unbounded(p: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return np.arcsin(np.clip(2 * (p - low) / (high - low) - 1, -1 + 1e-12, 1 - 1e-12))
+    share = np.clip((p - low) / (high - low), 1e-12, 1 - 1e-12)
+    return np.log(share) - np.log1p(-share)
+
+
+def bounded_slope(p: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How bounded() changes with u, where it is p."""
+    return (p - low) * (high - p) / (high - low)
+
+
+#: A step that lowers the cost by no more than this share of it ends a search.
+TOLERANCE = 1e-8
 
 
 def trusted_step(normal: np.ndarray, slope: np.ndarray, radius: np.ndarray) -> np.ndarray:
@@ -88,15 +100,15 @@ def trust_region(model: Callable, x: np.ndarray, y: np.ndarray, there: np.ndarra
 
     x, y and there (1 for a point, 0 for padding) are (B, n), start, low and high (B, P). model(x, parameters, rows)
     takes the parameters as arrays with slopes and so gives the exact Jacobian with each evaluation. Steps are taken in
-    sine-mapped parameters within a radius that grows and shrinks with how well the quadratic model foretold the cost.
+    unbounded parameters within a radius that grows and shrinks with how well the quadratic model foretold the cost.
     owner tells which problems are searches of one fit: their evaluations together stay within max_nfev, beyond which
     none of them counts as a success.
     """
     n_params = start.shape[1]
 
     def evaluated(u: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        span = (high[rows] - low[rows]) / 2
-        p, by_u = bounded(u, low[rows], high[rows]), np.cos(u) * span
+        p = bounded(u, low[rows], high[rows])
+        by_u = bounded_slope(p, low[rows], high[rows])
         zero, one = np.zeros((len(rows), 1)), np.ones((len(rows), 1))
         params = [Dual(p[:, k : k + 1], [one if j == k else zero for j in range(n_params)]) for k in range(n_params)]
         with np.errstate(all="ignore"):
@@ -127,7 +139,8 @@ def trust_region(model: Callable, x: np.ndarray, y: np.ndarray, there: np.ndarra
             ratio = np.where(foretold > 0, (old - new) / foretold, 0.0)
         edge = size > 0.9 * radius[active]
         radius[active] = np.where(~better | (ratio < 0.25), size / 4, np.where((ratio > 0.75) & edge, np.minimum(2 * radius[active], 3.0), radius[active]))
-        ended = (foretold <= 1e-15 * old) | (better & (old - new <= 1e-14 * old)) | (radius[active] < 1e-13) | (new == 0)
+        little = (foretold <= TOLERANCE * old) & ~edge | better & (old - new <= TOLERANCE * old) & (ratio > 0.25)
+        ended = little | (radius[active] < 1e-13) | (new == 0)
         moved = active[better]
         u[moved], cost[moved], r[moved], jac[moved] = u[moved] + step[better], new[better], trial[better], slopes[better]
         done[active[ended]] = True
@@ -137,7 +150,7 @@ def trust_region(model: Callable, x: np.ndarray, y: np.ndarray, there: np.ndarra
 
 
 def simplex(residual: Callable, start: np.ndarray, low: np.ndarray, high: np.ndarray, max_nfev: int) -> tuple[np.ndarray, float, int, bool]:
-    """Bounded least squares by the downhill simplex on sine-mapped parameters, begun anew where it has shrunk."""
+    """Bounded least squares by the downhill simplex on unbounded parameters, begun anew where it has shrunk."""
     nfev = 0
 
     def cost(u: np.ndarray) -> float:
