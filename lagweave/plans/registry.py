@@ -27,6 +27,8 @@ CODING = A.CodingOptions(max_corr_length=15)
 CLADES = A.CodingOptions(max_corr_length=15, min_sequences=1)
 READS = R.ReadOptions(max_corr_length=60)
 BOOTS, NONCODING_LAGS, SITE_LENGTH = 20, 4, 50
+#: The cells of a fit report that follow from the curve's parameters.
+LMFIT_CELLS = ["ds", "thetaS", "f", "phiS", "thetaP", "phiP", "c", "dp", "dc"]
 #: As many as the SQL unrolls.
 KMEANS_ROUNDS = 12
 #: Bytes of a split of the BAM files, which are smaller here than the default split.
@@ -438,6 +440,70 @@ def histogram_auto(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(T.histogram(rows, "v", "auto"), 6)
 
 
+def xmfa_clade_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The profile between two clades whose alignments were written as XMFA and read back, blocks of one sequence included."""
+    paths = [new_path(spark, "xmfa") for _ in range(2)]
+    for aln, path in zip(clades(spark, sf), paths, strict=True):
+        X.write_xmfa(aln, path)
+    return rounded(A.clade_profile(*[X.read_xmfa(spark, path, 1) for path in paths], CLADES))
+
+
+def block_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The blocks of an alignment file by the lines that end them."""
+    path = new_path(spark, "xmfa")
+    X.write_xmfa(D.alignment(spark, sf), path)
+    return X.read_block_ends(spark, path).agg(F.count("*").alias("blocks"))
+
+
+def clade_defaulted(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(A.clade_profile_defaulted(*clades(spark, sf), CLADES))
+
+
+def gene_fit_data(spark: SparkSession, sf: str) -> DataFrame:
+    data = T.gene_fit_data(gene_rows(spark, sf), T.FitOptions(fit_start=3, fit_end=9))
+    return rounded(data.select("group", "d_sample", F.posexplode(F.arrays_zip("x", "y")).alias("place", "p")).select("group", "d_sample", "place", "p.x", "p.y"))
+
+
+def pair_program(spark: SparkSession, sf: str) -> DataFrame:
+    """What the pair program writes for an alignment file."""
+    from . import apps
+
+    path, out = new_path(spark, "xmfa"), new_path(spark, "pairs")
+    X.write_xmfa(D.alignment(spark, sf), path)
+    apps.pair(spark, path, out, max_corr_length=CODING.max_corr_length)
+    return rounded(S.read_profile(spark, out))
+
+
+def vcf_program(spark: SparkSession, sf: str) -> DataFrame:
+    """What the variant program writes for a file of genotypes."""
+    from . import apps
+
+    path, out = new_path(spark, "vcf"), new_path(spark, "sites")
+    Q.write_vcf(D.sites(spark, sf), path)
+    apps.vcf(spark, path, out, max_corr_length=SITE_LENGTH)
+    return rounded(S.read_profile(spark, out))
+
+
+def bam_program(spark: SparkSession, sf: str) -> DataFrame:
+    """What the read program writes for BAM files and a GFF3 file: P4 scaled to P2."""
+    from . import apps
+
+    path, gff, out = f"{new_path(spark, 'reads')}.bam", new_path(spark, "gff"), new_path(spark, "reads-profile")
+    B.write_bam(D.reads(spark, sf), path)
+    Q.write_gff(D.genes(spark, sf), gff)
+    apps.bam(spark, gff, path, out, 5, READS)
+    return rounded(S.read_profile(spark, f"{out}.csv"))
+
+
+def lmfit_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit reports of curves of known parameters, a file each, written and read back."""
+    path = new_path(spark, "lmfit")
+    lines = S.lmfit_lines(known_fits(spark, sf)[1], 1e-5, 1000.0, 5e-5)
+    lines.repartition("group").write.partitionBy("group").text(path)
+    got = S.read_lmfit(spark, f"{path}/*").select(F.regexp_extract("path", "group=([^/]+)/", 1).alias("group"), "fit_success", F.col("datapoints").cast("long").alias("datapoints"), *[F.col(c).cast("double").alias(c) for c in LMFIT_CELLS])
+    return got.select("group", "fit_success", "datapoints", *[F.round(significant(c), 12).alias(c) for c in LMFIT_CELLS])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -446,6 +512,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fit_data, zero_model, model_curve, derived_params, coalescent_curve, fit_recovery, fit_params, fit_compare, fit_report_stats, histogram,
         kmeans_profiles, json_roundtrip, pair_statistics, file_pairing, xmfa_files, sam_gff_files, bam_files, gff_files, vcf_files, vcf_region, json_files, profile_files,
         corrected_variance, merged_moments, contig_counts, zero_fit_files, fit_beats_grid, contig_runs, mate_profile, zip_blocks, zipped_profile, user_statistic, user_r1, fit_known, compare_known, zero_fit, histogram_auto,
+        xmfa_clade_files, block_counts, clade_defaulted, gene_fit_data, pair_program, vcf_program, bam_program, lmfit_files,
     )
 }
 

@@ -26,9 +26,13 @@ def read_xmfa(spark: SparkSession, path: str, min_sequences: int = 2) -> DataFra
     return out.select("block", word("f", 1).alias("gene"), word("f", 2).alias("pos"), word("w", 3).alias("genome"), "seq_idx", "seq_id", "seq")
 
 
+def read_block_ends(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that end a block."""
+    return spark.read.text(path).filter(F.col("value").startswith("="))
+
+
 def count_blocks(spark: SparkSession, path: str) -> int:
-    """Lines that end a block."""
-    return spark.read.text(path).filter(F.col("value").startswith("=")).count()
+    return read_block_ends(spark, path).count()
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:

@@ -18,7 +18,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reads(spark: SparkSession, path: str) -> DataFrame:
-    """BAM if the name ends in bam, otherwise SAM."""
+    """BAM if the name, or that of a folder, ends in bam, otherwise SAM."""
     return read_bam(spark, path) if path.endswith("bam") else read_sam(spark, path)
 
 

@@ -14,10 +14,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a local master gets a folder of its own, which goes at the end."""
+    """spark.checkpoint.dir as a full path; where it is unset, a local master gets a folder of its own, which goes at the end.
+
+    A folder named without a scheme is on Spark's default file system, and the path says so to whoever opens it otherwise.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
-        return found.rstrip("/")
+        return (found if "://" in found else qualified(spark, found)).rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not os.path.isdir(_OWN.get("dir", "")):
@@ -26,6 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN['dir']}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme of the file system that Spark finds it on."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

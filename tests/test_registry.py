@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from lagweave.plans import registry
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["gene_profile", "profile_boot", "clade_aps", "vcf_profile", "derived_params", "file_pairing", "read_gene_join"]
+QUICK = ["gene_profile", "profile_boot", "clade_aps", "vcf_profile", "derived_params", "file_pairing", "read_gene_join", "merged_moments", "zip_blocks", "histogram_auto", "fit_known", "lmfit_files", "gene_fit_data"]
 
 
 @pytest.fixture(scope="module")

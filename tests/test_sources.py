@@ -6,6 +6,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lagweave.operators import fit as T
 from lagweave.operators.alignment import CodingOptions, gene_profile
 from lagweave.sources import alignments as X
 from lagweave.sources import bam as B
@@ -175,6 +176,19 @@ def test_programs_from_files_to_fits(spark, tmp_path):
     profile = [(0, 0.02, 0.0, 9, "Ks", "all")] + [(l, 0.4 + 0.3 / l, 0.0, 9, "P2", "all") for l in range(3, 100, 3)]
     S.write_profile(spark.createDataFrame(profile, S.CSV), str(tmp_path / "h"))
     apps.fit_compare(spark, str(tmp_path / "h"), str(tmp_path / "h"))
+    apps.main(["fit-one", str(tmp_path / "h"), str(tmp_path / "one"), "--method", "nelder", "--starts", "2"])
+    one = spark.read.option("header", True).csv(f"{tmp_path}/one_fit_results.csv").collect()
+    assert [r.group for r in one] == ["all"] and float(one[0].theta_s) >= 0
+    apps.lmfit_report(spark, str(tmp_path / "h"), str(tmp_path / "two"), T.FitOptions(phi_max=0.01, theta_init=1e-4))
+    report = S.read_lmfit(spark, f"{tmp_path}/two_lmfit_report.csv").first()
+    assert report.fit_success == "True" and 0 <= float(report.phiS) <= 0.01
     for model in ("recombination", "zero"):
         left = spark.read.option("header", True).schema("x double, residual double").csv(f"{tmp_path}/h_{model}_residuals.csv").collect()
         assert sorted(r.x for r in left) == [*map(float, range(3, 100, 3))] and all(math.isfinite(r.residual) for r in left)
+
+
+def test_folders_without_a_scheme_are_on_the_default_file_system(spark):
+    from lagweave.sources.scratch import qualified, shared_dir
+
+    assert qualified(spark, "/a/b") == "file:///a/b" and qualified(spark, "file:///a/b") == "file:///a/b"
+    assert shared_dir(spark).startswith("file:///")
