@@ -20,7 +20,9 @@ CAPACITY, END_ID = 1024, 0
 #: Remainders that a task holds before it fills windows, and how many it then leaves to be matched with later ones.
 POOL, REST = 4096, 1024
 #: Stretches in the younger of the cache's two generations.
-CACHED = 400_000
+CACHED = 600_000
+#: Texts are encoded together up to so many, of about so many characters.
+GROUP, GROUP_CHARS = 256, 1_000_000
 #: Stretches that go to the library as one text.
 LINES = 512
 #: A byte-level BPE of this kind never joins text across a single space between two other characters: the space opens
@@ -28,6 +30,10 @@ LINES = 512
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+#: White space beyond the space and the line feed.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+
+
 class Encoder:
     """The tokenizers library behind a cache of stretches between single spaces, for VOCABULARY; other files' texts go whole."""
 
@@ -48,45 +54,76 @@ class Encoder:
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, keys: set[str]) -> None:
         """Bring stretches into the younger generation, from the older one or by encoding them."""
         if len(self.young) > CACHED:
             self.young, self.old = {}, self.young
-        known = pieces & self.old.keys()
+        known = keys & self.old.keys()
         self.young.update((s, self.old[s]) for s in known)
-        new = pieces - known
+        new = keys - known
         # a full stop or comma after a letter is a piece of its own, so what stands before it is encoded once
         stems = {s: s[:-1] for s in new if s[-1] in ".," and s[-2:-1].isalpha() and s[-2] < "\u0250"}
-        self.encode_all({s for s in (*new.difference(stems), *stems.values(), ".", ",") if s not in self.young})
+        self.encode_all({s for s in (*new.difference(stems), *stems.values(), "\n.", "\n,") if s not in self.young})
         for s, stem in stems.items():
-            self.young[s] = self.young[stem] + self.young[s[-1]]
-
-    def encode_all(self, new: set[str]) -> None:
-        """Encode stretches; those without a line feed and without white space at their ends many at a time, a line each.
+            self.young[s] = self.young[stem] + self.young["\n" + s[-1]][4:]
 
-        A line feed between them is a piece, and a token, of its own.
-        """
-        lines = [s for s in new if s and "\n" not in s and not s[-1].isspace() and (s[0] == " " and not s[1].isspace() or not s[0].isspace())]
+    def encode_all(self, keys: set[str]) -> None:
+        """Encode stretches; those without white space inside or at the end many at a time, a line each."""
+        feed = np.array([self.feed], "<u4").tobytes()
+        asked = [(k, k[1:] if k[0] == "\n" else f" {k}") for k in keys]
+        lines = [x for x in asked if "\n" not in x[1] and not x[1][-1].isspace()]
         parts = [lines[at : at + LINES] for at in range(0, len(lines), LINES)]
-        for part, e in zip(parts, self.lib.encode_batch_fast(["\n".join(p) for p in parts], add_special_tokens=False), strict=True):
+        for part, e in zip(parts, self.lib.encode_batch_fast(["\n".join(t for _, t in p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             ends = [*np.flatnonzero(ids == self.feed).tolist(), len(ids)]
-            starts = [0, *(e + 1 for e in ends[:-1])]
-            self.young.update((s, ids[a:b].tobytes()) for s, a, b in zip(part, starts, ends, strict=True))
-        rest = [*new.difference(lines)]
-        self.young.update(zip(rest, self.plain(rest), strict=True))
+            data = ids.tobytes()
+            for (k, _), i, j in zip(part, [0, *(e + 1 for e in ends[:-1])], ends, strict=True):
+                self.young[k] = feed + data[4 * i : 4 * j] if k[0] == "\n" else data[4 * i : 4 * j]
+        rest = [x for x in asked if "\n" in x[1] or x[1][-1].isspace()]
+        for (k, _), ids in zip(rest, self.plain([t for _, t in rest]), strict=True):
+            self.young[k] = feed + ids if k[0] == "\n" else ids
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not self.cuts or not text:
-            return self.plain([text])[0]
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; what none of them has seen is learnt together.
+
+        A text is taken as if a line feed came before it, whose id is dropped again.
+        """
+        if not self.cuts:
+            return self.plain(texts)
+        found, missing, get = [], set(), self.young.get
+        for text in texts:
+            keys = keys_of(text)
+            if keys is None:
+                found.append((None, [b"0000", *self.plain([text])]))
+                continue
+            ids = [*map(get, keys)]
+            if None in ids:
+                missing.update(s for s, i in zip(keys, ids, strict=True) if i is None)
+                found.append((keys, ids))
+            else:
+                found.append((None, ids))
+        if missing:
+            self.learn(missing)
+        new = self.young
+        return [b"".join(ids if keys is None else [i if i is not None else new[s] for s, i in zip(keys, ids, strict=True)])[4:] for keys, ids in found]
+
+
+def keys_of(text: str) -> list[str] | None:
+    """The stretches of a text, each as its key in the cache; None where it begins with white space or is empty.
+
+    A key that begins with a line feed stands for it and what follows up to white space; any other for a space and what
+    follows. In texts whose words are parted by single spaces and line feeds alone, those are all; in others what lies
+    between two single spaces may hold other white space.
+    """
+    if not text or text[0].isspace():
+        return None
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1].isspace() or any(c in text for c in OTHER_SPACE):
         first, *rest = CUT.split(text)
-        pieces = [first, *(" " + s for s in rest)]
-        ids = [*map(self.young.get, pieces)]
-        if None in ids:
-            self.learn({s for s, i in zip(pieces, ids, strict=True) if i is None})
-            ids = [i if i is not None else self.young[s] for s, i in zip(pieces, ids, strict=True)]
-        return b"".join(ids)
+        return [f"\n{first}", *rest]
+    return f"\n{text}".replace("\n", " \n").split(" ")[1:]
 
 
 _ENCODERS: dict[str | None, Encoder] = {}
@@ -192,6 +229,20 @@ class Packer:
             left -= size
 
 
+def grouped(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of rows that are encoded together; a null text is empty."""
+    docs, texts, size = [], [], 0
+    for doc, t in zip(batch.column(0), batch.column(1), strict=True):
+        docs.append(doc.as_py())
+        texts.append(t.as_py() or "")
+        size += len(texts[-1])
+        if len(texts) == GROUP or size > GROUP_CHARS:
+            yield docs, texts
+            docs, texts, size = [], [], 0
+    if texts:
+        yield docs, texts
+
+
 PIECE = {"start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
 
 
@@ -230,10 +281,11 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, tok
         packer = Packer(capacity, emit)
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc, t in zip(batch.column(0), batch.column(1), strict=True):
-                packer.add(doc.as_py(), enc.encode(t.as_py() or "") + end)
-                if len(rows) >= 4096:
-                    yield made()
+            for docs, texts in grouped(batch):
+                for doc, ids in zip(docs, enc.encode_many(texts), strict=True):
+                    packer.add(doc, ids + end)
+                    if len(rows) >= 4096:
+                        yield made()
         if kind is not None:
             packer.end()
             yield made()
