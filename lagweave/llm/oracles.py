@@ -131,3 +131,43 @@ FROM coded o JOIN kept k USING (row)
 
 
 SQL["op11_vector_codes"] = vector_codes_sql()
+
+
+def found_sql(kind: str, place: int, pattern: str, group: int, least: int) -> str:
+    """Matches of a pattern in t(doc_id, text): kind, place among the kinds, start, end; places follow from the pieces between the matches."""
+    return f"""
+SELECT doc_id, '{kind}' AS kind, {place} AS place, b AS start, b + len(m[i]) AS stop
+FROM (
+  SELECT doc_id, m, g, i, CAST(list_sum(list_transform(p[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: len(x))), 0) AS BIGINT) AS b
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {group}) AS g, string_split_regex(text, '{pattern}') AS p FROM t))
+) WHERE len(g[i]) >= {least}"""
+
+
+ASSIGN = """(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+SQL["secrets_base"] = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({found_sql("assign", 0, ASSIGN, 1, 8)} UNION ALL {found_sql("access", 1, "AKIA[A-Z0-9]+", 0, 16)} UNION ALL {found_sql("hex", 2, "[0-9a-f]+", 0, 32)}),
+g AS (
+  SELECT doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS line
+  FROM f GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(line, '')) AS base_sha256 FROM t LEFT JOIN g USING (doc_id)
+"""
+
+SQL["lm_base"] = r"""
+WITH crc(i, c) AS (SELECT i, i FROM range(0, 256) t(i)),
+step AS (
+  WITH RECURSIVE s AS (SELECT i, CAST(i AS BIGINT) AS c, 0 AS k FROM crc UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM s WHERE k < 8)
+  SELECT list(c ORDER BY i) AS tab FROM s WHERE k = 8
+), h AS (
+  SELECT doc_id, text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+         lambda a, b: xor(a // 256, tab[1 + (xor(a, b) & 255)])), 4294967295) % 5 AS r
+  FROM documents, step
+), w AS (
+  SELECT doc_id, r = 1 AS held_out, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM h
+), tok AS (SELECT doc_id, held_out, unnest(list_append(w, '')) AS t FROM w),
+n AS (SELECT t, count(*) AS c FROM tok WHERE NOT held_out GROUP BY t),
+total AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM n)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(n.c) AS n_known, any_value(total.n) AS train_tokens, round(sum(log10((coalesce(n.c, 0) + 0.5::DOUBLE) / (total.n + 0.5::DOUBLE * (total.v + 1)))), 6) AS base_score
+FROM tok LEFT JOIN n USING (t), total GROUP BY doc_id, held_out
+"""

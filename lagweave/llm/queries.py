@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontaminate import contamination
@@ -74,8 +75,18 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"))
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4_secrets finds by the base patterns alone, which SQL can say."""
+    return op4_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base score of op5_lm_score, which SQL can say."""
+    return op5_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op2_warc": op2_warc, "op3_mix": op3_mix, "op4_secrets": op4_secrets, "op5_lm_score": op5_lm_score, "op6_exact_dedup": op6_exact_dedup, "op7_token_counts": op7_token_counts, "op8_token_files": op8_token_files, "op9_simhash": op9_simhash, "op10_decontaminate": op10_decontaminate, "op11_vector_codes": op11_vector_codes, "op12_periodic_runs": op12_periodic_runs, "op13_packing": op13_packing}
+    return {"op1_language": op1_language, "op2_warc": op2_warc, "op3_mix": op3_mix, "op4_secrets": op4_secrets, "op5_lm_score": op5_lm_score, "op6_exact_dedup": op6_exact_dedup, "op7_token_counts": op7_token_counts, "op8_token_files": op8_token_files, "op9_simhash": op9_simhash, "op10_decontaminate": op10_decontaminate, "op11_vector_codes": op11_vector_codes, "op12_periodic_runs": op12_periodic_runs, "op13_packing": op13_packing, "secrets_base": secrets_base, "lm_base": lm_base}
 
 
 def oracle_sql() -> dict[str, str]:

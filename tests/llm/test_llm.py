@@ -377,6 +377,46 @@ def test_a_large_group_of_near_copies_costs_its_size(spark, monkeypatch):
     assert alike.sum() / 2 > 50_000 and sum(met) < 10 * len(made)
 
 
+def test_texts_of_few_words_make_few_pairs(spark, monkeypatch):
+    """Random texts of six words share keys without being similar: pairs to verify grow with the texts, and no link is lost."""
+    counts, real = {}, simhash_wide.stored
+    monkeypatch.setattr(simhash_wide, "stored", lambda df, name: counted(counts, name, real(df, name)))
+    rng = random.Random(41)
+    for n in (250, 1000):
+        counts.clear()
+        made = [prose(rng, 80, 6) for _ in range(n)]
+        for k in range(0, n, 25):  # a copy with a word changed, and one of that
+            w = made[k].split()
+            for at in (20, 60):
+                w[at] = "other"
+                made.append(" ".join(w))
+        got = simhash_wide.similar_groups(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(made)], DOCS)).collect()
+        assert counts["near-apart"] + counts["near-meet"] < 12 * len(made) and counts["near-apart"] < len(made)
+        if n == 250:
+            sets = [brute_shingles(t) for t in made]
+            least = {}
+            for r in got:
+                least[r.root] = min(least.get(r.root, r.doc_id), r.doc_id)
+            assert {r.doc_id: least[r.root] for r in got} == brute_components(range(len(made)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+
+
+def counted(counts, name, df):
+    counts[name] = counts.get(name, 0) + df.count()
+    return df
+
+
+def test_parities_never_exceed_what_differs():
+    rng = random.Random(43)
+    texts = [prose(rng, n, 30).encode() for n in (0, 1, 4, 5, 40, 41, 300)] + [b"w1 w2 w3 w4 w5 w6", b"w1 w2 w3 w4 w5 w7"]
+    which, run, _ = simhash_wide.shingle_sets(texts, 5)
+    bits = np.stack(simhash_wide.parities(which, run, len(texts))).T
+    sets = [{*run[which == i].tolist()} for i in range(len(texts))]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            off = sum(((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() for x, y in zip(bits[i].tolist(), bits[j].tolist(), strict=True))
+            assert off <= len(sets[i] ^ sets[j]) and (off - len(sets[i] ^ sets[j])) % 2 == 0
+
+
 # 10 decontamination
 
 
