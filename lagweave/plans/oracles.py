@@ -309,11 +309,10 @@ zip AS (SELECT pos, o.gene AS gene_one, t.gene AS gene_two FROM ones o JOIN twos
 """
 SQL["zip_blocks"] = f"WITH {ALIGNMENT_SQL}, {ZIP} SELECT pos, gene_one, gene_two FROM zip"
 # each block's own first sequence ends its codons, and so does the other's
-SQL["zipped_profile"] = f"""{HEAD}, {ZIP}, {sites()},
-xy AS (
-  SELECT z.gene_one AS gene, p.l, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM zip z JOIN lagged p ON p.gene = z.gene_one JOIN lagged q ON q.gene = z.gene_two AND p.l = q.l AND p.i = q.i AND p.aa = q.aa
-)
-SELECT gene, CAST(3 * l AS BIGINT) AS lag, round(sum(CASE WHEN px <> qx AND py <> qy THEN 1 ELSE 0 END) / count(*), 9) AS mean, count(*) AS n, 'P2' AS type FROM xy GROUP BY gene, l""".replace("a.clade = b.clade AND ", "")
+SQL["zipped_profile"] = f"""{HEAD}, {ZIP}, {sites().replace("lagged AS (", "lagged AS MATERIALIZED (")},
+pz AS MATERIALIZED (SELECT z.gene_one, z.gene_two, p.l, p.i, p.aa, p.x AS px, p.y AS py FROM zip z JOIN lagged p ON p.gene = z.gene_one),
+xy AS (SELECT pz.gene_one AS gene, pz.l, px, py, q.x AS qx, q.y AS qy FROM pz JOIN lagged q ON q.gene = pz.gene_two AND q.l = pz.l AND q.i = pz.i AND q.aa = pz.aa)
+SELECT gene, CAST(3 * l AS BIGINT) AS lag, round(sum(CASE WHEN px <> qx AND py <> qy THEN 1 ELSE 0 END) / count(*), 9) AS mean, count(*) AS n, 'P2' AS type FROM xy GROUP BY gene, l"""
 SQL["user_statistic"] = f"{HEAD}, {sites()}, {genes('p.x <> q.x AND p.y = q.y')} {OUT}"
 
 
