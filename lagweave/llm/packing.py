@@ -18,7 +18,7 @@ from .common import col
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY, END_ID = 1024, 0
 #: Remainders that a task holds before it fills windows, and how many it then leaves to be matched with later ones.
-POOL, REST = 4096, 1024
+POOL, REST = 1024, 256
 #: Stretches in the younger of the cache's two generations.
 CACHED = 600_000
 #: Texts are encoded together up to so many, of about so many characters.
@@ -100,7 +100,7 @@ class Encoder:
                 found.append((None, [b"0000", *self.plain([text])]))
                 continue
             ids = [*map(get, keys)]
-            if None in ids:
+            if not all(ids):
                 missing.update(s for s, i in zip(keys, ids, strict=True) if i is None)
                 found.append((keys, ids))
             else:
