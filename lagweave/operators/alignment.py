@@ -13,6 +13,7 @@ from ..functions import codons as C
 from ..functions import paircov as P
 from ..sources.scratch import stored
 from .order import zipped
+from .tables import sequence_tables
 
 
 @dataclass(frozen=True)
@@ -39,32 +40,6 @@ class CodingOptions:
         return C.codon_position(self.codon_position)[1] if self.synonymous is None else self.synonymous
 
 
-def lag_pairs(aln: DataFrame, by: list[str], size: Column, site: Column, lags: int) -> DataFrame:
-    """(by..., seq_idx, l, i, a, b): the sites i and i + l of each sequence, 0 <= l < lags.
-
-    Positions reach as far as the first sequence; a shorter sequence stops at its own end. `site` is the array of a
-    sequence's sites, built once a row; the pairs are exploded from it, so no sequence is joined with itself.
-    """
-    rows = aln.select(*by, "seq_idx", size.alias("size"), site.alias("sites"))
-    first = rows.groupBy(*by).agg(F.min_by("size", "seq_idx").alias("first"))
-    rows = rows.join(first, by).filter(F.least("size", "first") > 0)
-    reach = F.least("size", "first")
-    at = rows.select(*by, "seq_idx", "sites", reach.alias("reach"), F.explode(F.sequence(F.lit(0), reach - 1)).alias("i"))
-    last = F.least(F.lit(lags - 1), F.col("reach") - 1 - F.col("i"))
-    at = at.select(*by, "seq_idx", "sites", "i", F.explode(F.sequence(F.lit(0), last)).alias("l"))
-    return at.select(*by, "seq_idx", "l", "i", F.col("sites")[F.col("i")].alias("a"), F.col("sites")[F.col("i") + F.col("l")].alias("b"))
-
-
-def codon_sites(o: CodingOptions) -> Column:
-    """array<aa, base, gap> of the codons of `seq`."""
-
-    def site(codon: Column) -> Column:
-        aa = C.amino_acid(codon) if o.classes else F.lit("")
-        return F.struct(aa.alias("aa"), F.substring(codon, o.base + 1, 1).alias("base"), (C.has_gap(codon) if o.classes else F.lit(False)).alias("gap"))
-
-    return F.transform(codon_array(o.codon_offset), site)
-
-
 def codon_array(offset: int) -> Column:
     """The whole codons of `seq`."""
 
@@ -75,11 +50,9 @@ def codon_array(offset: int) -> Column:
     return C.bound(F.col("seq"), cut)
 
 
-def tables(aln: DataFrame, o: CodingOptions, by: list[str], prefix: str = "n_") -> DataFrame:
-    """(by..., l, i, aa, size, cells): a contingency table per position pair and amino-acid pair."""
-    pairs = lag_pairs(aln, by, C.codon_count(F.col("seq"), o.codon_offset), codon_sites(o), o.lags)
-    pairs = pairs.filter(~F.col("a.gap") & ~F.col("b.gap")).withColumn("aa", F.concat("a.aa", "b.aa"))
-    return pairs.groupBy(*by, "l", "i", "aa").agg(F.count("*").alias("size"), *P.counts(F.col("a.base"), F.col("b.base"), prefix=prefix))
+def tables(aln: DataFrame, o: CodingOptions, by: list[str], *prefixes: str) -> DataFrame:
+    """(by..., l, i, aa, size, cells): a contingency table per position pair and amino-acid pair; one per `side` with several prefixes."""
+    return sequence_tables(aln, by, o.lags, offset=o.codon_offset, base=o.base, classes=o.classes, prefixes=prefixes or ("n_",))
 
 
 def summed(cells: DataFrame, by: list[str], xy: Column, n: Column, step: int, kind: str = "P2") -> DataFrame:
@@ -106,9 +79,7 @@ def gene_profile(aln: DataFrame, o: CodingOptions = CodingOptions(), *, statisti
 
 def noncoding_profile(aln: DataFrame, max_lag: int = 300, min_allele_number: int = 0) -> DataFrame:
     """Profile by bases instead of codons; pairs with a letter beyond ATGC aren't counted."""
-    site = F.transform(F.split("seq", ""), lambda b: F.struct(b.alias("base")))
-    pairs = lag_pairs(enough(aln, ["gene"], 2), ["gene"], F.length("seq"), site, max_lag)
-    cells = pairs.groupBy("gene", "l", "i").agg(*P.counts(F.col("a.base"), F.col("b.base")))
+    cells = sequence_tables(enough(aln, ["gene"], 2), ["gene"], max_lag, unit=1)
     return summed(cells, ["gene"], *P.p11(least=min_allele_number), 1)
 
 
@@ -123,13 +94,12 @@ def first_match(aln: DataFrame, ordinal: str | None) -> DataFrame:
 def clade_profile(one: DataFrame, two: DataFrame, o: CodingOptions = CodingOptions(min_sequences=1), *, statistic: str = "p11", ordinal: str | None = "block") -> DataFrame:
     """Between-clade profile of two alignments(gene, pos, seq_idx, seq), joined on gene and position.
 
-    Tables of the two clades meet by position pair and amino-acid pair; positions reach as far as the shorter of the
+    Both clades' tables of a position pair and amino-acid pair are counted side by side in one pass; positions reach as far as the shorter of the
     two first sequences. statistic: p11, p00 or aps.
     """
     by = ["gene", "pos"]
-    x = tables(one, o, by, "x_")
-    y = tables(first_match(two, ordinal), o, by, "y_").drop("size")
-    both = x.drop("size").join(y, [*by, "l", "i", "aa"])
+    sides = [aln.select(*by, "seq_idx", "seq", F.lit(k).alias("side")) for k, aln in enumerate((one, first_match(two, ordinal)))]
+    both = tables(sides[0].unionByName(sides[1]), o, by, "x_", "y_")
     xy, n = {"p11": lambda: P.mate_p11(least=o.min_allele_number), "p00": P.mate_p00, "aps": lambda: P.mate_p11_aps(least=o.min_allele_number)}[statistic]()
     return summed(both, by, xy, n, 3).drop("pos")
 
