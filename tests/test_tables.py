@@ -65,3 +65,18 @@ def test_clades_are_counted_in_one_pass_without_a_join(spark):
     df = spark.createDataFrame(alignment(np.random.default_rng(6), 5, 9), ALN)
     plan = A.clade_profile(df, df)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_overlapping_genes_have_their_reads_each(spark):
+    """A read is in every gene that holds its start if asked for; genes of one place are worked on once."""
+    from lagweave.operators import reads as R
+
+    genes = spark.createDataFrame([("c", 1, 9, 1, "a"), ("c", 1, 9, 1, "b"), ("c", 4, 12, -1, "d")], "seq_name string, start int, end int, strand int, gene string")
+    rows = [(f"r{k}", "c", pos, 60, f"{len(seq)}M", seq, [40] * len(seq), k) for k, (pos, seq) in enumerate([(0, "TTTTTCTTG"), (0, "TTTTTTTTC"), (0, "TTC-TTTTA"), (3, "TTTTTC")])]
+    reads = spark.createDataFrame(rows, "qname string, rname string, pos int, mapq int, cigar string, seq string, qual array<int>, ordinal long")
+    o = R.ReadOptions(min_read_length=3, min_depth=0, overlapping=True)
+    hit = R.assign_genes(reads, genes, True)
+    assert sorted((r.qname, r.gene) for r in hit.collect()) == [("r0", "a"), ("r1", "a"), ("r2", "a"), ("r3", "a"), ("r3", "d")]
+    got = {(r.gene, r.gene_pos): (r.depth, r.codons) for r in R.each_gene(R.pileup(R.read_tallies(reads, genes, o)), genes).collect()}
+    own = {0: (3, 2), 1: (3, 2), 2: (4, 3)}  # a codon with a dash is none
+    assert got == {(g, k): v for g in "ab" for k, v in own.items()} | {("d", 0): (1, 1), ("d", 1): (1, 1)}
