@@ -13,6 +13,7 @@ from ..functions import codons as C
 from ..functions import paircov as P
 from ..sources.scratch import stored
 from .order import zipped
+from .pairs import paired, sides
 from .tables import sequence_tables
 
 
@@ -129,66 +130,25 @@ def clade_profile_defaulted(one: DataFrame, two: DataFrame, o: CodingOptions = C
     return p.withColumn("z", zero).select("gene", "lag", F.when(F.col("z").isNotNull(), 0.0).otherwise(F.col("mean")).alias("mean"), F.coalesce("z", "n").alias("n"), "type")
 
 
-#: Sequences of a block: a gene of more is dealt to several, and each pair of blocks is one key of the pairs' join.
+#: Sequences of a block: a gene of more is dealt to several, and each pair of blocks is counted by itself.
 PAIR_BLOCK = 256
-#: Codons of a word of flags; a word also holds those of the next, so that a shift by less than a word finds them.
-WORD = 32
-
-
-def site_codes(o: CodingOptions) -> Column:
-    """array<smallint> of the codons of `seq`: the letter of the amino acid times 256 plus that of the base."""
-
-    def code(codon: Column) -> Column:
-        return (F.ascii(C.amino_acid(codon)) * 256 + F.least(F.ascii(F.substring(codon, o.base + 1, 1)), F.lit(255))).cast("smallint")
-
-    return F.transform(codon_array(o.codon_offset), code)
 
 
 def pairs_within(rows: DataFrame, block: int) -> DataFrame:
-    """(gene, x, y): every pair of a gene's rows (seq_idx, genome, sites) with x before y, each made once.
-
-    A gene's n sequences are dealt to g = ceil(n / block) blocks by a hash. A row goes to the g + 1 pairs of blocks
-    that its own is in, on the side that it has there, and the join's key is the gene and the pair of blocks: a hot
-    gene spreads over g (g + 1) / 2 keys of at most some block^2 pairs each.
-    """
-    g = rows.groupBy("gene").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("g"))
-    own = rows.join(g, "gene").select("gene", "g", F.pmod(F.xxhash64("seq_idx"), F.col("g")).cast("int").alias("block"), F.struct("seq_idx", "genome", "sites").alias("row"))
-    x = own.select("gene", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("g") - 1)).alias("j"), F.col("row").alias("x"))
-    y = own.select("gene", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("row").alias("y"))
+    """(gene, x, y): every pair of a gene's rows (seq_idx, genome, sites) with x before y, each made once, as pairs.sides deals them."""
+    dealt = sides(rows, block).withColumn("row", F.struct("seq_idx", "genome", "sites"))
+    x = dealt.filter("side = 0").select("gene", "i", "j", F.col("row").alias("x"))
+    y = dealt.filter("side = 1 or i = j").select("gene", "i", "j", F.col("row").alias("y"))
     return x.join(y, ["gene", "i", "j"]).filter("i < j or x.seq_idx < y.seq_idx").select("gene", "x", "y")
 
 
-def flag_words(x: Column, y: Column) -> Column:
-    """(n, syn, syndif, dif): the common codons of two site arrays, and words of flags by which codons are synonymous, differ, or both.
-
-    Word k holds the flags of codons 32 k to 32 k + 62, the first in the lowest bit.
-    """
-    n = F.least(F.size(x), F.size(y))
-    alike = lambda s, t: (F.shiftright(s.cast("int"), 8) == F.shiftright(t.cast("int"), 8)) & (F.shiftright(s.cast("int"), 8) != ord(C.UNKNOWN))
-    flag = lambda s, t: F.when(alike(s, t), 1).otherwise(0) + F.when(s.cast("int") % 256 != t.cast("int") % 256, 2).otherwise(0)
-    flags = F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), flag)
-
-    def words(f: Column) -> Column:
-        def pack(test) -> Column:
-            one = lambda k: F.aggregate(F.reverse(F.slice(f, k * WORD + 1, F.lit(2 * WORD - 1))), F.lit(0).cast("long"), lambda acc, v: F.shiftleft(acc, 1) + F.when(test(v), 1).otherwise(0))
-            return F.transform(F.sequence(F.lit(0), F.floor((F.size(f) - 1) / WORD).cast("int")), one)
-
-        return F.struct(F.size(f).alias("n"), pack(lambda v: v % 2 == 1).alias("syn"), pack(lambda v: v == 3).alias("syndif"), pack(lambda v: v >= 2).alias("dif"))
-
-    return F.when(n > 0, C.bound(flags, words))
-
-
-def common_bits(one: str, two: str | None, lag: str) -> Column:
-    """How many codons k < n - lag have the flag `one`, and `two` (any, if None) at k + lag."""
-    q, r, low = F.floor(F.col(lag) / WORD).cast("int"), (F.col(lag) % WORD).cast("int"), F.lit((1 << WORD) - 1)
-
-    def word(k: Column) -> Column:
-        ahead = F.coalesce(F.get(F.col(two), k + q), F.lit(0).cast("long")) if two else None
-        left = F.col("n") - F.col(lag) - k * WORD  # codons of this word that have one `lag` ahead
-        there = low if two else F.when(left >= WORD, low).when(left > 0, F.expr("0L") + F.pow(F.lit(2), left).cast("long") - 1).otherwise(F.lit(0).cast("long"))
-        return F.bit_count(F.get(F.col(one), k).bitwiseAND(low).bitwiseAND(F.call_function("shiftright", ahead, r) if two else there)).cast("long")
-
-    return F.aggregate(F.sequence(F.lit(0), F.size(one) - 1), F.lit(0).cast("long"), lambda acc, k: acc + word(k))
+def pair_codons(aln: DataFrame, o: CodingOptions, mate: DataFrame | None, synonymous_second: bool, block: int, add: bool) -> DataFrame:
+    rows = aln.select("gene", "seq_idx", "genome", "seq").filter("gene is not null and seq_idx is not null and seq is not null")
+    if mate is not None:
+        name = F.col("genome") if "genome" in mate.columns else F.lit("mate")
+        one = mate.groupBy("gene").agg(F.max_by("seq", "ordinal" if "ordinal" in mate.columns else "seq").alias("seq_x"), F.first(name).alias("genome_x"))
+        rows = aln.select("gene", "genome", "seq").filter("seq is not null").join(one.filter("seq_x is not null"), "gene")
+    return paired(rows, o.lags, offset=o.codon_offset, base=o.base, both=synonymous_second, block=block, mate=mate is not None, add=add)
 
 
 def genome_pairs(aln: DataFrame, o: CodingOptions = CodingOptions(), mate: DataFrame | None = None, synonymous_second: bool = True, block: int = PAIR_BLOCK) -> DataFrame:
@@ -196,23 +156,13 @@ def genome_pairs(aln: DataFrame, o: CodingOptions = CodingOptions(), mate: DataF
 
     Counted are codons k whose amino acids agree in both sequences (and at k + lag too if synonymous_second); mean is
     the share of them that differ at k and at k + lag. With mate(gene, seq) each sequence is paired with the gene's
-    mate instead. The number of pairs is the result's own size; a pair's lags are counted on words of flags within its row.
+    mate instead. The number of pairs is the result's own size; genome_pair_counts gives what sums over genes need.
     """
+    sums = pair_codons(aln, o, mate, synonymous_second, block, False)
+    return sums.select("pair", "gene", (F.col("l") * 3).alias("lag"), (F.col("d") / F.col("n")).alias("mean"), "n", F.lit("P2").alias("type"))
 
-    def with_sites(df: DataFrame) -> DataFrame:
-        return df.withColumn("sites", site_codes(o))
 
-    rows = with_sites(aln).select("gene", "seq_idx", "genome", "sites")
-    if mate is None:
-        both = pairs_within(rows, block)
-    else:
-        name = F.col("genome") if "genome" in mate.columns else F.lit("mate")
-        one = with_sites(mate.groupBy("gene").agg(F.max_by("seq", "ordinal" if "ordinal" in mate.columns else "seq").alias("seq"), F.first(name).alias("genome")))
-        both = rows.select("gene", F.struct("genome", "sites").alias("y")).join(one.select("gene", F.struct("genome", "sites").alias("x")), "gene")
-    pair = F.concat_ws("_vs_", F.least("x.genome", "y.genome"), F.greatest("x.genome", "y.genome"))
-    at = both.select(pair.alias("pair"), "gene", flag_words(F.col("x.sites"), F.col("y.sites")).alias("f")).filter("f is not null")
-    at = at.select("pair", "gene", "f.*", F.explode(F.sequence(F.lit(0), F.least(F.lit(o.lags - 1), F.col("f.n") - 1))).alias("l"))
-    n = common_bits("syn", "syn" if synonymous_second else None, "l")
-    d = common_bits("syndif", "syndif" if synonymous_second else "dif", "l")
-    sums = at.select("pair", "gene", "l", n.alias("n"), d.alias("d")).filter("n > 0")
-    return sums.select("pair", "gene", (F.col("l") * 3).alias("lag"), (F.col("d") / F.col("n")).alias("mean"), "n", F.lit("P2").alias("type"))
+def genome_pair_counts(aln: DataFrame, o: CodingOptions = CodingOptions(), mate: DataFrame | None = None, synonymous_second: bool = True, block: int = PAIR_BLOCK) -> DataFrame:
+    """The rows of genome_pairs without their genes, equal ones once with how many they are: pair, lag, mean, n, type, times."""
+    sums = pair_codons(aln, o, mate, synonymous_second, block, True)
+    return sums.select("pair", (F.col("l") * 3).alias("lag"), (F.col("d") / F.col("n")).alias("mean"), "n", F.lit("P2").alias("type"), "times")

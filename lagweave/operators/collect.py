@@ -121,10 +121,15 @@ def profile(gene_rows: DataFrame, num_boot: int = 1000, gene: str = "gene") -> D
 
 
 def pair_collect(pairs: DataFrame) -> DataFrame:
-    """Profile rows of every genome pair and of all of them, from rows (pair, gene, lag, mean, type) in one aggregation."""
-    sets = pairs.groupingSets([["pair", "type", "lag"], ["type", "lag"]], "pair", "type", "lag")
-    rows = sets.agg(F.count("mean").alias("n"), F.avg("mean").alias("mean"), population_variance("mean").alias("variance"), F.grouping("pair").alias("g"))
-    return normalise(rows.select(F.when(F.col("g") == 1, "all").otherwise(F.col("pair")).alias("b"), "type", "lag", "n", "mean", "variance"))
+    """Profile rows of every genome pair and of all of them, from rows (pair, gene, lag, mean, type), or counted ones with `times`."""
+    by = ["pair", "type", "lag"]
+    if "times" in pairs.columns:
+        same = pairs.groupBy(*by, "mean").agg(F.sum("times").alias("n"))
+        each = merged(same.select(*by, "n", "mean", F.lit(0.0).alias("m2")), by)
+    else:
+        each = moments(pairs, by, "mean")
+    sets = each.unionByName(merged(each, by[1:]).withColumn("pair", F.lit("all")))
+    return normalise(of_moments(sets, by).withColumnRenamed("pair", "b"))
 
 
 def q_factor(rows: DataFrame) -> DataFrame:

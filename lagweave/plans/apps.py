@@ -47,7 +47,7 @@ def bam(spark: SparkSession, gff: str, path: str, out: str, num_boot: int = 1000
 def pair(spark: SparkSession, path: str, out: str, second: str = "", max_corr_length: int = 300, codon_position: int = 4) -> None:
     """Every pair of genomes (or every genome and its mate in a second file) to out.csv."""
     mate = X.mates(X.read_fasta(spark, second)) if second else None
-    rows = A.genome_pairs(X.read_xmfa(spark, path, 1), A.CodingOptions(max_corr_length=max_corr_length, codon_position=codon_position), mate)
+    rows = A.genome_pair_counts(X.read_xmfa(spark, path, 1), A.CodingOptions(max_corr_length=max_corr_length, codon_position=codon_position), mate)
     S.write_profile(K.pair_collect(rows), out, comments=False)
 
 

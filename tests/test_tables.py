@@ -80,3 +80,28 @@ def test_overlapping_genes_have_their_reads_each(spark):
     got = {(r.gene, r.gene_pos): (r.depth, r.codons) for r in R.each_gene(R.pileup(R.read_tallies(reads, genes, o)), genes).collect()}
     own = {0: (3, 2), 1: (3, 2), 2: (4, 3)}  # a codon with a dash is none
     assert got == {(g, k): v for g in "ab" for k, v in own.items()} | {("d", 0): (1, 1), ("d", 1): (1, 1)}
+
+
+def test_counted_pairs_are_the_rows_of_pairs_added_up_in_the_tasks(spark, monkeypatch):
+    """Names beyond a word, unknown letters, hot genes, null names and ties of seq_idx; no row a pair leaves a task."""
+    from lagweave.operators import collect as K
+    from lagweave.operators import pairs as N
+
+    rng = np.random.default_rng(8)
+    rows = [(g, "1", None if k == 3 else f"x{k % 4}", k - (k == 6), "".join(rng.choice(list("TTCCCTGé-"), int(rng.integers(0, 400))))) for g, n in (("a", 9), ("b", 2), ("c", 1), ("hot", 30)) for k in range(n)]
+    df = spark.createDataFrame(rows, ALN)
+    o = A.CodingOptions(max_corr_length=300)
+    want = {}
+    for r in A.genome_pairs(df, o).collect():
+        key = r.pair, r.lag, r["mean"], r.n
+        want[key] = want.get(key, 0) + 1
+    monkeypatch.setattr(N, "CHUNK", 50)
+    monkeypatch.setattr(N, "CELLS", 500)
+    monkeypatch.setattr(N, "HELD_ROWS", 4)
+    counts = A.genome_pair_counts(df, o, block=7)
+    got = {(r.pair, r.lag, r["mean"], r.n): r.times for r in counts.collect()}
+    assert got == want
+    tidy = lambda d: sorted((r.b, r.t, r.l, r.n, round(r.m, 12), None if np.isnan(r.v) else round(r.v, 12)) for r in d.collect())
+    assert tidy(K.pair_collect(counts)) == tidy(K.pair_collect(A.genome_pairs(df, o)))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "zip_with" not in plan  # rows go to blocks; pairs are never made as rows
