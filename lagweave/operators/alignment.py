@@ -51,23 +51,17 @@ def codon_array(offset: int) -> Column:
     return C.bound(F.col("seq"), cut)
 
 
-def tables(aln: DataFrame, o: CodingOptions, by: list[str], *prefixes: str) -> DataFrame:
-    """(by..., l, i, aa, size, cells): a contingency table per position pair and amino-acid pair; one per `side` with several prefixes."""
-    return sequence_tables(aln, by, o.lags, offset=o.codon_offset, base=o.base, classes=o.classes, prefixes=prefixes or ("n_",))
+def tables(aln: DataFrame, o: CodingOptions, by: list[str], *prefixes: str, least: int = 1) -> DataFrame:
+    """(by..., l, times, cells): the contingency tables of codon pairs per position pair and amino-acid pair; one per `side` with several prefixes."""
+    return sequence_tables(aln, by, o.lags, offset=o.codon_offset, base=o.base, classes=o.classes, prefixes=prefixes or ("n_",), least=least)
 
 
 def summed(cells: DataFrame, by: list[str], xy: Column, n: Column, step: int, kind: str = "P2") -> DataFrame:
     """(by..., lag, mean, n, type) from pair counts per table; lags without pairs are left out."""
-    sums = cells.groupBy(*by, "l").agg(F.sum(xy).alias("xy"), F.sum(n).cast("long").alias("n")).filter("n > 0")
+    sums = cells.groupBy(*by, "l").agg(F.sum(xy * F.col("times")).alias("xy"), F.sum(n * F.col("times")).cast("long").alias("n")).filter("n > 0")
     return sums.select(*by, (F.col("l") * step).alias("lag"), (F.col("xy") / F.col("n")).alias("mean"), "n", F.lit(kind).alias("type"))
 
 
-def enough(aln: DataFrame, by: list[str], least: int) -> DataFrame:
-    if least <= 1:
-        return aln
-    return aln.join(aln.groupBy(*by).agg(F.count("*").alias("n_seq")).filter(F.col("n_seq") >= least).select(*by), by)
-
-
 def gene_profile(aln: DataFrame, o: CodingOptions = CodingOptions(), *, statistic: str | Callable = "p11") -> DataFrame:
     """One-clade profile of alignment(gene, seq_idx, seq): gene, lag, mean, n (pairs), type.
 
@@ -75,12 +69,12 @@ def gene_profile(aln: DataFrame, o: CodingOptions = CodingOptions(), *, statisti
     what a statistic of the caller's own counts: its name in paircov.register_statistic, or the function.
     """
     xy, n = P.statistic_of(statistic)(least=o.min_allele_number)
-    return summed(tables(enough(aln, ["gene"], o.min_sequences), o, ["gene"]), ["gene"], xy, n, 3)
+    return summed(tables(aln, o, ["gene"], least=o.min_sequences), ["gene"], xy, n, 3)
 
 
 def noncoding_profile(aln: DataFrame, max_lag: int = 300, min_allele_number: int = 0) -> DataFrame:
     """Profile by bases instead of codons; pairs with a letter beyond ATGC aren't counted."""
-    cells = sequence_tables(enough(aln, ["gene"], 2), ["gene"], max_lag, unit=1)
+    cells = sequence_tables(aln, ["gene"], max_lag, unit=1, least=2)
     return summed(cells, ["gene"], *P.p11(least=min_allele_number), 1)
 
 

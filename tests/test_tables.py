@@ -105,3 +105,27 @@ def test_counted_pairs_are_the_rows_of_pairs_added_up_in_the_tasks(spark, monkey
     assert tidy(K.pair_collect(counts)) == tidy(K.pair_collect(A.genome_pairs(df, o)))
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert "Generate" in plan and "zip_with" not in plan  # rows go to blocks; pairs are never made as rows
+
+
+@pytest.mark.parametrize("hot", [10**9, 4])
+def test_genes_of_few_sequences_end_in_their_task(spark, monkeypatch, hot):
+    """Rows without a sequence count towards the least number, as they did; no join asks for it, and like tables are one row."""
+    monkeypatch.setattr(T, "HOT", hot)
+    rows = [(g, "1", "x", k, "TTTCTTTT" + "CT"[k % 2] if k < n else None) for g, n, nulls in (("a", 2, 0), ("b", 1, 2), ("c", 5, 1), ("d", 2, 1)) for k in range(n + nulls)]
+    df = spark.createDataFrame(rows, ALN)
+    profile = A.gene_profile(df, A.CodingOptions(max_corr_length=3, min_sequences=3))
+    assert sorted(r.gene for r in profile.collect()) == ["c", "d"]
+    if hot > 4:
+        assert "Join" not in profile._jdf.queryExecution().executedPlan().toString()
+        counts = A.tables(df, A.CodingOptions(max_corr_length=3), ["gene"]).filter("gene = 'c'").collect()
+        assert sum(r.times for r in counts) == 3 and len(counts) == 2  # codons 1 and 2 alike are one row, codon 3 has two letters
+
+
+def test_alignment_is_made_by_one_shuffle(spark, monkeypatch, tmp_path):
+    """Rows are numbered where those of a part already are, in partitions sized by the rows."""
+    from lagweave.plans import derived as D
+
+    spark.createDataFrame([(k % 3, k, 1) for k in range(9)], "l_partkey long, l_orderkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(D, "stored", lambda df, name: df)
+    plan = D.alignment(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
