@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +57,6 @@ class Encoder:
 
     def learn(self, keys: set[str]) -> None:
         """Bring stretches into the younger generation, from the older one or by encoding them."""
-        if len(self.young) > CACHED:
-            self.young, self.old = {}, self.young
         known = keys & self.old.keys()
         self.young.update((s, self.old[s]) for s in known)
         new = keys - known
@@ -70,17 +69,24 @@ class Encoder:
     def encode_all(self, keys: set[str]) -> None:
         """Encode stretches; those without white space inside or at the end many at a time, a line each."""
         feed = np.array([self.feed], "<u4").tobytes()
-        asked = [(k, k[1:] if k[0] == "\n" else f" {k}") for k in keys]
-        lines = [x for x in asked if "\n" not in x[1] and not x[1][-1].isspace()]
-        parts = [lines[at : at + LINES] for at in range(0, len(lines), LINES)]
-        for part, e in zip(parts, self.lib.encode_batch_fast(["\n".join(t for _, t in p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.feed).tolist(), len(ids)]
-            data = ids.tobytes()
-            for (k, _), i, j in zip(part, [0, *(e + 1 for e in ends[:-1])], ends, strict=True):
-                self.young[k] = feed + data[4 * i : 4 * j] if k[0] == "\n" else data[4 * i : 4 * j]
-        rest = [x for x in asked if "\n" in x[1] or x[1][-1].isspace()]
-        for (k, _), ids in zip(rest, self.plain([t for _, t in rest]), strict=True):
+        words, firsts, rest = [], [], []
+        for k in keys:
+            if k[-1].isspace() or k.rfind("\n") > 0:
+                rest.append(k)
+            elif k[0] == "\n":
+                firsts.append(k)
+            else:
+                words.append(k)
+        for before, named, head in ((" ", words, b""), ("", firsts, feed)):
+            parts = [named[at : at + LINES] for at in range(0, len(named), LINES)]
+            texts = [before + f"\n{before}".join(p if before else [k[1:] for k in p]) for p in parts]
+            for part, e in zip(parts, self.lib.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                data = ids.tobytes()
+                ends = 4 * np.append(np.flatnonzero(ids == self.feed), len(ids))
+                starts = [0, *(ends[:-1] + 4).tolist()]
+                self.young.update(zip(part, [head + data[i:j] for i, j in zip(starts, ends.tolist(), strict=True)], strict=True))
+        for k, ids in zip(rest, self.plain([k[1:] if k[0] == "\n" else f" {k}" for k in rest]), strict=True):
             self.young[k] = feed + ids if k[0] == "\n" else ids
 
     def encode(self, text: str) -> bytes:
@@ -93,22 +99,15 @@ class Encoder:
         """
         if not self.cuts:
             return self.plain(texts)
-        found, missing, get = [], set(), self.young.get
-        for text in texts:
-            keys = keys_of(text)
-            if keys is None:
-                found.append((None, [b"0000", *self.plain([text])]))
-                continue
-            ids = [*map(get, keys)]
-            if not all(ids):
-                missing.update(s for s, i in zip(keys, ids, strict=True) if i is None)
-                found.append((keys, ids))
-            else:
-                found.append((None, ids))
-        if missing:
+        if len(self.young) > CACHED:
+            self.young, self.old = {}, self.young
+        listed = [keys_of(t) for t in texts]
+        own = dict.fromkeys(chain.from_iterable(keys for keys in listed if keys is not None))  # these texts' stretches, few enough to lie close together
+        own = dict(zip(own, map(self.young.get, own), strict=True))
+        if missing := {s for s, ids in own.items() if ids is None}:
             self.learn(missing)
-        new = self.young
-        return [b"".join(ids if keys is None else [i if i is not None else new[s] for s, i in zip(keys, ids, strict=True)])[4:] for keys, ids in found]
+            own.update((s, self.young[s]) for s in missing)
+        return [self.plain([t])[0] if keys is None else b"".join(map(own.__getitem__, keys))[4:] for t, keys in zip(texts, listed, strict=True)]
 
 
 def keys_of(text: str) -> list[str] | None:
@@ -172,10 +171,11 @@ class Packer:
         self.capacity, self.emit = capacity, emit
         self.pool: dict[int, list[tuple]] = defaultdict(list)
         self.counts: dict[int, int] = {}
-        self.size = 0
+        self.size = self.tokens = 0
 
     def take(self, length: int) -> tuple:
         self.size -= 1
+        self.tokens -= length
         self.counts[length] -= 1
         if not self.counts[length]:
             del self.counts[length]
@@ -183,6 +183,7 @@ class Packer:
 
     def put(self, length: int, piece: tuple) -> None:
         self.size += 1
+        self.tokens += length
         self.counts[length] = self.counts.get(length, 0) + 1
         self.pool[length].append(piece)
 
@@ -205,7 +206,7 @@ class Packer:
 
     def fill(self, rest: int) -> None:
         """Windows until at most `rest` remainders wait, or too few tokens for another one."""
-        while self.size > rest and (self.size > self.capacity or sum(n * c for n, c in self.counts.items()) >= self.capacity):
+        while self.size > rest and self.tokens >= self.capacity:
             longest = max(self.counts)
             window = [self.piece(longest, longest)]
             for length in fullest(self.counts, self.capacity - longest):
@@ -217,7 +218,7 @@ class Packer:
 
     def end(self) -> None:
         self.fill(0)
-        left = sum(n * c for n, c in self.counts.items())
+        left = self.tokens
         while left:
             size = room = 1 << left.bit_length() - 1
             window = []

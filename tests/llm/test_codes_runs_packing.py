@@ -275,3 +275,22 @@ def test_packing_over_several_pools(spark, monkeypatch):
     sizes = [sum(p[2] for p in w) for w in out]
     assert sum(sizes) == total and packer.size == 0 and not packer.counts
     assert all(s == 128 or s & (s - 1) == 0 for s in sizes) and sum(s != 128 for s in sizes) <= 7
+
+
+def test_a_stretch_is_looked_up_once_for_the_texts_encoded_together():
+    """However often it comes, also where it must be learnt first."""
+    enc, asked = P.Encoder(), []
+
+    class Seen(dict):
+        def get(self, key, *rest):
+            asked.append(key)
+            return super().get(key, *rest)
+
+        __getitem__ = get
+
+    enc.young = Seen()
+    texts = ["one two, one two, one", "two, one\n one", "", " one", "one  two, x", "one two. Zwei"] * 3
+    for _ in range(2):
+        asked.clear()
+        assert enc.encode_many(texts) == enc.plain(texts)
+        assert all(asked.count(k) <= 3 for k in asked)
