@@ -1,7 +1,8 @@
-"""Near-dedup at a stated shingle similarity: prefix filtering on rare shingles, decided by the exact similarity.
+"""Near-dedup at a stated shingle similarity: SimHash fingerprints, prefix filtering for the rest, decided by the exact similarity.
 
-A SimHash can't be keyed at this similarity: at 0.8 some 15 % of its bits differ, so that segments short enough for one
-of them to be equal hold 5 bits or so. The candidates are found on the shingles themselves instead, where a bound holds.
+Fingerprints linked by the pigeonring search of operator 9 are the first candidates: copies with few changes. At 0.8
+some 15 % of the bits differ, so that no key of a fingerprint is sure to be shared; the pairs which the fingerprints
+miss are found on the shingles themselves, where a bound holds.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql.window import Window
 from .common import col, forget, packed, stored
 from .components import components
 from .lm_score import scrambled, word_hashes
+from .simhash import BITS as SIM_BITS
+from .simhash import link
 
 MIXERS = np.random.default_rng(12).integers(0, 2**63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles are counted in 2^CELL_BITS cells, a byte each for the workers, added up in CELL_CHUNKS parts.
@@ -31,6 +34,8 @@ GROUP_TEXTS, GROUP_BYTES = 250, 1_000_000
 CHUNK = 1_000_000
 #: Rows named by (id, hash) are broadcast up to this many (some 64 bytes each), and joined by a shuffle beyond it.
 BROADCAST_ROWS = 400_000
+#: Shingles whose bits are counted at once.
+UNPACKED = 65_536
 #: Against rounding where a similarity times a size is whole.
 EPS = 1e-9
 
@@ -129,6 +134,25 @@ def parities(text: np.ndarray, run: np.ndarray, texts: int) -> list[np.ndarray]:
     return list(np.ascontiguousarray(packed_bits).view("<i8").T)
 
 
+def fingerprints(text: np.ndarray, run: np.ndarray, texts: int) -> np.ndarray:
+    """The SimHash of each text's set of shingles: a bit is set if it is in over half their hashes; none: 0."""
+    sums = np.zeros((texts, SIM_BITS), np.int64)
+    for at in range(0, len(run), UNPACKED):
+        bits = np.unpackbits(run[at : at + UNPACKED].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        own, first = np.unique(text[at : at + UNPACKED], return_index=True)
+        sums[own] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    odd = 2 * sums > np.bincount(text, minlength=texts)[:, None]
+    return np.packbits(odd, axis=1, bitorder="little").view("<i8").reshape(-1)
+
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, fp) for every link of their fingerprints, those of one fingerprint by its least node."""
+    one = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    same = nodes.join(one, "fp").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    ends = link(one.select("fp")).join(one.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    return same.union(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
 def near_enough(x: str, y: str, similarity: float) -> Column:
     """Whether two texts' parities allow them to be similar: at most (n + m)(1 - s) / (1 + s) shingles are in one set alone."""
     off = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in PARITY[1:]), F.bit_count(F.col(f"{x}.{PARITY[0]}").bitwiseXOR(F.col(f"{y}.{PARITY[0]}"))))
@@ -192,7 +216,7 @@ def rarities(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
 
 
 def with_prefixes(docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, tid, node, size, p0 ..., keys): node is the hash of the shingle set, by which equal ones are one; keys its prefix."""
+    """(doc_id, tid, node, size, fp, p0 ..., keys): fp is the SimHash, node the hash of the shingle set, by which equal ones are one; keys its prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(rarities(docs, text, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,9 +226,9 @@ def with_prefixes(docs: DataFrame, doc_id: str, text: str, shingle: int, similar
                 size, offsets, keys = prefixes(which, runs, len(part), shared.value, similarity)
                 keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.view(np.int64)))
                 rows = batch.slice(first, len(part))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(node.view(np.int64)), pa.array(size, pa.int64()), *map(pa.array, parities(which, runs, len(part))), keys], ["doc_id", "tid", "node", "size", *PARITY, "keys"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(node.view(np.int64)), pa.array(size, pa.int64()), pa.array(fingerprints(which, runs, len(part))), *map(pa.array, parities(which, runs, len(part))), keys], ["doc_id", "tid", "node", "size", "fp", *PARITY, "keys"])
 
-    return named(docs, doc_id, text).mapInArrow(run, f"doc_id long, tid long, node long, size long, {', '.join(f'{p} long' for p in PARITY)}, keys array<long>")
+    return named(docs, doc_id, text).mapInArrow(run, f"doc_id long, tid long, node long, size long, fp long, {', '.join(f'{p} long' for p in PARITY)}, keys array<long>")
 
 
 def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -256,7 +280,8 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 
     Equal sets of shingles (all copies, all texts without words) are one node. Nodes that share a key, a shingle in both
     prefixes, are candidates, which no pair of that similarity misses; sizes and places prune them, and the exact
-    similarity decides. First each key's members meet one of them only, that which shares most keys with others: a
+    similarity decides. Before that, nodes whose fingerprints the pigeonring search links are held against each other, and
+    pairs decided there aren't again. First each key's members meet one of them only, that which shares most keys with others: a
     group of near copies has its middle there, and links to it at the cost of its size. Then the members of a key
     outside its largest component meet the others, so that no link is lost; pairs whose parities are too far apart end
     within that join, so texts of few words that share keys without being similar make no rows. Null ids and texts, empty and very long
@@ -276,7 +301,9 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     middle = ranked.groupBy("key").agg(F.max(F.struct("shares", "node", "size", "at")).alias("m")).select("key", "m")
     reach = may_reach(F.col("size"), F.col("at"), F.col("m.size"), F.col("m.at"), similarity)
     meet = ranked.join(middle, "key").filter(F.col("node") != F.col("m.node")).filter(reach)
-    meet = stored(meet.select(F.least("m.node", "node").alias("a"), F.greatest("m.node", "node").alias("b")).distinct(), "near-meet")
+    meet = meet.select(F.least("m.node", "node").alias("a"), F.greatest("m.node", "node").alias("b")).distinct()
+    alike = stored(fingerprint_pairs(stored(rows.filter("size > 0").groupBy("node").agg(F.first("fp").alias("fp")), "near-prints")), "near-alike")
+    meet = stored(meet.union(alike).distinct(), "near-meet")
     stars = verified(meet, first, docs, **check)
     found = stored(components(stars), "near-found")
     label = stored(ranked.join(found, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("root")), "near-labels")
@@ -293,7 +320,7 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         found = stored(components(stars.union(more)), "near-found")
     out = rows.select("doc_id", "tid", "node").join(found, "node", "left")
     out = stored(out.select("doc_id", "tid", "node", F.coalesce("root", "node").alias("root")), "near-groups")
-    forget(rows, members, ranked, meet, stars, label, mixed, apart, more, found)
+    forget(rows, members, ranked, alike, meet, stars, label, mixed, apart, more, found)
     return out
 
 

@@ -878,3 +878,23 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
             start += len(found)
     assert sorted(map(tuple, after("token_files", docs).collect())) == sorted(want)
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_near_dedup_holds_linked_fingerprints_against_each_other(spark, monkeypatch):
+    """The fingerprints are SimHashes of the shingles; near copies are found by them, and what they miss by prefixes."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base), " ".join([*base, "more"]), " ".join(f"v{rng.randrange(10**6)}" for _ in range(300)), "a b", None]
+    which, runs, _ = simhash_wide.shingle_sets([(t or "").encode() for t in texts], 5)
+    monkeypatch.setattr(simhash_wide, "UNPACKED", 7)
+    got = simhash_wide.fingerprints(which, runs, len(texts))
+    for k in range(len(texts)):
+        mine = [int(r) for r in runs[which == k]]
+        want = sum(1 << b for b in range(64) if 2 * sum(r >> b & 1 for r in mine) > len(mine))
+        assert int(got[k]) % 2**64 == want
+    nodes = spark.createDataFrame([(1, 0b1), (2, 0b111), (3, 0b1), (4, 0b1111 << 30)], "node long, fp long")
+    assert sorted(map(tuple, simhash_wide.fingerprint_pairs(nodes).collect())) == [(1, 2), (1, 3)]
+    held, real = [], simhash_wide.fingerprint_pairs
+    monkeypatch.setattr(simhash_wide, "fingerprint_pairs", lambda nodes: held.append(nodes.count()) or real(nodes))
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_wide.keep_one(docs).collect()) == [0, 2, 3, 4] and held == [4]
