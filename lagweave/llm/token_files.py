@@ -6,6 +6,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,10 @@ LENGTH, CHECK, DOC = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<q
 NO_ID = -(2**63)
 #: Words in the younger of the cache's two generations.
 CACHED_WORDS = 600_000
+#: A word that the vocabulary keeps apart, between the words that go to the library as one text, of which there are so many.
+MARK, TOGETHER = "#", 32
+#: Texts are encoded together up to so many, of about so many characters.
+GROUP, GROUP_CHARS = 64, 500_000
 
 
 def masked(data: bytes) -> int:
@@ -72,33 +77,57 @@ class Encoder:
         self.older: dict[bytes, bytes] = {}
 
     def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def listed(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. Those without MARK go to the library many at a time, parted by it, as it is a piece of its own."""
+        mark, out = self.plain([MARK])[0], {w: None for w in words}
+        own = [w for w in out if MARK not in w]
+        parts = [own[at : at + TOGETHER] for at in range(0, len(own), TOGETHER)]
+        for part, data in zip(parts, self.plain([f" {MARK} ".join(p) for p in parts]), strict=True):
+            ends = np.flatnonzero(np.frombuffer(data, self.kind) == np.frombuffer(mark, self.kind)[0]) * len(mark)
+            starts = [0, *(ends + len(mark)).tolist()]
+            out.update(zip(part, [data[i:j] for i, j in zip(starts, [*ends.tolist(), len(data)], strict=True)], strict=True))
+        rest = [w for w, ids in out.items() if ids is None]
+        out.update(zip(rest, self.plain(rest), strict=True))
+        return [out[w] for w in words]
 
     def learn(self, words: set[bytes]) -> None:
         """Bring words into the younger generation, from the older one or by encoding them."""
-        if len(self.words) > CACHED_WORDS:
-            self.words, self.older = {}, self.words
         known = words & self.older.keys()
         self.words.update((w, self.older[w]) for w in known)
         words = words - known
-        stems = {w: w[:-1] if w[-1:] in (b".", b",") and w[-2:-1].isalpha() else w for w in words}
-        new = [s for s in {*stems.values(), b".", b","} if s not in self.words]
-        self.words.update(zip(new, self.plain([s.decode("utf-8", "surrogatepass") for s in new]), strict=True))
+        stems = {w: w[:-1] for w in words if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
+        new = [s for s in {*words.difference(stems), *stems.values(), b".", b","} if s not in self.words]
+        self.words.update(zip(new, self.listed([s.decode("utf-8", "surrogatepass") for s in new]), strict=True))
         for w, s in stems.items():
-            if s is not w:
-                self.words[w] = self.words[s] + self.words[w[-1:]]
+            self.words[w] = self.words[s] + self.words[w[-1:]]
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or "<|" in text:
-            return self.plain([text])[0]
-        words = text.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ").split(b" ")
-        get = self.words.get
-        ids = [*map(get, words)]
-        if None in ids:
-            got = dict(zip(words, ids, strict=True))
-            self.learn({w for w, i in got.items() if i is None})
-            ids = [i if i is not None else self.words[w] for w, i in zip(words, ids, strict=True)]
-        return b"".join(ids)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; the words that none of them has seen are learnt together."""
+        listed = [t.encode("utf-8", "surrogatepass").lower().replace(b"\n", b" ").split(b" ") if self.by_word and "<|" not in t else None for t in texts]
+        words = {*chain.from_iterable(w for w in listed if w is not None)}
+        if len(self.words) > CACHED_WORDS:
+            self.words, self.older = {}, self.words
+        if missing := words.difference(self.words):
+            self.learn(missing)
+        get = self.words.__getitem__
+        return [self.plain([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, listed, strict=True)]
+
+
+def encoded(enc: Encoder, texts: pa.Array) -> Iterator[bytes]:
+    """The ids of each text, groups of texts encoded together; null texts are empty."""
+    group, chars = [], 0
+    for t in texts:
+        group.append(t.as_py() or "")
+        chars += len(group[-1])
+        if len(group) == GROUP or chars > GROUP_CHARS:
+            yield from enc.encode_many(group)
+            group, chars = [], 0
+    yield from enc.encode_many(group)
 
 
 _ENCODERS: dict[str | None, Encoder] = {}
@@ -136,8 +165,8 @@ def write_files(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str
         try:
             for batch in batches:
                 rows = []
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = enc.encode(t.as_py() or "") + end
+                for i, ids in zip(batch.column(0).to_pylist(), encoded(enc, batch.column(1)), strict=True):
+                    ids += end
                     data = frame(payload_of(i, enc.wide, ids))
                     if out is None:
                         where.create_dir(f"{root}/data", recursive=True)

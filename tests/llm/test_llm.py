@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -757,6 +758,24 @@ def test_words_of_the_cache_are_the_library_ids(monkeypatch):
         assert np.frombuffer(enc.encode(t), enc.kind).tolist() == enc.lib.encode(t, add_special_tokens=False).ids
 
 
+def test_new_words_go_to_the_library_together():
+    enc = token_files.Encoder()
+    lib, handed = enc.lib, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return lib.encode_batch_fast(texts, **options)
+
+    enc.lib = Counting()
+    texts = [" ".join(f"new{k}word{i}" for i in range(100)) for k in range(20)]
+    texts += ["# a#b ## #. x# $#, #", "\u0301 e\u0301 \u0301# \u0085 \u200b", "", " ", "a\x00b \x01 # .", "<|endoftext|> # a", "\uff03 don't# DON'T"]
+    got = [*token_files.encoded(enc, pa.array([*texts, None]))]
+    for t, ids in zip([*texts, ""], got, strict=True):
+        assert np.frombuffer(ids, enc.kind).tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    assert len(handed) < 200  # of some 2,000 words
+
+
 def test_other_vocabularies_go_to_the_library():
     import public_tokenizers
 
