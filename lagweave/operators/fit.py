@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models as M
 from ..functions.dual import Dual
+from ..sources.scratch import stored
 
 COLUMNS = ["group", "d_sample", "theta_pool", "phi_pool", "ratio", "fbar", "c", "d_pool", "d_clonal", "theta_s", "phi_s"]
 SCHEMA = ", ".join(["group string", *[f"{c} double" for c in COLUMNS[1:]], "rho double", "chisq double", "redchi double", "aic double", "nfev long", "ndata long", "success boolean", "x array<double>", "residual array<double>"])
@@ -360,6 +361,7 @@ def histogram(results: DataFrame, param: str, bins: int | str = 20) -> DataFrame
     bins 'auto' takes the width from the number, the range and the quartiles, all from one pass over the values.
     """
     boots = results.filter("group <> 'all'").select(F.col(param).alias("v")).filter("v is not null and not isnan(v)")
+    boots = stored(boots, "histogram-values")  # read for the range and again for the bins, but made once
     quartiles = F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))) if bins == "auto" else F.lit(None)
     n, low, high, q = boots.agg(F.count("v"), F.min("v"), F.max("v"), quartiles).first()
     if low is None:

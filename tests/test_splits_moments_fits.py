@@ -319,3 +319,17 @@ def test_clusters_repeat_and_part_what_is_apart(spark):
     same = spark.createDataFrame([(f"g{i}", 0, 0.5, 5, "P2") for i in range(4)], df.schema)
     assert {r.cluster for r in U.cluster_profiles(same, corr_type="P2").collect()} == {0}
     assert U.cluster_profiles(df.limit(0), corr_type="P2").count() == 0
+
+
+def test_histogram_makes_its_values_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(i):
+        made.add(1)
+        return float(i)
+
+    rows = spark.range(10).select(F.concat(F.lit("boot_"), F.col("id").cast("string")).alias("group"), value("id").alias("v"))
+    got = sorted(tuple(r) for r in T.histogram(rows.union(spark.createDataFrame([("all", 99.0)], "group string, v double")), "v", 3).collect())
+    assert got == [(0, 0.0, 3.0, 3), (1, 3.0, 6.0, 3), (2, 6.0, 9.0, 4)]
+    assert made.value <= 20  # the filter on values and their column may each call it
