@@ -99,13 +99,21 @@ def clade_profile(one: DataFrame, two: DataFrame, o: CodingOptions = CodingOptio
     return summed(both, by, xy, n, 3).drop("pos")
 
 
+def block_genes(aln: DataFrame) -> DataFrame:
+    """(block, gene): the gene of each block's first sequence.
+
+    A string can't be updated in a hash aggregate, so its rows would all be sorted; as a key it can be, and few are left.
+    """
+    genes = aln.groupBy("block", "gene").agg(F.min("seq_idx").alias("first"))
+    return genes.groupBy("block").agg(F.min_by("gene", "first").alias("gene"))
+
+
 def zip_blocks(one: DataFrame, two: DataFrame) -> DataFrame:
     """(pos, x, y): the k-th block of one alignment with the k-th of another, whatever their genes; each a struct of block and gene.
 
     Blocks are in the order of their number; the blocks of the longer file that have no partner are left out.
     """
-    blocks = lambda aln: aln.groupBy("block").agg(F.min_by("gene", "seq_idx").alias("gene"))
-    return zipped(blocks(one), blocks(two), [F.col("block")], [F.col("block")])
+    return zipped(block_genes(one), block_genes(two), [F.col("block")], [F.col("block")])
 
 
 def zipped_profile(one: DataFrame, two: DataFrame, o: CodingOptions = CodingOptions(min_sequences=1), *, statistic: str = "p11") -> DataFrame:

@@ -129,3 +129,14 @@ def test_alignment_is_made_by_one_shuffle(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(D, "stored", lambda df, name: df)
     plan = D.alignment(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_blocks_to_zip_are_found_without_sorting_their_sequences(spark, monkeypatch):
+    """A block's gene is that of its first sequence; the rows themselves go through a hash aggregate."""
+    rows = [(1, "b", 2), (1, "a", 5), (1, "b", 7), (2, "c", 4), (2, None, 3), (3, "d", None), (4, "z", 1), (4, "y", 9)]
+    df = spark.createDataFrame(rows, "block long, gene string, seq_idx int").repartition(3)
+    monkeypatch.setattr(A, "zipped", lambda one, two, *order: one)
+    got = A.zip_blocks(df, df)
+    assert sorted(got.collect()) == [(1, "b"), (2, None), (3, None), (4, "z")]
+    steps = [line for line in got._jdf.queryExecution().sparkPlan().toString().splitlines() if "Aggregate" in line]
+    assert "HashAggregate" in steps[-1]  # the one over the rows
