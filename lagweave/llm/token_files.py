@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,11 @@ NO_ID = -(2**63)
 CACHED_WORDS = 600_000
 #: A word that the vocabulary keeps apart, between the words that go to the library as one text, of which there are so many.
 MARK, TOGETHER = "#", 32
+#: A word of letters that are small and composed in every Unicode, and the run of ASCII punctuation that ends it: the rules part the two there and nowhere else.
+PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+#: The letter that stands for each byte in the vocabulary: printable ones for themselves, the others from 256 on in order.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LETTERS = dict(zip([b for b in range(256) if b not in PRINTABLE], range(256, 512), strict=False))
 #: Texts are encoded together up to so many, of about so many characters.
 GROUP, GROUP_CHARS = 64, 500_000
 
@@ -56,8 +62,8 @@ class Encoder:
     """The tokenizers library behind a cache of words.
 
     The vocabulary's rules never join text across a space or line feed and drop both, and lower-case what they read,
-    so a text's ids are those of its words, with A-Z lower-cased; a full stop or comma after an ASCII letter is a piece
-    of its own. Texts that hold a special token's string go to the library whole, and so do all texts under another
+    so a text's ids are those of its words, with A-Z lower-cased. Plain words are one piece, which the library's model
+    encodes without the rules, and a run of punctuation after it is another. Texts that hold a special token's string go to the library whole, and so do all texts under another
     vocabulary than VOCABULARY, whose rules aren't known.
     """
 
@@ -71,6 +77,7 @@ class Encoder:
 
             path = public_tokenizers.path(VOCABULARY)
         self.lib = Tokenizer.from_file(path)
+        self.piece = self.lib.model.tokenize
         self.wide = self.lib.get_vocab_size() > 65536
         self.kind = "<u4" if self.wide else "<u2"
         self.words: dict[bytes, bytes] = {}
@@ -92,16 +99,35 @@ class Encoder:
         out.update(zip(rest, self.plain(rest), strict=True))
         return [out[w] for w in words]
 
+    def pieces(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of which each is one piece under the rules."""
+        ids, ends = [], [0]
+        for w in words:
+            ids += [t.id for t in self.piece(w.decode() if w.isascii() else w.decode("latin-1").translate(BYTE_LETTERS))]
+            ends.append(len(ids))
+        data, size = np.array(ids, self.kind).tobytes(), 4 if self.wide else 2
+        return [data[size * a : size * b] for a, b in pairwise(ends)]
+
     def learn(self, words: set[bytes]) -> None:
         """Bring words into the younger generation, from the older one or by encoding them."""
         known = words & self.older.keys()
         self.words.update((w, self.older[w]) for w in known)
-        words = words - known
-        stems = {w: w[:-1] for w in words if w[-1:] in (b".", b",") and w[-2:-1].isalpha()}
-        new = [s for s in {*words.difference(stems), *stems.values(), b".", b","} if s not in self.words]
-        self.words.update(zip(new, self.listed([s.decode("utf-8", "surrogatepass") for s in new]), strict=True))
-        for w, s in stems.items():
-            self.words[w] = self.words[s] + self.words[w[-1:]]
+        stems, others, ended = set(), set(), []
+        for w in words - known:
+            if m := PLAIN.fullmatch(w):
+                stem, mark = m.groups()
+                stems.add(stem)
+                if mark:
+                    others.add(mark)
+                    ended.append((w, stem, mark))
+            else:
+                others.add(w)
+        new = [w for w in stems if w not in self.words]
+        self.words.update(zip(new, self.pieces(new), strict=True))
+        new = [w for w in others if w not in self.words]
+        self.words.update(zip(new, self.listed([w.decode("utf-8", "surrogatepass") for w in new]), strict=True))
+        for w, stem, mark in ended:
+            self.words[w] = self.words[stem] + self.words[mark]
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]

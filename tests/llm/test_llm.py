@@ -776,6 +776,25 @@ def test_new_words_go_to_the_library_together():
     assert len(handed) < 200  # of some 2,000 words
 
 
+def test_plain_words_are_encoded_without_the_rules():
+    enc = token_files.Encoder()
+    lib, handed = enc.lib, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return lib.encode_batch_fast(texts, **options)
+
+    enc.lib = Counting()
+    name = lambda k: "".join("aéklßmnoÿt"[int(d)] for d in str(k))
+    texts = [" ".join(name(k) + ["", ".", ",", "!!", "'", "#", "%%%"][k % 7] for k in range(s, s + 100)) for s in range(0, 3000, 100)]
+    texts += ["a' 's x'll don't' ab``_ #", "÷ a÷ œuvre, e\u0301, ñ\u0301. ſ ß\u0338 <\u0338 a<\u0338", "É. aÉ, éa1 a.b é\u00a0é. ij ﬁn"]
+    got = [*token_files.encoded(enc, pa.array(texts))]
+    for t, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, enc.kind).tolist() == lib.encode(t, add_special_tokens=False).ids, t
+    assert len(handed) < 20  # of some 3,000 words
+
+
 def test_other_vocabularies_go_to_the_library():
     import public_tokenizers
 
