@@ -41,7 +41,8 @@ def xmfa_2clades(spark: SparkSession, one: str, two: str, out: str, max_corr_len
 def bam(spark: SparkSession, gff: str, path: str, out: str, num_boot: int = 1000, options: R.ReadOptions = R.ReadOptions()) -> None:
     """Reads and gene annotations to out.json and out.csv."""
     rows = R.read_profile(Q.read_reads(spark, path), Q.read_gff(spark, gff), options)
-    S.write_profile(K.scale_p4(K.profile(kept(spark, rows, out), num_boot)), f"{out}.csv")
+    profile = stored(K.profile(kept(spark, rows, out), num_boot), "read-profile")  # the scaling reads it more than once
+    S.write_profile(K.scale_p4(profile), f"{out}.csv")
 
 
 def pair(spark: SparkSession, path: str, out: str, second: str = "", max_corr_length: int = 300, codon_position: int = 4) -> None:

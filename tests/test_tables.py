@@ -140,3 +140,38 @@ def test_blocks_to_zip_are_found_without_sorting_their_sequences(spark, monkeypa
     assert sorted(got.collect()) == [(1, "b"), (2, None), (3, None), (4, "z")]
     steps = [line for line in got._jdf.queryExecution().sparkPlan().toString().splitlines() if "Aggregate" in line]
     assert "HashAggregate" in steps[-1]  # the one over the rows
+
+
+def mates_in_genes(spark):
+    """Reads with mates and poor ends in genes that overlap, share a place or end in a hot one."""
+    rng = np.random.default_rng(11)
+    genes = spark.createDataFrame([("c", 1, 45, 1, "a"), ("c", 1, 45, 1, "b"), ("c", 31, 75, -1, "d"), ("e", 1, 30, 1, "far")], "seq_name string, start int, end int, strand int, gene string")
+    rows = []
+    for k in range(160):
+        n = int(rng.integers(12, 40))
+        seq, qual = "".join(rng.choice(list("TTTCCAGN-"), n)), [int(q) for q in rng.choice([10, 40, 40, 40, 40, 40], n)]
+        rows.append((None if k % 40 == 0 else f"r{k // 2}", "ce"[k % 11 == 0], int(rng.integers(0, 45)), 60, f"{n}M", seq, qual, k))
+    return spark.createDataFrame(rows, "qname string, rname string, pos int, mapq int, cigar string, seq string, qual array<int>, ordinal long"), genes
+
+
+@pytest.mark.parametrize(("hot", "twin"), [(10**9, False), (10**9, True), (4, False)])
+def test_whole_genes_end_in_their_tasks(spark, monkeypatch, hot, twin):
+    """Piles, P2 and P4 equal those of the tables, which are stored for hot genes and for names of two places only."""
+    from lagweave.operators import reads as R
+
+    reads, genes = mates_in_genes(spark)
+    if twin:
+        genes = genes.union(spark.createDataFrame([("e", 4, 33, 1, "a")], genes.schema))
+    o = R.ReadOptions(min_read_length=3, min_depth=1, min_coverage=0.2, max_corr_length=30, p2_lags=4, overlapping=True, min_allele_number=1)
+    tally = R.read_tallies(reads, genes, o).cache()
+    tidy = lambda df: sorted(tuple(round(x, 12) if isinstance(x, float) else x for x in r) for r in df.collect())
+    want = [tidy(R.pileup(tally)), tidy(R.p2_of(tally, o)), tidy(R.p4_of(tally, o))]
+    assert all(want)
+    monkeypatch.setattr(T, "HOT", hot)
+    monkeypatch.setattr(T, "CHUNK", 50)
+    kept = []
+    monkeypatch.setattr(R, "stored", lambda df, name: kept.append(name) or df)
+    got = R.read_pileup(reads, genes, o), R.read_lags(reads, genes, o, ("P2",)), R.read_lags(reads, genes, o, ("P4",))
+    assert [tidy(x) for x in got] == want
+    assert tidy(R.read_lags(reads, genes, o)) == sorted(want[1] + want[2])
+    assert bool(kept) == (hot == 4 or twin)
