@@ -333,3 +333,30 @@ def test_histogram_makes_its_values_once(spark):
     got = sorted(tuple(r) for r in T.histogram(rows.union(spark.createDataFrame([("all", 99.0)], "group string, v double")), "v", 3).collect())
     assert got == [(0, 0.0, 3.0, 3), (1, 3.0, 6.0, 3), (2, 6.0, 9.0, 4)]
     assert made.value <= 20  # the filter on values and their column may each call it
+
+
+def test_bam_records_are_made_and_read_a_batch_at_a_time(monkeypatch):
+    """A batch's bytes and rows are those of its records one by one, with missing, odd and long cells."""
+    rng = np.random.default_rng(3)
+    rows = [(None, None, None, None, None, None, None, None, 0), ("", 4, "*", -1, 0, "*", "", [], 1), ("é", 16, "c2", 1 << 20, 255, "1M", "a", [0], 2), ("q", 0, "zz", 5, 9, "3M2D4S", "NRYxacg", [1] * 6, 3)]
+    for k in range(40):
+        n = int(rng.integers(0, 90))
+        rows.append((f"r{k}", k, f"c{k % 3}", int(rng.integers(0, 1 << 28)), k, f"{n}M" if k % 3 else f"6S{k * 5000}N{n}M", "".join(rng.choice(list("ACGTN="), n)), [int(x) for x in rng.integers(0, 60, n)] if k % 5 else None, 4 + k))
+    refs = {"c0": 0, "c1": 1, "c2": 2}
+    batch = B.batch_of(rows).slice(0)
+    bodies = [B.packed(row, refs) for row in batch.to_pylist()]
+    real = B.packed
+    monkeypatch.setattr(B, "packed", lambda *a: pytest.fail("a row by itself"))
+    assert B.packed_batch(batch, refs) == b"".join(bodies)
+    assert B.packed_batch(batch.slice(7, 20), refs) == b"".join(bodies[7:27])
+    assert B.packed_batch(batch.slice(0, 0), refs) == b""
+    places = [(100 + k, b[4:]) for k, b in enumerate(bodies)]
+    assert B.decoded_batch(places, list(refs)).equals(B.batch_of([B.decoded(p, b, list(refs)) for p, b in places]))
+    monkeypatch.setattr(B, "packed", real)
+    odd = B.batch_of([("r", 0, "c0", 1, 9, "2M", "Aé", [3, 4], 0)])
+    assert B.packed_batch(odd, refs) == B.packed(odd.to_pylist()[0], refs)
+    with pytest.raises((ValueError, TypeError)):
+        B.packed_batch(B.batch_of([("r", 0, "c0", 1, 9, "2M", "AC", [3, 400], 0)]), refs)
+    with pytest.raises(ValueError):
+        B.decoded_batch([(0, bodies[9][4:-3])], list(refs))
+    assert pa.types.is_list(B.decoded_batch(places, list(refs)).column(7).type)
