@@ -175,3 +175,19 @@ def test_whole_genes_end_in_their_tasks(spark, monkeypatch, hot, twin):
     assert [tidy(x) for x in got] == want
     assert tidy(R.read_lags(reads, genes, o)) == sorted(want[1] + want[2])
     assert bool(kept) == (hot == 4 or twin)
+
+
+def test_reads_that_are_used_once_are_made_once_and_not_stored(spark, monkeypatch, tmp_path):
+    """A filter on a read's length doesn't make its letters once more; only rows of genes are stored, before they are counted."""
+    from lagweave.operators import reads as R
+    from lagweave.plans import derived as D
+
+    spark.createDataFrame([(k % 3, k, 1) for k in range(9)], "l_partkey long, l_orderkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, "b") for k in range(3)], "p_partkey long, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    kept = []
+    for m in (D, R):
+        monkeypatch.setattr(m, "stored", lambda df, name: kept.append(name) or df)
+    rows = R.gene_reads(D.reads(spark, str(tmp_path), once=True), D.genes(spark, str(tmp_path)), R.ReadOptions(overlapping=True))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [letters") == 1
+    R.read_pileup(D.reads(spark, str(tmp_path), once=True), D.genes(spark, str(tmp_path)), R.ReadOptions(overlapping=True))
+    assert kept == ["gene-reads"]
