@@ -30,12 +30,21 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.get("f", F.lit(0)).alias("seq_name"), F.get("f", F.lit(3)).cast("int").alias("start"), F.get("f", F.lit(4)).cast("int").alias("end"), strand.alias("strand"), F.regexp_extract(F.get("f", F.lit(8)), "(?:^|;)ID=([^;]+)", 1).alias("gene"), "ordinal")
 
 
+#: So many parts hold a contig's reads.
+CONTIG_PARTS = 16
+
+
 def write_sam(reads: DataFrame, path: str) -> None:
-    """reads(qname, rname, pos from 0, mapq, cigar, seq, qual, ordinal) as SAM text, a contig's reads in one file, in order."""
+    """reads(qname, rname, pos from 0, mapq, cigar, seq, qual, ordinal) as gzipped SAM text.
+
+    The reads of a contig are dealt by name to CONTIG_PARTS parts, so a hot contig fills several files; those of one
+    name, mates among them, are in one file, in order.
+    """
     qual = F.array_join(F.transform("qual", lambda q: F.char(q + 33)), "")
     cells = [F.col("qname"), F.lit("0"), F.col("rname"), (F.col("pos") + 1).cast("string"), F.col("mapq").cast("string"), F.col("cigar"), F.lit("*"), F.lit("0"), F.lit("0"), F.col("seq"), qual]
-    lines = reads.select("rname", "ordinal", F.concat_ws("\t", *cells).alias("value"))
-    lines.repartition("rname").sortWithinPartitions("rname", "ordinal").select("value").write.mode("overwrite").text(path)
+    part = F.pmod(F.xxhash64("qname"), F.lit(CONTIG_PARTS))
+    lines = reads.select("rname", part.alias("part"), "ordinal", F.concat_ws("\t", *cells).alias("value"))
+    lines.repartition("rname", "part").sortWithinPartitions("rname", "part", "ordinal").select("value").write.mode("overwrite").option("compression", "gzip").text(path)
 
 
 def write_gff(genes: DataFrame, path: str) -> None:

@@ -192,3 +192,19 @@ def test_folders_without_a_scheme_are_on_the_default_file_system(spark):
 
     assert qualified(spark, "/a/b") == "file:///a/b" and qualified(spark, "file:///a/b") == "file:///a/b"
     assert shared_dir(spark).startswith("file:///")
+
+
+def test_sam_parts_are_small_and_hold_the_reads_of_a_name_in_order(spark, tmp_path):
+    """A hot contig fills several files, compressed; mates, of which the last counts, stay in order."""
+    rows = [(f"r{k % 100}", 0, "hot", k, 60, "40M", "ACGT" * 10, [40] * 40, (k * 7919) % 3000) for k in range(3000)]
+    reads = spark.createDataFrame(rows, B.READ).repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as this little would be one part
+    try:
+        R.write_sam(reads, str(tmp_path / "s"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = list((tmp_path / "s").glob("part-*"))
+    assert len(parts) > 1 and sum(p.stat().st_size for p in parts) < 100 * len(rows) / 3
+    back = R.read_sam(spark, str(tmp_path / "s")).orderBy("ordinal").collect()
+    of = lambda found: {q: [r.pos for r in found if r.qname == q] for q in {r.qname for r in found}}
+    assert of(back) == of(reads.orderBy("ordinal").collect())
